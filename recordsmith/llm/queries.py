@@ -89,18 +89,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_BLANK = "concat(' ', chr(9), chr(13), chr(11), chr(12))"
+_TRIM = r"regexp_replace({}, '^[ \t\r\x0B\x0C]+|[ \t\r\x0B\x0C]+$', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents
 ), filled AS (
-  SELECT doc_id, at, trim(line, {_BLANK}) AS t,
-         row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS m
-  FROM lines WHERE trim(line, {_BLANK}) <> ''
+  SELECT doc_id, pos, {_TRIM.format('line')} AS t,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS m
+  FROM lines WHERE {_TRIM.format('line')} <> ''
 ), runs AS (
   SELECT doc_id, j, m,
          CASE WHEN m >= 3 THEN concat('3:', t, chr(10), lead(t, 1) OVER d, chr(10), lead(t, 2) OVER d)
@@ -113,12 +113,12 @@ WITH lines AS (
 ), later AS (
   SELECT doc_id, j, least(m, 3) AS n FROM placed WHERE first_doc <> doc_id OR j >= first_j + 3
 ), gone AS (
-  SELECT DISTINCT f.doc_id, f.at FROM filled f JOIN later l ON f.doc_id = l.doc_id AND f.j BETWEEN l.j AND l.j + l.n - 1
+  SELECT DISTINCT f.doc_id, f.pos FROM filled f JOIN later l ON f.doc_id = l.doc_id AND f.j BETWEEN l.j AND l.j + l.n - 1
 )
-SELECT l.doc_id, count(*) FILTER (WHERE trim(l.line, {_BLANK}) <> '') AS n_lines, count(g.at) AS n_deleted,
-       coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL), '') AS text
-FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at
+SELECT l.doc_id, count(*) FILTER (WHERE {_TRIM.format('l.line')} <> '') AS n_lines, count(g.pos) AS n_deleted,
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
 GROUP BY l.doc_id
-HAVING count(g.at) = 0 OR count(g.at) < count(*) FILTER (WHERE trim(l.line, {_BLANK}) <> '')
+HAVING count(g.pos) = 0 OR count(g.pos) < count(*) FILTER (WHERE {_TRIM.format('l.line')} <> '')
 """,
 }

@@ -125,10 +125,11 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     doc_id stays only where its whole component has no id; of rows that repeat
     the chosen id, one stays.
     """
-    marked = simhash_components(docs)
-    keep = marked.select("component_id").distinct().select(F.coalesce("component_id", F.lit(-(2**63))).alias("_rs_id"))
+    marked = materialize(simhash_components(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rs_id"), F.coalesce("component_id", F.lit(-(2**63))).alias("component")), "components")
+    keep = marked.select(F.col("component").alias("_rs_id")).distinct()
     chosen = docs.withColumn("_rs_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(keep, "_rs_id", "left_semi")
-    repeated = marked.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rs_id")).agg(F.count("*").alias("n")).where("n > 1").select("_rs_id")
-    single = chosen.join(repeated, "_rs_id", "left_anti")
-    first = chosen.join(repeated, "_rs_id", "left_semi").dropDuplicates(["_rs_id"])
-    return single.unionByName(first).select(*docs.columns)
+    repeated = marked.groupBy("_rs_id").agg(F.count("*").alias("n")).where("n > 1").select("_rs_id")
+    if not repeated.isEmpty():
+        first = chosen.join(repeated, "_rs_id", "left_semi").dropDuplicates(["_rs_id"])
+        chosen = chosen.join(repeated, "_rs_id", "left_anti").unionByName(first)
+    return chosen.select(*docs.columns)
