@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import evidence, mart, review, texts, tools
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "evidence", "mart", "review", "texts", "tools"]
