@@ -41,13 +41,13 @@ add("w9_top_citations", lambda v: enrich.top_results(v.results.where(valid_resul
 
 def _order(v):
     li = v.lineitem
-    spine = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), F.col("l_linenumber").alias("pos"))
+    spine = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("pos"))
     manifest = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("href"), F.when(F.col("l_suppkey") % 3 == 0, "image/png").when(F.col("l_suppkey") % 3 == 1, "text/html").alias("media_type")).distinct()
     guide = li.where("l_linenumber = 1 and l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("book_id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("href"))
     return evidence.reading_order(manifest, spine, guide, most=3)
 
 
-add("s5_reading_order", _order, "WITH sp AS (SELECT l_orderkey AS book_id, l_partkey AS idref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem), mf AS (SELECT DISTINCT l_orderkey AS book_id, l_partkey AS idref, concat('p', CAST(l_partkey % 50 AS VARCHAR)) AS href, l_suppkey % 3 AS m FROM lineitem), al AS (SELECT sp.book_id, href, n - 1 AS position FROM sp JOIN mf ON mf.book_id = sp.book_id AND mf.idref = sp.idref WHERE n <= 3 AND m <> 0 UNION ALL SELECT l_orderkey, concat('p', CAST(l_partkey % 50 AS VARCHAR)), -1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0) SELECT book_id, href, CAST(min(position) AS INT) AS position FROM al GROUP BY 1, 2")
+add("s5_reading_order", _order, "WITH sp AS (SELECT l_orderkey AS book_id, l_partkey AS idref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem), mf AS (SELECT DISTINCT l_orderkey AS book_id, l_partkey AS idref, concat('p', CAST(l_partkey % 50 AS VARCHAR)) AS href, l_suppkey % 3 AS m FROM lineitem), al AS (SELECT sp.book_id, href, n - 1 AS position FROM sp JOIN mf ON mf.book_id = sp.book_id AND mf.idref = sp.idref WHERE n <= 3 AND m <> 0 UNION ALL SELECT l_orderkey, concat('p', CAST(l_partkey % 50 AS VARCHAR)), -1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0) SELECT book_id, href, CAST(min(position) AS INT) AS position FROM al GROUP BY 1, 2")
 
 
 def _search(v):

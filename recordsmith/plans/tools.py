@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import journal
@@ -61,8 +65,54 @@ def _shared(spark) -> str:
     return tempfile.mkdtemp(prefix="recordsmith-streams-")
 
 
+def _lines(v, df):
+    out = f"{_shared(v.spark)}/lines-{uuid.uuid4().hex}"
+    df.write.json(out)
+    return out
+
+
+def _read_history(v):
+    raw = v.lookups.select("lookup_id", "model", "provider", F.when(F.col("k") % 2 == 0, F.col("provider_seconds")).alias("provider_seconds"), F.col("retrieval_seconds").alias("openai_seconds"), "outcome", "total_tokens")
+    return tables.read_history(v.spark, _lines(v, raw)).select("lookup_id", "model", F.round("provider_seconds", 4).alias("provider_seconds"))
+
+
+_SAFE = "CASE WHEN starts_with(model, 'sk-') THEN '[REDACTED_INVALID_MODEL]' ELSE model END AS model"
+add("s6_read_history", _read_history, f"SELECT lookup_id, {_SAFE}, round(coalesce(CASE WHEN k % 2 = 0 THEN provider_seconds END, retrieval_seconds), 4) AS provider_seconds FROM lookups")
+
+
+def _read_journal(v):
+    raw = v.lookups.select(F.col("lookup_id").alias("entry_id"), "provider", "model", "outcome", F.array(F.struct(F.lit("a").alias("anonymous_book"), F.col("outcome").alias("category"))).alias("failures"))
+    return tables.read_journal(v.spark, _lines(v, raw)).select("entry_id", "provider", "search_provider", "model", F.get("failures", F.lit(0))["category"].alias("category"))
+
+
+add("s7_read_journal", _read_journal, f"SELECT lookup_id AS entry_id, coalesce(provider, 'openai') AS provider, 'hosted' AS search_provider, {_SAFE}, outcome AS category FROM lookups")
+
+
+def _archives(v):
+    """One archive a document, packed in the tasks: container, package document and a page."""
+
+    def pack(parts):
+        for part in parts:
+            made = []
+            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("META-INF/container.xml", "<container/>")
+                    z.writestr("content.opf", f"<package xmlns:dc='d'><dc:title> Book  {doc} </dc:title><dc:title> </dc:title><dc:creator>A{doc % 10}</dc:creator><dc:contributor>B</dc:contributor><dc:identifier>i{doc}</dc:identifier><dc:publisher>P</dc:publisher><dc:language>en</dc:language></package>")
+                    z.writestr("../bad.xhtml" if doc % 7 == 0 else "p.xhtml", text or "")
+                made.append(raw.getvalue() if doc % 11 else b"no zip")
+            yield pd.DataFrame({"path": "/a/" + part["doc_id"].astype(str), "content": made})
+
+    return v.documents.select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+
+
+_PATH = "concat('/a/', CAST(doc_id AS VARCHAR)) AS path"
+add("s3_explode_members", lambda v: archives.explode_members(_archives(v)).where("name is null or name <> 'content.opf'").select("path", "name", "size", "status"), f"SELECT {_PATH}, NULL AS name, CAST(NULL AS BIGINT) AS size, 'unreadable' AS status FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT {_PATH}, 'META-INF/container.xml', 12, 'ok' FROM documents WHERE doc_id % 11 > 0 UNION ALL SELECT {_PATH}, CASE WHEN doc_id % 7 = 0 THEN '../bad.xhtml' ELSE 'p.xhtml' END, octet_length(encode(text)), CASE WHEN doc_id % 7 = 0 THEN 'unsafe path' ELSE 'ok' END FROM documents WHERE doc_id % 11 > 0")
+add("s4_package_fields", lambda v: archives.package_fields(archives.explode_members(_archives(v))).select("path", F.array_join("titles", "|").alias("titles"), F.array_join("authors", "|").alias("authors"), F.array_join("identifiers", "|").alias("identifiers"), "publisher", "date", "language"), f"SELECT {_PATH}, concat('Book ', CAST(doc_id AS VARCHAR)) AS titles, concat('A', CAST(doc_id % 10 AS VARCHAR), '|B') AS authors, concat('i', CAST(doc_id AS VARCHAR)) AS identifiers, 'P' AS publisher, CAST(NULL AS VARCHAR) AS date, 'en' AS language FROM documents WHERE doc_id % 11 > 0")
+
+
 def _history(v):
-    out = f"{_shared(v.spark)}/history-{id(v)}"
+    out = f"{_shared(v.spark)}/history-{uuid.uuid4().hex}"
     tables.write_history(v.lookups.where("ts >= timestamp_ntz'2024-01-10'").select("lookup_id", "outcome", "ts"), out, F.date_format("ts", "yyyy-MM-dd"))
     return v.spark.read.schema("lookup_id long, outcome string, ts timestamp_ntz, date string").parquet(out).select("lookup_id", "outcome", "date")
 
@@ -75,8 +125,11 @@ def _stream(v, name, job, mode="append"):
     return jobs.run_available(v.spark, job(source), _shared(v.spark), mode)
 
 
+_CLEAN = "coalesce(text, '')"
+for _p, _to in ((r"\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED_API_KEY]"), (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", r"\1[REDACTED]"), (r"https?://\S+", "[REDACTED_URL]"), (r"(?i)\b[A-Z]:\\(Users\\)?[^\s\"'']+", "[REDACTED_PATH]"), (r"/(Users|home|private/var|tmp)/[^\s\"'']+", "[REDACTED_PATH]")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_to}', 'g')"
 add("t1_stream_record_state", lambda v: _stream(v, "events", jobs.record_state, "complete"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max(event_id) AS last_event FROM events GROUP BY 1".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, struct_pack(a := ts, b := event_id))"))
 add("t2_stream_daily_rollup", lambda v: _stream(v, "events", jobs.daily_rollup, "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(coalesce(value, 0)), 4) AS total_value FROM events GROUP BY 1")
 add("t3_stream_cache_hits", lambda v: _stream(v, "events", jobs.live_keys), "SELECT DISTINCT user_id FROM events")
-add("t4_stream_redaction", lambda v: _stream(v, "documents", jobs.redaction), r"SELECT doc_id, md5(text) AS clean_md5, 0 AS risk FROM documents")
+add("t4_stream_redaction", lambda v: _stream(v, "documents", jobs.redaction), rf"SELECT doc_id, md5(substr({_CLEAN}, 1, 16000)) AS clean_md5, 0 AS risk FROM documents")
 add("t5_stream_retention", lambda v: _stream(v, "events", lambda s: jobs.retention(s, "2024-01-15").select("event_id", "event_type")), "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
