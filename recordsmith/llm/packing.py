@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,21 +16,31 @@ from pyspark.sql import types as T
 from .common import materialize, text_or_empty
 
 #: Distinct words whose ids a worker keeps.
-MEMO = 300_000
+MEMO = 600_000
 #: Open bins of a packer.
 OPEN_BINS = 512
 #: Tokens for a shard, which one task packs as a stream; and the most shards.
 SHARD_TOKENS, MOST_SHARDS = 1 << 25, 20_000
 
 
+#: Pre-tokens of the tokenizer, for text that is already lower-cased.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters are their own normal form and have one lower case everywhere.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+
 class WordEncoder:
     """Ids of texts for a tokenizer that drops white space, as little-endian 32-bit bytes.
 
-    Pre-tokens never cross white space, so a text's ids are those of its
-    words; each distinct word is encoded by the library once.
+    Pre-tokens never cross white space, so a text's ids are those of its words,
+    and a plain word's ids are those of its pre-tokens. The library encodes each
+    distinct pre-token, and each word of other characters, once.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,26 +48,45 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not known yet."""
+        cut, new, get = [], {}, self.pieces.get
+        for w in words:
+            t = w.decode()
+            cut.append(_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) else [t])
+            for p in cut[-1]:
+                if get(p) is None:
+                    new[p] = None
+        made = dict(zip(new, self._encode(list(new)), strict=True)) if new else {}
+        if len(self.pieces) < MEMO:
+            self.pieces |= made
+            return {w: b"".join(map(get, parts)) for w, parts in zip(words, cut, strict=True)}
+        return {w: b"".join([get(p) or made[p] for p in parts]) for w, parts in zip(words, cut, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(s in t.lower() for s in self.special) else t.encode().split() for t in texts]  # bytes: at ASCII white space only
-        get, miss = self.known.get, {}
-        found = [None if words is None else list(map(get, words)) for words in cut]
-        for words, got in zip(cut, found, strict=True):
-            if got is not None and None in got:
-                miss.update((w, None) for w, b in zip(words, got, strict=True) if b is None)
-        fresh = dict(zip(miss, self._encode([w.decode() for w in miss]), strict=True)) if miss else {}
+        get, miss = self.known.get, set()
+        for words in cut:
+            if words is not None:
+                miss.update(words)
+        miss = [w for w in miss if get(w) is None]
+        fresh = self._fresh(miss) if miss else {}
+        if len(self.known) < MEMO:
+            self.known |= fresh
+            fresh = {}
         out = []
-        for t, words, got in zip(texts, cut, found, strict=True):
-            if got is None:
+        for t, words in zip(texts, cut, strict=True):
+            if words is None:
                 out.append(self._encode([t])[0])
+            elif fresh:
+                out.append(b"".join([fresh[w] if (b := get(w)) is None else b for w in words]))
             else:
-                out.append(b"".join([b if b is not None else fresh[w] for w, b in zip(words, got, strict=True)] if None in got else got))
-        if len(self.known) < MEMO:
-            self.known |= fresh
+                out.append(b"".join(map(get, words)))
         return out
 
 
@@ -83,8 +115,8 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         for part in parts:
-            for at in range(0, len(part), 500):
-                some = part.iloc[at : at + 500]
+            for at in range(0, len(part), 2000):
+                some = part.iloc[at : at + 2000]
                 rows = []
                 for doc, ids in zip(some["doc_id"], encoder.encode(some["text"].tolist()), strict=True):
                     ids += stop
