@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 from .common import text_or_empty
 
 #: Entries of a worker's memory of counted segments; beyond it, segments are counted again.
-MEMO = 400_000
+MEMO = 600_000
 #: Single spaces are where a text may be cut: with white space beside one, runs of it matter.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Segments of these characters are cut into pre-tokens here, others by the library.
+_PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u024f]+")
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 
 
@@ -39,6 +43,9 @@ class Counter:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +53,8 @@ class Counter:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = whole_tokens(self.tokenizer)
-        self.known = dict.fromkeys(self.whole, 1)
+        self.known: dict[str, int] = {}
+        self.pieces = dict.fromkeys(self.whole, 1)
 
     def _merged(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
@@ -62,25 +70,39 @@ class Counter:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _fresh(self, segments: list[str]) -> dict[str, int]:
+        """Counts of segments that are not known yet: whole tokens count 1, other pre-tokens are merged once."""
+        cut, new, get = [], {}, self.pieces.get
+        for s in segments:
+            cut.append(_PRETOKEN.findall(s) if _PLAIN.fullmatch(s) else [s])
+            for p in cut[-1]:
+                if get(p) is None:
+                    new[p] = None
+        made = dict(zip(new, self._merged(list(new)), strict=True)) if new else {}
+        if len(self.pieces) < MEMO:
+            self.pieces |= made
+            return {s: sum(map(get, parts)) for s, parts in zip(segments, cut, strict=True)}
+        return {s: sum(get(p) or made[p] for p in parts) for s, parts in zip(segments, cut, strict=True)}
+
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self.segments(t) for t in texts]
-        get = self.known.get
-        out, miss = [], {}
-        for k, segs in enumerate(cut):
+        get, miss = self.known.get, set()
+        for segs in cut:
+            if segs is not None:
+                miss.update(segs)
+        miss = [s for s in miss if get(s) is None]
+        fresh = self._fresh(miss) if miss else {}
+        if len(self.known) < MEMO:
+            self.known |= fresh
+            fresh = {}
+        out = []
+        for text, segs in zip(texts, cut, strict=True):
             if segs is None:
-                out.append(self._merged([texts[k]])[0])
-                continue
-            found = list(map(get, segs))
-            if None in found:
-                miss.update((s, None) for s, n in zip(segs, found, strict=True) if n is None)
-                out.append(None)
+                out.append(self._merged([text])[0])
+            elif fresh:
+                out.append(sum(fresh[s] if (n := get(s)) is None else n for s in segs))
             else:
-                out.append(sum(found))
-        if miss:
-            fresh = dict(zip(miss, self._merged(list(miss)), strict=True))
-            out = [n if n is not None else sum(fresh[s] if s in fresh else get(s) for s in cut[k]) for k, n in enumerate(out)]
-            if len(self.known) < MEMO:
-                self.known |= fresh
+                out.append(sum(map(get, segs)))
         return out
 
 
