@@ -88,7 +88,7 @@ def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
     return b, w
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, penalty: float = 2e-4, seed: int = 5) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, penalty: float = 1e-3, seed: int = 5) -> RuleModel:
     """Boosted small trees give paths; a lasso picks and weighs the paths.
 
     Without rows the score is 0.5; with one class only it is that class's share.
@@ -120,7 +120,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 30
     _, first = np.unique(z, axis=1, return_index=True)
     keep = np.sort(first)
     bias, weights = _lasso(z[:, keep], y, penalty)
-    return RuleModel(bias, tuple((paths[k], float(w)) for k, w in zip(keep, weights, strict=True) if abs(w) > 1e-4))
+    return RuleModel(bias, tuple((paths[k], float(w)) for k, w in zip(keep, weights, strict=True) if abs(w) > 1e-3))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -151,7 +151,9 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     renamed = RuleModel(model.bias, tuple((tuple((f"_rs_{n}", g, v) for n, g, v in q), w) for q, w in model.rules))
     keep = [c for c in docs.columns]
     narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rs_row"), F.col("text").alias("_rs_text"))
-    done = add_statistics(narrow, "_rs_text").withColumns(names).select("_rs_row", renamed.score().alias("score"))
+    # The row number keeps a filter on the score from being pushed below, where every rule would repeat the statistics.
+    wide = add_statistics(narrow, "_rs_text").select("_rs_row", *[c.alias(k) for k, c in names.items()], F.monotonically_increasing_id().alias("_rs_number"))
+    done = wide.select("_rs_row", F.when(F.col("_rs_number") >= 0, renamed.score()).alias("score"))
     return done.select("_rs_row.*", F.col("score").alias("_rs_score"))
 
 
