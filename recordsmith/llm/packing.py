@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -47,46 +48,74 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str], chunk: int = 4000) -> list[bytes]:
+        """Ids of plain pre-tokens: many in one text, cut after the tokens that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), chunk):
+            some = pieces[at : at + chunk]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(some) and (not some or ends[-1] == 4 * len(ids)):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in pairwise([0, *ends.tolist()])]
+            else:
+                out += self._encode(some)
+        return out
+
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not known yet."""
-        cut, new, get = [], {}, self.pieces.get
+        plain, other, new, get = {}, [], {}, self.pieces.get
         for w in words:
-            t = w.decode()
-            cut.append(_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) else [t])
-            for p in cut[-1]:
+            core = w.rstrip(b".,;:!?")
+            if core.isalpha():  # ASCII letters, then at most one run of marks
+                parts = (core.lower().decode(),) if len(core) == len(w) else (core.lower().decode(), w[len(core) :].decode())
+            elif _PLAIN.fullmatch(t := w.decode()):
+                parts = (t.lower(),) if t.isalpha() else _SPLIT.findall(t.lower())
+            else:
+                other.append(w)
+                continue
+            plain[w] = parts
+            for p in parts:
                 if get(p) is None:
                     new[p] = None
-        made = dict(zip(new, self._encode(list(new)), strict=True)) if new else {}
+        made = dict(zip(new, self._encode_pieces(list(new)), strict=True))
+        out = dict(zip(other, self._encode([w.decode() for w in other]), strict=True)) if other else {}
         if len(self.pieces) < MEMO:
             self.pieces |= made
-            return {w: b"".join(map(get, parts)) for w, parts in zip(words, cut, strict=True)}
-        return {w: b"".join([get(p) or made[p] for p in parts]) for w, parts in zip(words, cut, strict=True)}
+            made = {}
+        for w, parts in plain.items():
+            ids = [made[p] if (b := get(p)) is None else b for p in parts]
+            out[w] = ids[0] if len(ids) == 1 else b"".join(ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(s in t.lower() for s in self.special) else t.encode().split() for t in texts]  # bytes: at ASCII white space only
-        get, miss = self.known.get, set()
+        get, ids, missing = self.known.get, [], []
         for words in cut:
-            if words is not None:
-                miss.update(words)
-        miss = [w for w in miss if get(w) is None]
-        fresh = self._fresh(miss) if miss else {}
+            found, at = list(map(get, words or ())), -1
+            gaps = []
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                gaps.append(at)
+            ids.append(found)
+            missing.append(gaps)
+        fresh = self._fresh(list({words[i] for words, gaps in zip(cut, missing, strict=True) for i in gaps}))
+        out = []
+        for t, words, found, gaps in zip(texts, cut, ids, missing, strict=True):
+            for i in gaps:
+                found[i] = fresh[words[i]]
+            out.append(self._encode([t])[0] if words is None else b"".join(found))
         if len(self.known) < MEMO:
             self.known |= fresh
-            fresh = {}
-        out = []
-        for t, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self._encode([t])[0])
-            elif fresh:
-                out.append(b"".join([fresh[w] if (b := get(w)) is None else b for w in words]))
-            else:
-                out.append(b"".join(map(get, words)))
         return out
 
 
