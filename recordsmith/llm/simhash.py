@@ -116,20 +116,3 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(named, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_per_component(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, with all its columns.
-
-    A doc_id decides for its rows, so the choice is a semi-join on ids. A null
-    doc_id stays only where its whole component has no id; of rows that repeat
-    the chosen id, one stays.
-    """
-    marked = materialize(simhash_components(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rs_id"), F.coalesce("component_id", F.lit(-(2**63))).alias("component")), "components")
-    keep = marked.select(F.col("component").alias("_rs_id")).distinct()
-    chosen = docs.withColumn("_rs_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(keep, "_rs_id", "left_semi")
-    repeated = marked.groupBy("_rs_id").agg(F.count("*").alias("n")).where("n > 1").select("_rs_id")
-    if not repeated.isEmpty():
-        first = chosen.join(repeated, "_rs_id", "left_semi").dropDuplicates(["_rs_id"])
-        chosen = chosen.join(repeated, "_rs_id", "left_anti").unionByName(first)
-    return chosen.select(*docs.columns)
