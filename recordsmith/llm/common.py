@@ -8,10 +8,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Prefix of every working column, so that extra input columns cannot clash.
+#: Prefix of working columns.
 TMP = "_rs_"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working column names that df does not have, also where columns differ in case only."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made = TMP + name
+        while made.lower() in taken:
+            made += "_"
+        taken.add(made.lower())
+        out.append(made)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
