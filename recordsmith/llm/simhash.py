@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from .common import materialize, text_or_empty
 from .components import connected_components
 
-#: Bits of a fingerprint in three bands; two differing bits leave one band whole.
-BANDS = ((0, 22), (22, 21), (43, 21))
+#: Pairs of the four 16-bit quarters of a fingerprint; two differing bits leave two quarters whole.
+BANDS = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
 _SEED = 42
 _CHUNK = 1 << 16
 
@@ -54,36 +54,42 @@ def pivots(n: int = 12, seed: int = 7) -> list[int]:
     return [rng.getrandbits(64) - 2**63 for _ in range(n)]
 
 
-def _pivot_distances(fp: Column, refs: list[int]) -> list[Column]:
+def pivot_distances(fp: Column, refs: list[int]) -> list[Column]:
+    """The fingerprint's row of the distance table: d0, d1, ... to every pivot."""
     return [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(refs)]
 
 
 def links(fps: DataFrame, max_bits: int = 2, crowd: int = 64, refs: list[int] | None = None) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints (column fp) up to two differing bits.
 
-    Fingerprints that share a band of bits are candidates. Their distances to
-    the pivots are computed once; a pair is discarded when any coordinate
-    differs by more than max_bits (triangle inequality), and the survivors are
-    verified. A bucket of more than `crowd` fingerprints is not paired: each
-    member is listed under every fingerprint within one bit that keeps the band,
+    The distance table to the pivots is computed once. By the triangle
+    inequality the coordinates of two linked fingerprints differ by max_bits at
+    most, so candidates are found by an equi-join that probes the first pivot's
+    distances within max_bits, among fingerprints that agree in two quarters of
+    their bits (two differing bits leave such a pair whole). Pairs with a larger
+    difference in any other coordinate are discarded, survivors are verified. A
+    bucket of more than `crowd` fingerprints is not paired: each
+    member is listed under every fingerprint within one bit that keeps the quarters,
     and members of one list are at most two bits apart, so each is linked to the
     smallest. That keeps connectivity exactly and stays linear in the bucket.
     """
     if max_bits > 2:
-        raise ValueError("three bands and the crowd rule hold for at most two bits")
+        raise ValueError("two whole quarters and the crowd rule hold for at most two bits")
     refs = refs or pivots()
     fp = F.col("fp")
-    banded = fps.select(fp, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), fp.bitwiseAND(F.lit(_mask(at, n))).alias("bits")) for b, (at, n) in enumerate(BANDS)])).alias("k")).select("fp", "k.*")
-    sizes = banded.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    banded = fps.select(fp, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), fp.bitwiseAND(F.lit(_mask(q))).alias("bits")) for b, q in enumerate(BANDS)])).alias("k")).select("fp", "k.*")
+    sizes = materialize(banded.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = materialize(banded.join(sizes, ["band", "bits"]), "bands")
-    few = shared.where(F.col("n") <= crowd).select("band", "bits", "fp", *_pivot_distances(fp, refs))
-    near = F.greatest(*[F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) for i in range(len(refs))]) <= max_bits
+    few = shared.where(F.col("n") <= crowd).select("band", "bits", "fp", *pivot_distances(fp, refs))
+    probes = few.withColumn("probe", F.explode(F.array(*[(F.col("d0") + F.lit(k).cast("byte")).cast("byte") for k in range(max_bits + 1)])))
+    near = F.greatest(*[F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) for i in range(1, len(refs))]) <= max_bits
     verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    paired = few.alias("a").join(few.alias("b"), on & near & verified).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    once = (F.col("a.d0") < F.col("b.d0")) | (F.col("a.fp") < F.col("b.fp"))
+    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.probe") == F.col("b.d0")) & once
+    paired = probes.alias("a").join(few.alias("b"), on & near & verified).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v"))
     flips = F.lit(None).cast("array<bigint>")
-    for b, (at, n) in enumerate(BANDS):
-        keep = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not at <= i < at + n])
+    for b, quarters in enumerate(BANDS):
+        keep = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if i // 16 not in quarters])
         flips = F.when(F.col("band") == b, keep).otherwise(flips)
     listed = shared.where(F.col("n") > crowd).select("fp", F.explode(flips).alias("flip")).select("fp", fp.bitwiseXOR(F.col("flip")).alias("centre"))
     least = listed.groupBy("centre").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u <> most").drop("most")
@@ -95,8 +101,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _mask(at: int, n: int) -> int:
-    return _signed(((1 << n) - 1) << at)
+def _mask(quarters: tuple[int, ...]) -> int:
+    return _signed(sum(0xFFFF << 16 * q for q in quarters))
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
