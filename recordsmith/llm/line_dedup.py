@@ -5,76 +5,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, materialize, text_or_empty
+from .common import fresh, identity, materialize, text_or_empty
 
 #: A run of so many lines is found for certain; it is also the winnowing window.
 RUN = 3
 _BLANK = " \t\r\x0b\x0c"
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """Rows (id, h, j, at, fp, pos, run), one for each window of `run` non-blank lines.
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK))
 
-    at: the lines' numbers; fp: the least line hash; pos: where it stands (the
-    rightmost on ties); run: a hash of the whole window. A document of fewer
-    lines is one window, which only matches whole documents of as many lines.
+
+def _digest(*parts: Column) -> Column:
+    """128 bits of the lines: two XXH64 with seeds of their own."""
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """Rows (id, h, pos, fp, matches), one for each selected line of a document.
+
+    A line is selected when its hash is the least of some window of `run`
+    non-blank lines (the rightmost on ties); only selected lines are kept.
+    matches are the windows that selected it, from the line numbers
+    before it to those after: (j, digest of the window's lines). Any
+    two equal windows select the same line. A document of fewer lines is one
+    window, which only matches whole documents of as many lines.
     """
     id_, h = identity()
-    lines = docs.select(id_.alias("id"), h.alias("h"), F.split(text_or_empty(), "\n").alias("l"))
-    trimmed = lambda i: F.btrim(F.get("l", i), F.lit(_BLANK))
-    lines = lines.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: trimmed(i) != ""))
-    lines = lines.withColumn("hs", F.transform("at", lambda i: F.xxhash64(trimmed(i)))).select("id", "h", "at", "hs", F.size("at").alias("m"))
+    lines = docs.select(id_.alias("id"), h.alias("h"), F.filter(F.transform(F.split(text_or_empty(), "\n"), _trimmed), lambda x: x != "").alias("t"))
+    lines = lines.select("id", "h", "t", F.size("t").alias("m"), F.transform("t", lambda x: F.xxhash64(x)).alias("hs"))
 
-    def window(j: Column) -> Column:
+    def selected(j: Column) -> Column:
         hashes = [F.get("hs", j + k) for k in range(run)]
-        least = F.least(*hashes)
-        pos = F.lit(0)
+        least, at = F.least(*hashes), F.lit(0)
         for k in range(1, run):
-            pos = F.when(hashes[k] == least, k).otherwise(pos)
-        return F.struct(j.alias("j"), F.slice("at", j + 1, run).alias("at"), least.alias("fp"), (j + pos).alias("pos"), F.xxhash64(*hashes).alias("run"))
+            at = F.when(hashes[k] == least, k).otherwise(at)
+        return j + at
+
+    lines = lines.withColumn("p", F.when(F.col("m") >= run, F.transform(F.sequence(F.lit(0), F.col("m") - run), selected)))
+
+    def line(p: Column) -> Column:
+        around = F.filter(F.sequence(F.greatest(F.lit(0), p - run + 1), F.least(p, F.col("m") - run)), lambda j: F.get("p", j) == p)
+        matches = F.transform(around, lambda j: F.struct(j.alias("j"), _digest(*[F.get("t", j + k) for k in range(run)]).alias("lines")))
+        return F.struct(p.alias("pos"), F.get("hs", p).alias("fp"), matches.alias("matches"))
 
-    short = F.struct(F.lit(0).alias("j"), F.col("at"), F.array_min("hs").alias("fp"), F.lit(0).alias("pos"), F.xxhash64("hs", "m").alias("run"))
-    windows = F.when(F.col("m") >= run, F.transform(F.sequence(F.lit(0), F.col("m") - run), window)).when(F.col("m") > 0, F.array(short))
-    return lines.select("id", "h", F.explode(windows).alias("w")).select("id", "h", "w.*")
+    whole = F.struct(F.lit(0).alias("pos"), F.array_min("hs").alias("fp"), F.array(F.struct(F.lit(0).alias("j"), _digest(F.col("t"), F.col("m")).alias("lines"))).alias("matches"))
+    kept = F.when(F.col("m") >= run, F.transform(F.array_distinct("p"), line)).when(F.col("m") > 0, F.array(whole))
+    return lines.select("id", "h", F.explode(kept).alias("f")).select("id", "h", "f.*")
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (id, h, deleted): for each document the numbers of the lines to delete.
+def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """Rows (id, h, later): for each document the windows of `run` lines that repeat an earlier one.
 
-    Window minima are the fingerprints: two equal runs of `run` lines pick the
-    same line, so a run is a candidate only if its fingerprint stands at two
-    places. Candidates are joined to the first occurrence of the whole window in
-    (doc_id, line) order, which extends a match to both sides; later ones are
-    deleted, and overlapping windows add up to maximal runs. Within one document a
-    repeat must not overlap the first run. Every join has one row a key on one
-    side, so hot lines and thousands of copies stay linear.
+    Positions of one fingerprint are joined, if it has two. A match is
+    extended to both sides over the lines around it, by a 128-bit digest of
+    the lines. The first place of a run in (doc_id, line) order
+    stays, later ones are returned, and overlapping windows add up to maximal runs.
+    Within one document a repeat must not overlap the first run. Every join has one
+    row a key on one side, which is written first, so the other side, with hot
+    lines and thousands of copies, can be split and stays linear.
     """
-    windows = materialize(_windows(docs, run), "windows")
+    places = materialize(fingerprints(docs, run), "fingerprints")
     place = F.struct("id", "h", "pos")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp")
-    candidates = windows.join(shared, "fp", "left_semi").select("id", "h", "j", "at", "run")
+    shared = materialize(places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp"), "shared")
+    candidates = places.join(shared, "fp", "left_semi").select("id", "h", F.explode("matches").alias("w")).select("id", "h", "w.j", "w.lines")
+    candidates = materialize(candidates, "candidates")
     place = F.struct("id", "h", "j")
-    first = candidates.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("run", "a")
+    first = candidates.groupBy("lines").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
+    first = materialize(first.select("lines", "a"), "first")
     same = (F.col("id") == F.col("a.id")) & (F.col("h") == F.col("a.h"))
-    later = candidates.join(first, "run").where(~same | (F.col("j") >= F.col("a.j") + run))
-    return later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("deleted"))
+    later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + run))
+    return later.groupBy("id", "h").agg(F.collect_set("j").alias("later"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with later repeats of runs of lines deleted, and _rs_lines, _rs_deleted counted.
+def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with later repeats of runs of lines deleted; counts names two columns for the lines and the deleted ones.
 
     Lines are compared without white space around them; blank lines are no part
     of a run and stay. A document of which every non-blank line is deleted goes.
     A document without deletions keeps its text exactly (null stays null). Rows
-    that agree in doc_id and text are one document and share its fate.
+    that agree in doc_id and text are one document and share its fate. No rows
+    give no rows; other columns are kept, whatever their names.
     """
+    a, b, later, cut, gone, lines, deleted = fresh(docs, "id", "h", "later", "cut", "gone", "lines", "deleted")
     id_, h = identity()
-    marked = docs.withColumns({"_rs_id": id_, "_rs_h": h})
-    gone = repeated_lines(docs, run).select(F.col("id").alias("_rs_id"), F.col("h").alias("_rs_h"), F.col("deleted").alias("_rs_gone"))
-    joined = marked.join(gone, ["_rs_id", "_rs_h"], "left").withColumn("_rs_l", F.split(text_or_empty(), "\n"))
-    filled = F.size(F.filter("_rs_l", lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
-    joined = joined.withColumns({"_rs_lines": filled.cast("long"), "_rs_deleted": F.coalesce(F.size("_rs_gone"), F.lit(0)).cast("long")})
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_rs_l") - 1), F.col("_rs_gone"))
-    text = F.when(F.col("_rs_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_rs_l", i)), "\n"))
-    left = joined.where((F.col("_rs_deleted") == 0) | (F.col("_rs_deleted") < F.col("_rs_lines")))
-    return left.withColumn("text", text).select(*docs.columns, "_rs_lines", "_rs_deleted")
+    found = repeated_runs(docs, run).select(F.col("id").alias(a), F.col("h").alias(b), F.col("later").alias(later))
+    joined = docs.withColumns({a: id_, b: h}).join(found, [a, b], "left").withColumn(cut, F.split(text_or_empty(), "\n"))
+    filled = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: _trimmed(F.get(cut, i)) != "")
+    joined = joined.withColumn(lines, F.when(F.col(later).isNotNull(), filled))
+    joined = joined.withColumn(gone, F.array_distinct(F.flatten(F.transform(later, lambda j: F.slice(lines, j + 1, run)))))
+    left = joined.where(F.col(later).isNull() | (F.size(gone) < F.size(lines)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
+    text = F.when(F.col(later).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
+    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    if counts:
+        number = F.size(F.filter(cut, lambda x: _trimmed(x) != "")).cast("long")
+        columns += [number.alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
+    return left.select(*columns)

@@ -15,7 +15,7 @@ from .packing import pack_documents
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .simhash import simhash_components
-from .substring_dedup import repeated_passages
+from .substring_dedup import repeated_passages, repeated_within
 from .token_counts import count_tokens
 
 
@@ -30,8 +30,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents"))
-    return done.selectExpr("doc_id", "_rs_lines AS n_lines", "_rs_deleted AS n_deleted", "text")
+    done = dedup_lines(table(spark, sf_dir, "documents"), counts=("n_lines", "n_deleted"))
+    return done.select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_within_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats inside one document, which the passages between documents leave out."""
+    return repeated_within(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_pages_language_id,
         op7_token_counts,
         op8_substring_dedup,
+        op8_within_documents,
         op9_quality_rules,
         op10_quality_classifier,
     )
