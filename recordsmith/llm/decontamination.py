@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import fresh, materialize, text_or_empty
 
 #: Bytes of benchmark text that one pass over the documents may carry to the tasks.
 BLOCK_BYTES = 8_000_000
@@ -114,7 +114,7 @@ class Block:
         lsh: dict[int, set[int]] = defaultdict(set)
         for item_id, text in rows:
             words = words_of(text)
-            if len(words) < 5:
+            if not words:
                 continue
             item = np.array([block.vocabulary.setdefault(w, len(block.vocabulary) + 1) for w in words], np.int64)
             n, k = len(item), edits_allowed(len(item))
@@ -202,12 +202,14 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
     return docs.mapInPandas(run, LEAKS)
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> list[Block]:
-    """The benchmark in blocks of about `size` bytes, each of which is carried to the tasks whole."""
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The benchmark in blocks of about `size` bytes, one at a time; each is carried to the tasks whole."""
     rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / size))
-    return [Block.of([(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()]) for b in range(n)]
+    for b in range(n):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t")
+        yield Block.of([(r["i"], r["t"]) for r in part.collect()])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,27 +218,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     An item stands in a document when some window of it is at most a fifth of
     the item's words away in edits (similarity 0.8). Words are lower-cased runs
     of letters and digits. The benchmark is the stated query set, scanned
-    against all documents in blocks of bounded size; documents are read once a
-    block, without a shuffle. Items of fewer than five words and null items are
-    left out; null texts hold nothing; h is the text's hash, which with doc_id
-    names a document where ids are null or repeated.
+    against all documents in blocks of bounded size, one after the other; documents
+    are read once a block, without a shuffle. An item of fewer than five words is
+    found where it stands exactly; items without words and null items hold
+    nothing. Null and empty texts hold nothing, repeated rows give repeated
+    results, and no documents or no items give no rows; h is the text's
+    hash, which with doc_id names a document where ids are null or repeated.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("h"), text_or_empty(text).alias("text"))
-    out = None
-    for block in blocks(benchmark):
-        found = _scan(rows, block)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = None
+    for block in blocks(benchmark):  # what earlier blocks found is written before the next one is built
+        scanned = _scan(rows, block)
+        found = scanned if found is None else materialize(found, "leaks").unionByName(scanned)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row (doc_id, n_items, item_ids, n_passages, least_distance) for each document that holds a benchmark item."""
+    """One row (doc_id, n_items, item_ids, n_passages, least_distance) for each document that holds a benchmark item.
+
+    Documents are told apart by doc_id and text, so different texts under one id,
+    or without one, have rows of their own; rows equal in both are one, with the passages of each.
+    """
     found = find_leaks(docs, benchmark)
     return found.groupBy("doc_id", "h").agg(F.count_distinct("item_id").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_passages"), F.min("distance").alias("least_distance")).drop("h")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; every other row stays as it is."""
-    found = find_leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rs_id"), F.col("h").alias("_rs_h")).distinct()
-    marked = docs.withColumns({"_rs_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_rs_h": F.xxhash64(text_or_empty())})
-    return marked.join(found, ["_rs_id", "_rs_h"], "left_anti").select(*docs.columns)
+    """docs without the documents that hold a benchmark item; every other row stays as it is, also with null text or id."""
+    a, b = fresh(docs, "id", "h")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    found = find_leaks(docs, benchmark).select(known.alias(a), F.col("h").alias(b)).distinct()
+    return docs.withColumns({a: known, b: F.xxhash64(text_or_empty())}).join(found, [a, b], "left_anti").select(*docs.columns)
