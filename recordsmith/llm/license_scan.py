@@ -33,6 +33,7 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 )
 K = 3
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _hash(words: list[Column]) -> Column:
@@ -49,14 +50,17 @@ def _positions(templates: list[tuple[str, str]]) -> list[tuple[int, int, int, st
     return out
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, templates: tuple[tuple[str, str], ...] = TEMPLATES, drift: int = 2, coverage: float = 0.9) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, templates: tuple[tuple[str, str], ...] = TEMPLATES, drift: int = 2, edit_every: int = 12) -> DataFrame:
     """One row for each input row: the base result and the labels found by diagonal voting.
 
     All rolling word k-gram hashes of a text are matched to template positions.
     Each match votes for the diagonal (position in the text less position in the
     template). A base phrase stands where one diagonal has a vote from every
     k-gram. For other templates, diagonals at most `drift` apart are merged, and
-    a span is verified when its own words cover `coverage` of the template's k-grams.
+    a span is verified on its words: the template's words that no matched k-gram
+    covers, and words that the span has too many, are edits, of which one is
+    allowed for every `edit_every` words of the template. Short templates, which differ
+    in a version or a clause alone, must stand exactly.
     The templates are part of the library, so their table has a fixed size; it is
     the only table that is broadcast. Hashes that no template has are dropped in
     the scan, before anything is exploded, and a match is confirmed on the words.
@@ -69,7 +73,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     known = [(label, phrase, True) for phrase, label in BASE.items()] + [(label, t, False) for label, t in templates]
     grams = _positions(known)
     hashes = [_hash([F.lit(w) for w in words]) for words in {tuple(g[5]) for g in grams}]
-    words = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), words.alias("w"))
     gram = lambda i: [F.get("w", i + j) for j in range(K)]
     starts = F.when(F.size("w") >= K, F.filter(F.sequence(F.lit(0), F.size("w") - K), lambda i: _hash(gram(i)).isin(hashes)))
@@ -82,10 +86,12 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     spans = votes.withColumn("span", F.sum(apart.cast("int")).over(by)).groupBy("row", "doc_id", "n_words", "template", "n_grams", "label", "base", "span").agg(
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start")
     )
-    spans = spans.withColumn("covered", F.size("ats") / F.col("n_grams"))
+    length = F.col("n_grams") + K - 1
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
+    edits = length - covered + F.greatest(F.lit(0), F.col("hi") - F.col("lo") + 1 - F.col("n_grams"))
+    spans = spans.withColumn("edits", edits).withColumn("covered", 1 - F.least(F.col("edits"), length) / length)
     place = F.col("base") & (F.size("ats") == F.col("n_grams"))
-    compact = F.col("hi") - F.col("lo") + 1 <= F.col("n_grams") + 2 * drift
-    verified = place | (~F.col("base") & compact & (F.col("covered") >= coverage))
+    verified = place | (~F.col("base") & (F.col("edits") * edit_every <= length))
     joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
     return spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(F.when(place, 1)).alias("n_base"),
