@@ -46,33 +46,44 @@ def posterior(names: list[str], prior: float, rates: list[tuple[float, float]])
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
+#: Limits of the estimates: the prior, and how often a rule votes right on good and on bad texts.
+PRIORS, ON_GOOD, ON_BAD = (0.5, 0.99), (0.6, 0.999), (0.05, 0.999)
+
+
 def estimate(patterns: DataFrame, names: list[str], rounds: int = 12, *, prior: float = 0.8, start: tuple[float, float] = (0.99, 0.3)) -> tuple[float, list[tuple[float, float]]]:
     """Prior and rule accuracies by expectation-maximisation over counted vote patterns.
 
     patterns has one row for each combination of votes that occurs (at most 3 to
-    the number of rules, however many documents there are) and its count n. Each
-    round is one aggregate of that small table. A rule has one accuracy on good
+    the number of rules, however many documents there are) and its count n, so the
+    rounds need no jobs once it is read. A rule has one accuracy on good
     texts and one on bad texts, because a fault shows in few rules at a time: a
     bad vote says more than a good one. Their sum stays over 1, so no rule is
     worse than chance, which also fixes which class is the good one. Pseudo-counts
-    of the start values keep a small table from extremes.
+    of the start values keep a small table from extremes, and the limits above keep
+    logarithms finite and the good class the larger one, where all votes agree.
     """
-    rates, weight = [start] * len(names), 20.0
-    for _ in range(rounds):
-        p, n = posterior(names, prior, rates), F.col("n")
-        sums = [F.sum(n).alias("all"), F.sum(n * p).alias("good")]
-        for j, name in enumerate(names):
-            vote = F.col(name)
-            for kind, q in (("good", p), ("bad", 1 - p)):
-                sums += [F.sum(F.when(vote == (1 if kind == "good" else -1), n * q).otherwise(0.0)).alias(f"{kind}_right{j}"), F.sum(F.when(vote != 0, n * q).otherwise(0.0)).alias(f"{kind}_votes{j}")]
-        got = patterns.agg(*sums).first()
-        if not got["all"]:
-            break
-        prior = min(0.99, max(0.5, got["good"] / got["all"]))
+    counted = [(r["n"], [r[name] for name in names]) for r in patterns.collect()]
+    rates, weight, total = [start] * len(names), 20.0, sum(n for n, _ in counted)
+    for _ in range(rounds if total else 0):
+        good = 0.0
+        right, voted = [[0.0, 0.0] for _ in names], [[0.0, 0.0] for _ in names]
+        for n, pattern in counted:
+            logit = math.log(prior / (1 - prior))
+            for vote, (on_good, on_bad) in zip(pattern, rates, strict=True):
+                if vote:
+                    logit += math.log(on_good / (1 - on_bad)) if vote == 1 else math.log((1 - on_good) / on_bad)
+            p = 1.0 / (1.0 + math.exp(-logit))
+            good += n * p
+            for j, vote in enumerate(pattern):
+                if vote:
+                    right[j][vote == -1] += n * (p if vote == 1 else 1 - p)
+                    voted[j][0] += n * p
+                    voted[j][1] += n * (1 - p)
+        prior = min(PRIORS[1], max(PRIORS[0], good / total))
         rates = []
         for j in range(len(names)):
-            g, b = ((got[f"{k}_right{j}"] + weight * s) / (got[f"{k}_votes{j}"] + weight) for k, s in zip(("good", "bad"), start, strict=True))
-            g, b = min(0.999, max(0.6, g)), min(0.999, max(0.05, b))
+            g, b = ((right[j][k] + weight * start[k]) / (voted[j][k] + weight) for k in (0, 1))
+            g, b = min(ON_GOOD[1], max(ON_GOOD[0], g)), min(ON_BAD[1], max(ON_BAD[0], b))
             rates.append((g, max(b, 1.02 - g)))
     return prior, rates
 
@@ -92,7 +103,6 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     names = list(votes())
     kept_columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names]
     done = materialize(voted.select(*kept_columns), "quality")
-    patterns = materialize(done.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
-    prior, rates = estimate(patterns, names)
+    prior, rates = estimate(done.groupBy(*names).agg(F.count("*").alias("n")), names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return done.withColumns({"base_failed": failed, "quality": posterior(names, prior, rates)}).withColumn("kept", ~failed & (F.col("quality") >= least)).drop(*names)
