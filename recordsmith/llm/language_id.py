@@ -82,10 +82,15 @@ def _softmax(columns: list[Column]) -> list[Column]:
 
 
 def host_levels(host: Column) -> dict[str, Column]:
-    """suffix (last label), domain (last three labels at most) and host; '' where there is none."""
-    name = F.coalesce(F.lower(host), F.lit(""))
-    dotted = name.contains(".")
-    return {"suffix": F.when(dotted, F.substring_index(name, ".", -1)).otherwise(""), "domain": F.when(dotted, F.substring_index(name, ".", -3)).otherwise(name), "host": name}
+    """suffix (last label), domain and host, without a leading www.; '' where there is none.
+
+    The domain is the last two labels, or three where the second is as short as in co.uk.
+    """
+    name = F.regexp_replace(F.coalesce(F.lower(host), F.lit("")), "^www\\.", "")
+    dotted, labels = name.contains("."), F.split(name, "\\.")
+    short = F.length(F.get(labels, F.size(labels) - 2)) <= 3
+    domain = F.substring_index(name, ".", -2)
+    return {"suffix": F.when(dotted, F.substring_index(name, ".", -1)).otherwise(""), "domain": F.when(dotted, F.when(short, F.substring_index(name, ".", -3)).otherwise(domain)).otherwise(name), "host": name}
 
 
 def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], strength: float = 8.0) -> DataFrame:
@@ -96,9 +101,11 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
     and the host's prior, which is drawn to that of its domain, its suffix and
     the whole corpus with the weight of `strength` rows a level. The last two
     are grouped sums of the text posteriors over all rows, so a hot host is one
-    partial sum a task. The likelihoods are written once and read twice.
+    partial sum a task. A row's own posterior is taken out of the sums of its host, domain,
+    suffix and corpus, so it counts once. The likelihoods are written once and read twice.
 
-    Null texts, hosts and declarations are no evidence; a row without any gets
+    Very long texts count like others of EVIDENCE trigrams; repeated rows are rows of
+    their own; no rows give no rows. Null texts, hosts and declarations are no evidence; a row without any gets
     the corpus prior. Ties go to the first language in alphabetical order.
     """
     n, schema = len(model.languages), T.ArrayType(T.DoubleType())
@@ -118,15 +125,19 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
     add = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     by_domain, by_suffix, whole = by_host.groupBy("_rs_suffix", "_rs_domain").agg(*add), by_host.groupBy("_rs_suffix").agg(*add), by_host.agg(*add).first()
     total = sum((whole[f"s{i}"] or 0.0) for i in range(n))
-    corpus = [((whole[f"s{i}"] or 0.0) + 1.0) / (total + n) for i in range(n)]
-
-    def smoothed(level: DataFrame, above: list[Column], tag: str) -> list[Column]:
-        mass = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(n)])
-        return [((F.col(f"s{i}") + strength * above[i]) / (mass + strength)).alias(f"{tag}{i}") for i in range(n)]
+    levels = (by_suffix, "_rs_x", ["_rs_suffix"]), (by_domain, "_rs_y", ["_rs_suffix", "_rs_domain"]), (by_host, "_rs_h", ["_rs_suffix", "_rs_domain", "_rs_host"])
+    named = [level.select(*key, *[F.col(f"s{i}").alias(f"{tag}{i}") for i in range(n)]) for level, tag, key in levels]
+    host = named[2].join(named[1], ["_rs_suffix", "_rs_domain"]).join(named[0], "_rs_suffix").drop("_rs_suffix", "_rs_domain")
+
+    def smoothed() -> list[Column]:
+        own = [F.col(f"_rs_p{i}") for i in range(n)]
+        prior = [(F.greatest(F.lit(whole[f"s{i}"] or 0.0) - own[i], F.lit(0.0)) + 1.0) / (max(total - 1.0, 0.0) + n) for i in range(n)]
+        for _, tag, _ in levels:
+            rest = [F.greatest(F.col(f"{tag}{i}") - own[i], F.lit(0.0)) for i in range(n)]
+            mass = reduce(lambda a, b: a + b, rest)
+            prior = [(rest[i] + strength * prior[i]) / (mass + strength) for i in range(n)]
+        return [p.alias(f"_rs_q{i}") for i, p in enumerate(prior)]
 
-    suffix = by_suffix.select("_rs_suffix", *smoothed(by_suffix, [F.lit(p) for p in corpus], "_rs_x"))
-    domain = by_domain.join(suffix, "_rs_suffix").select("_rs_suffix", "_rs_domain", *smoothed(by_domain, [F.col(f"_rs_x{i}") for i in range(n)], "_rs_y"))
-    host = by_host.join(domain, ["_rs_suffix", "_rs_domain"]).select("_rs_host", *smoothed(by_host, [F.col(f"_rs_y{i}") for i in range(n)], "_rs_h"))
     says = scored.groupBy("_rs_declared").agg(*sums).collect()  # at most 66 rows
     mass = {r["_rs_declared"]: [r[f"s{i}"] for i in range(n)] for r in says if r["_rs_declared"]}
     spoken = [sum(v[i] for v in mass.values()) + len(mass) + 1.0 for i in range(n)]
@@ -137,8 +148,8 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
             out = out.when(F.col("_rs_declared") == value, float(np.log((v[i] + 1.0) / spoken[i])))
         return out.otherwise(0.0)
 
-    joined = scored.join(host, "_rs_host")
-    p = _softmax([F.col(f"_rs_l{i}") + F.log(f"_rs_h{i}") + declares(i) for i in range(n)])
+    joined = scored.join(host, "_rs_host").select(*keep, "_rs_declared", *[f"_rs_l{i}" for i in range(n)], *smoothed())
+    p = _softmax([F.col(f"_rs_l{i}") + F.log(f"_rs_q{i}") + declares(i) for i in range(n)])
     joined = joined.select(*keep, F.array(*p).alias("_rs_p"), F.array(*[F.col(f"_rs_l{i}") for i in range(n)]).alias("_rs_t"))
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
