@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import fresh, materialize, text_or_empty
 
 #: Distinct words whose ids a worker keeps.
 MEMO = 600_000
@@ -200,19 +200,21 @@ def pack(pieces: DataFrame, *, size: int = 4096, open_bins: int = OPEN_BINS, ord
     shard is a stream that one task packs with open_bins bins in memory, whatever
     its length. Arrival order is by a hash, so lengths come well mixed. A shard
     leaves at most open_bins bins unfilled, a small part of its thousands.
-    Ties, nulls and repeated rows need nothing special: any order packs validly.
+    Ties, nulls and repeated rows need nothing special: any order packs validly,
+    and no rows give no rows.
     """
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     shards = int(min(MOST_SHARDS, max(1, round(total / SHARD_TOKENS))))
     mixed = F.xxhash64(*order, F.lit(3))
-    dealt = pieces.withColumns({"_rs_mix": mixed, "_rs_shard": F.pmod(mixed, F.lit(shards))})
+    mix, at = fresh(pieces, "mix", "shard")
+    dealt = pieces.withColumns({mix: mixed, at: F.pmod(mixed, F.lit(shards)).cast("int")})
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, packer = None, Packer(size, open_bins)
         for part in parts:
             placed = []
-            for s, n in zip(part["_rs_shard"].tolist(), part["length"].tolist(), strict=True):
+            for s, n in zip(part[at].tolist(), part["length"].tolist(), strict=True):
                 if s != shard:
                     shard, packer = s, Packer(size, open_bins)
                 seq, offset = packer.add(n)
@@ -221,8 +223,9 @@ def pack(pieces: DataFrame, *, size: int = 4096, open_bins: int = OPEN_BINS, ord
             part["offset"] = np.array([p[1] for p in placed], "int64")
             yield part
 
-    sorted_shards = dealt.repartition(shards, "_rs_shard").sortWithinPartitions("_rs_shard", "_rs_mix", *order)
-    return sorted_shards.mapInPandas(run, schema).drop("_rs_mix", "_rs_shard")
+    # By partition number: hashing the shard numbers would put several shards into one task.
+    sorted_shards = dealt.repartitionById(shards, at).sortWithinPartitions(at, mix, *order)
+    return sorted_shards.mapInPandas(run, schema).drop(mix, at)
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", *, size: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
