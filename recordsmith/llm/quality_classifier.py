@@ -145,8 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> RuleMode
     return fit_rules(x, np.array([int(r["_rs_y"] > 0) for r in rows]), names)
 
 
-def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs with score and predicted; one pass, no shuffle, no Python on the executors."""
+def score(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
+    """docs with the score in a column `name`; one pass, no shuffle, no Python on the executors.
+
+    Null texts count as empty and get a score; every row and column is kept, whatever its name.
+    """
     names = {f"_rs_{k}": c for k, c in ratios().items()}
     renamed = RuleModel(model.bias, tuple((tuple((f"_rs_{n}", g, v) for n, g, v in q), w) for q, w in model.rules))
     keep = [c for c in docs.columns]
@@ -154,7 +157,7 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     # The row number keeps a filter on the score from being pushed below, where every rule would repeat the statistics.
     wide = add_statistics(narrow, "_rs_text").select("_rs_row", *[c.alias(k) for k, c in names.items()], F.monotonically_increasing_id().alias("_rs_number"))
     done = wide.select("_rs_row", F.when(F.col("_rs_number") >= 0, renamed.score()).alias("score"))
-    return done.select("_rs_row.*", F.col("score").alias("_rs_score"))
+    return done.select("_rs_row.*", F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,4 +168,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, thresh
     """
     model = fit(docs, labels, sample=sample)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_rs_score").alias("score"), (F.col("_rs_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
