@@ -30,14 +30,22 @@ def private_ipv4(name: Column) -> Column:
     return F.coalesce(blocks, F.lit(False))
 
 
-def valid_evidence_url(url: Column, limit: int = 2048) -> Column:
-    """http or https with a public host, no credentials, at most `limit` characters.
+def private_ipv6(name: Column) -> Column:
+    """True for bracketed IPv6 literals that are not globally reachable; null for other names."""
+    groups = F.split(F.split(F.btrim(name, F.lit("[]")), "::")[0], ":")
+    a, b, c, d = (F.conv(F.coalesce(F.nullif(F.get(groups, i), F.lit("")), F.lit("0")), 16, 10).try_cast("int") for i in range(4))
+    # The blocks that are not global, and the parts of 2001::/23 that are.
+    shared = (a == 0x2001) & (b < 0x200) & ~(b.between(0x20, 0x3F) | (b == 3) | ((b == 4) & (c == 0x112)))
+    blocks = (a == 0) | ((a == 0x64) & (b == 0xFF9B) & (c == 1)) | ((a == 0x100) & (b == 0) & (c == 0) & (d == 0)) | shared | ((a == 0x2001) & (b == 0xDB8)) | (a == 0x2002)
+    blocks = blocks | a.between(0xFC00, 0xFDFF) | a.between(0xFE80, 0xFEBF)
+    return F.when(name.startswith("["), F.coalesce(blocks, F.lit(True)))
+
 
-    IPv6 literals are refused unless they are in the global block 2000::/3.
-    """
+def valid_evidence_url(url: Column, limit: int = 2048) -> Column:
+    """http or https with a public host, no credentials, at most `limit` characters."""
     name = host(url)
     ok = part(url, "PROTOCOL").isin("http", "https") & (F.length(name) > 0) & part(url, "USERINFO").isNull() & (F.length(url) <= limit)
-    ok = ok & ~name.isin("localhost", "localhost.localdomain") & ~private_ipv4(name) & (~name.startswith("[") | name.rlike(r"^\[[23][0-9a-f]{3}:"))
+    ok = ok & ~name.isin("localhost", "localhost.localdomain") & ~private_ipv4(name) & ~F.coalesce(private_ipv6(name), F.lit(False))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, strip
 
+# The shapes of model ids, of dated snapshots and of one family's names.
 MODEL_ID = r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}\z"
 SNAPSHOT = r"-\d{4}-\d{2}-\d{2}$"
+_FAMILY = r"^claude-(opus|sonnet|haiku|fable|mythos)-(\d+)(?:-(\d+))?(?:-|$)"
 # What a research model's name does not hold.
 EXCLUDED = ("audio", "chat", "codex", "image", "realtime", "search-preview", "transcribe", "tts", "whisper")
-_FAMILY = r"^claude-(opus|sonnet|haiku|fable|mythos)-(\d+)(?:-(\d+))?(?:-|$)"
 
 
 def is_model_id(model: Column) -> Column:
@@ -80,6 +81,31 @@ def refresh_due(last: Column, now: Column, enabled: Column, hours: float = 24.0)
     return enabled & F.coalesce(unusable | (now < t) | (now - t >= hours * 3600), F.lit(True))
 
 
+def _finite(value: Column) -> Column:
+    """A number that can be reckoned with, else null."""
+    t = value.try_cast("double")
+    return F.when(~F.isnan(t) & ~t.isin(float("inf"), float("-inf")), t)
+
+
+def cache_is_fresh(fetched: Column, models: Column, now: Column, days: float = 7.0) -> Column:
+    """True for a list with models that was fetched less than `days` ago, and not in the future; no time counts as the epoch."""
+    age = now - F.coalesce(_finite(fetched), F.when(fetched.isNull(), 0.0))
+    return F.coalesce((F.size(models) > 0) & (age >= 0) & (age < days * 86400), F.lit(False))
+
+
+def reminder_due(version: Column, skipped: Column, reminded: Column, remind_after: Column, now: Column) -> Column:
+    """Whether to tell of a version: never if it is skipped; if the reminder is for another version or has no usable time; else from its time on."""
+    at = F.when(remind_after.isNull(), 0.0).otherwise(_finite(remind_after))
+    due = F.when(reminded.eqNullSafe(version), F.coalesce(at <= now, F.lit(True))).otherwise(True)
+    return ~skipped.eqNullSafe(version) & due
+
+
+def known_update_available(known: Column, minimum: Column, current: Column, host: Column) -> Column:
+    """Whether a remembered version is newer than the current one and runs on the host; invalid versions are none."""
+    k, m, c, h = (parse_version(x) for x in (known, minimum, current, host))
+    return F.coalesce((k > c) & (h >= m), F.lit(False))
+
+
 def parse_version(text: Column) -> Column:
     """Struct of three numbers, null unless there are exactly three of at most 999999."""
     shaped = (F.length(text) <= 32) & text.rlike(r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)\z")

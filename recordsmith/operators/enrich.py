@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, strip
+from ..functions.text import collapse, instruction_risk, strip, valid_partial_date
 from ..functions.urls import valid_evidence_url
+from ..sources.staging import staged
+from .contracts import response_fields, validate_metadata
 from .review import FIELDS
 
 # What a preset sets, and what providers can do.
@@ -88,14 +90,20 @@ def constrain_citations(fields: DataFrame, results: DataFrame, *, request: str =
 
 
 def combine_partials(chunks: DataFrame, expected: DataFrame) -> DataFrame:
-    """(request_id, match, n_fields, errors): fields of all chunks, the match of the first, chunks whose keys differ.
+    """(request_id, match, fields, errors): the field map of all chunks, the match of the first, chunks whose keys differ.
 
-    chunks: (request_id, chunk, match, field, value); expected: (chunk, fields).
+    chunks: (request_id, chunk, match, field, value); expected: (chunk, fields). Rows
+    of one chunk agree in their match; the least is taken where they do not. Of a
+    field that two chunks give, the later chunk's value stays. A request's rows are few:
+    at most one for each field and chunk.
     """
-    got = chunks.groupBy("request_id", "chunk").agg(F.first("match").alias("match"), F.array_sort(F.collect_set("field")).alias("keys"), F.count("*").alias("n"))
-    checked = got.join(F.broadcast(expected), "chunk", "left")
+    got = chunks.groupBy("request_id", "chunk").agg(F.min("match").alias("match"), F.array_sort(F.collect_set("field")).alias("keys"))
+    checked = got.join(expected, "chunk", "left")
     wrong = (F.size(F.array_except("keys", "fields")) > 0) | (F.size(F.array_except("fields", "keys")) > 0)
-    return checked.groupBy("request_id").agg(F.min_by("match", "chunk").alias("match"), F.sum("n").alias("n_fields"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("errors"))
+    heads = checked.groupBy("request_id").agg(F.min_by("match", "chunk").alias("match"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("errors"))
+    values = chunks.groupBy("request_id", "field").agg(F.max(F.struct("chunk", "value"))["value"].alias("value"))
+    maps = values.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return heads.join(maps, "request_id").select("request_id", "match", "fields", "errors")
 
 
 def research_queries(books: DataFrame, most: int = 3) -> DataFrame:
@@ -110,17 +118,26 @@ def research_queries(books: DataFrame, most: int = 3) -> DataFrame:
     return books.select("book_id", F.posexplode(queries).alias("rank", "query"))
 
 
-def build_requests(books: DataFrame, fields: list[str]) -> DataFrame:
-    """(book_id, scope, payload): the fields asked for, in order, and the evidence as JSON with sorted keys."""
+def build_requests(books: DataFrame, fields: list[str], *, prompt: str = "") -> DataFrame:
+    """(book_id, scope, instructions, payload, suspicious): one research request a book.
+
+    The payload is the local evidence as JSON with sorted keys: what the record
+    says, and a column `evidence` if there is one. Whether that text looks like an
+    instruction is kept beside the payload, never in it. scope names the fields asked for,
+    in their order, and ends the instructions.
+    """
     scope = ", ".join(f for f in FIELDS if f in fields)
-    evidence = F.struct(F.col("authors_text").alias("authors"), F.col("isbn_raw").alias("identifier"), "publisher", "title")
-    return books.select("book_id", F.lit(scope).alias("scope"), F.to_json(evidence, {"ignoreNullFields": "false"}).alias("payload"))
+    has = "evidence" in books.columns
+    known = [F.col("authors_text").alias("authors"), *([F.col("evidence")] if has else []), F.col("isbn_raw").alias("identifier"), F.col("publisher"), F.col("title")]
+    instructions = f"{prompt.rstrip()}\n\nReturn exactly these fields: {scope}.".lstrip()
+    risky = instruction_risk(F.col("evidence")) >= 2 if has else F.lit(False)
+    return books.select("book_id", F.lit(scope).alias("scope"), F.lit(instructions).alias("instructions"), F.to_json(F.struct(*known), {"ignoreNullFields": "false"}).alias("payload"), risky.alias("suspicious"))
 
 
 CONFIDENCES = ("high", "medium", "low")
 
 
-def response_errors(urls: int = 10) -> Column:
+def proposal_errors(urls: int = 10) -> Column:
     """All errors of a proposal row (field, value_text, confidence, evidence_urls, inferred), never only the first."""
     limit = max(1, min(10, urls))
     text, field = F.col("value_text"), F.col("field")
@@ -132,20 +149,14 @@ def response_errors(urls: int = 10) -> Column:
         ("too long", F.coalesce(F.length(text) > longest, F.lit(False))),
         ("too many urls", F.coalesce(F.size("evidence_urls") > limit, F.lit(False))),
         ("bad url", F.coalesce(F.exists("evidence_urls", lambda u: ~valid_evidence_url(u)), F.lit(False))),
-        ("bad date", (field == "published_date") & ~_date(text)),
+        ("bad date", (field == "published_date") & ~F.coalesce(valid_partial_date(text), F.lit(False))),
     )
     return F.array_compact(F.array(*[F.when(c, name) for name, c in rules]))
 
 
-def _date(text: Column) -> Column:
-    from ..functions.text import valid_partial_date
-
-    return F.coalesce(valid_partial_date(text), F.lit(False))
-
-
 def validate_responses(df: DataFrame, urls: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with errors): closed contracts, checked row by row without a shuffle."""
-    checked = df.withColumn("errors", response_errors(urls))
+    """(accepted, rejected with errors) of flat proposal rows; they are judged once and written, then split."""
+    checked = staged(df.withColumn("errors", proposal_errors(urls)), "proposals")
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
@@ -155,16 +166,32 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.withColumns({"confidence": F.when(risky, "low").otherwise(F.col("confidence")), "warning": F.when(risky, "Suspicious instructions were found in the evidence.")})
 
 
-def enrich(requests: DataFrame, cache: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], response_schema: str) -> dict[str, DataFrame]:
-    """Cache join, then the user's function on the misses only, then validation: hits, accepted, rejected.
+def enrich(requests: DataFrame, cache: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: list[str], *, results: DataFrame | None = None, urls: int = 10, prompt: str = "") -> dict[str, DataFrame]:
+    """From requests to reviewed fields: hits, fields, rejected and records.
 
-    The function gets batches of requests and returns proposal rows; it is the
-    one extension point, and it never sees a request that the cache answers.
+    requests: (request_id, book_id, evidence, what a record says, and what a cache
+    key covers). Cached requests are answered by the cache; for the others a
+    research request is built, and the user's function gets batches of (book_id,
+    instructions, payload) and returns (book_id, body). Bodies are held to the
+    closed contract, citations to what the search found (results: request_id,
+    url), and every confidence is low where the evidence was suspicious. The
+    function is the one extension point; what it returned is written before it is judged,
+    so nothing is asked twice. records has one row a request, whatever happened.
     """
-    looked = cache_lookup(research_keys(requests), cache)
+    looked = staged(cache_lookup(research_keys(requests), cache), "looked")
     misses = looked.where(~F.col("hit"))
-    accepted, rejected = validate_responses(misses.mapInPandas(call, response_schema))
-    return {"hits": looked.where("hit"), "misses": misses, "accepted": accepted, "rejected": rejected}
+    asked = build_requests(misses, fields, prompt=prompt)
+    answered = staged(asked.select("book_id", "instructions", "payload").mapInPandas(call, "book_id long, body string"), "answers")
+    accepted, rejected = validate_metadata(answered, fields, urls)
+    found = response_fields(accepted, fields).join(misses.select("book_id", "request_id"), "book_id")
+    if results is not None:
+        found = constrain_citations(found, results)
+    done = finalize(found.join(asked.select("book_id", "suspicious"), "book_id"))
+    state = accepted.select("book_id", F.lit("ready").alias("_state")).unionByName(rejected.select("book_id", F.lit("failed").alias("_state")))
+    outcome = F.when(F.col("hit"), "ready").otherwise(F.coalesce("_state", F.lit("failed")))
+    kept = [c for c in ("request_id", "book_id", "provider", "model", "preset", "search_mode", "batch_size") if c in looked.columns]
+    records = looked.join(state, "book_id", "left").select(*kept, F.col("hit").alias("cache_hit"), "cost", "avoided_cost", outcome.alias("outcome"))
+    return {"hits": looked.where("hit"), "fields": done, "rejected": rejected, "records": records}
 
 
 def top_results(results: DataFrame, n: int, *, by: str = "query", order: str = "pos") -> DataFrame:

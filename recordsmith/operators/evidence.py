@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, safe_href
 
 # Names, markup and words that tell the kinds of pages.
 TITLE_PATH = r"(?:^|[/_. -])(?:title[-_ ]?page|titlepage|covertitle|title)(?:[/_. -]|$)"
@@ -67,8 +67,13 @@ def running_byte_budget(members: DataFrame, budget: int, *, group: str, order: s
 def reading_order(manifest: DataFrame, spine: DataFrame, guide: DataFrame, *, book: str = "book_id", most: int = 24) -> DataFrame:
     """(book, href, position): guide entries first (-1), then the first `most` spine entries that the manifest lists as pages.
 
-    The limit counts spine entries before the join; the first position of a name wins.
+    The limit counts spine entries before the join; the first position of a name wins. With a
+    column `base`, the package's folder, in manifest and guide, links are resolved to
+    member names, and those that leave the archive are dropped.
     """
+    if "base" in manifest.columns:
+        member = safe_href(F.col("base"), F.col("href"))
+        manifest, guide = (t.withColumn("href", member).where("href is not null") for t in (manifest, guide))
     w = Window.partitionBy(book).orderBy("pos")
     early = spine.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     typed = manifest.where(F.coalesce("media_type", F.lit("")).isin("application/xhtml+xml", "text/html", ""))
@@ -77,17 +82,33 @@ def reading_order(manifest: DataFrame, spine: DataFrame, guide: DataFrame, *, bo
     return both.groupBy(book, "href").agg(F.min("position").alias("position"))
 
 
+# The limits of a container that is read.
+CONTAINER, CONTAINER_BYTES, RATIO, RATIO_FROM = "META-INF/container.xml", 256 * 1024, 200, 128 * 1024
+
+
 def archive_health(archives: DataFrame, members: DataFrame, key: str = "path") -> DataFrame:
-    """One row an archive: members, sizes, encrypted ones, and flags of the container's markup; unreadable ones count 0."""
-    container = F.col("name") == "META-INF/container.xml"
-    has = lambda p: F.coalesce(F.bool_or(F.col("head").rlike(p)), F.lit(False))
+    """One row an archive: members, sizes, encrypted ones, and flags of the container's markup; unreadable ones count 0.
+
+    Only the container is looked into, and only if it is neither encrypted, too large nor
+    packed beyond the ratio; otherwise it counts as absent and has no size.
+    """
+    size, packed = F.col("size"), F.greatest(F.lit(1), F.col("compressed"))
+    packed_well = (size < RATIO_FROM) | (size <= RATIO * packed)
+    readable = (F.col("name") == CONTAINER) & ~F.coalesce("encrypted", F.lit(False)) & (size <= CONTAINER_BYTES) & packed_well
+    has = lambda p: F.bool_or(readable & F.coalesce(F.col("head").rlike(p), F.lit(False)))
     out = members.groupBy(key).agg(
-        F.count("*").alias("members"), F.sum("compressed").alias("compressed"), F.sum("size").alias("size"), F.count_if("encrypted").alias("encrypted"),
-        F.bool_or(container).alias("has_container"), F.max(F.when(container, F.col("size"))).alias("container_size"),
-        has(r"(?i)<!DOCTYPE").alias("doctype"), has(r"(?is)<!DOCTYPE[^>]*\[").alias("internal_subset"), has(r"(?i)<!ENTITY").alias("entity"),
-    )
+        F.count("*").alias("members"),
+        F.sum("compressed").alias("compressed"),
+        F.sum("size").alias("size"),
+        F.count_if("encrypted").alias("encrypted"),
+        F.bool_or(readable).alias("has_container"),
+        F.max(F.when(readable, size)).alias("container_size"),
+        has(r"(?i)<!DOCTYPE").alias("doctype"),
+        has(r"(?is)<!DOCTYPE[^>]*\[").alias("internal_subset"),
+        has(r"(?i)<!ENTITY").alias("entity"),
+    )
     joined = archives.select(key).join(out, key, "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("members", "compressed", "size", "encrypted", "container_size")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("members", "compressed", "size", "encrypted")}
     return joined.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("has_container", "doctype", "internal_subset", "entity")})
 
 

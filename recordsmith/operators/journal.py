@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anonymize, failure_category, instruction_risk, redact_terms, sanitize_text
@@ -17,18 +17,19 @@ def cap_failures(journal: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
 def journal_from_results(results: DataFrame, salt: bytes, *, most: int = MOST_FAILURES) -> DataFrame:
     """One row a job: counts and its first failures, each with category, cleaned message and anonymous book.
 
-    results: (job_id, book_id, title, outcome, message). The list of a job is cut
-    while it is gathered: only rows up to `most` by number reach it.
+    results: (job_id, book_id, title, outcome, message). Counts are partial
+    sums. Failures are ranked apart and cut to the first `most`, which Spark does
+    in every task before it shuffles, so no job is gathered whole.
     """
-    from pyspark.sql import Window
-
-    failed = F.col("outcome") == "failed"
-    nth = F.sum(failed.cast("int")).over(Window.partitionBy("job_id").orderBy("book_id", "message"))
+    counts = results.groupBy("job_id").agg(F.count("*").alias("books"), F.count_if(F.col("outcome") == "failed").alias("failed_books"))
+    nth = F.row_number().over(Window.partitionBy("job_id").orderBy("book_id", "message"))
+    first = results.where("outcome = 'failed'").withColumn("_n", nth).where(F.col("_n") <= most)
     clean = sanitize_text(redact_terms(F.col("message"), ((F.col("title"), "<TITLE>"),)))
-    row = F.struct(nth.alias("n"), anonymize(F.col("book_id").cast("string"), salt).alias("anonymous_book"), failure_category(F.col("message")).alias("category"), clean.alias("message"))
-    marked = results.withColumn("_f", F.when(failed & (nth <= most), row))
-    out = marked.groupBy("job_id").agg(F.count("*").alias("books"), F.count_if(failed).alias("failed_books"), F.array_sort(F.collect_list("_f")).alias("failures"))
-    return out.withColumn("failures", F.transform("failures", lambda f: f.dropFields("n")))
+    row = F.struct(F.col("_n"), anonymize(F.col("book_id").cast("string"), salt).alias("anonymous_book"), failure_category(F.col("message")).alias("category"), clean.alias("message"))
+    failures = first.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("_f"))
+    none = F.filter(F.array(F.struct(*[F.lit("").alias(c) for c in ("anonymous_book", "category", "message")])), lambda _: F.lit(False))
+    kept = F.coalesce(F.transform("_f", lambda f: f.dropFields("_n")), none)
+    return counts.join(failures, "job_id", "left").select("job_id", "books", "failed_books", kept.alias("failures"))
 
 
 def export_journal(journal: DataFrame, include_details: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The timings and the usage measures of a lookup record.
@@ -15,19 +15,41 @@ OUTCOMES = ("failed", "cancelled", "applied", "skipped", "discarded")
 PERIOD_DAYS = {"7": 7, "30": 30, "90": 90}
 
 
+#: The columns of a lookup record; others of a detail are dropped.
+RECORD = ("detail_id", "job_id", "timestamp_epoch", "session_id", "provider", "search_provider", "model", "preset", "cache_hit", "outcome", "batch_size", *TIMINGS, *COUNTERS, *COSTS)
+
+
 def build_lookup_records(details: DataFrame, payloads: DataFrame, key: str = "job_id") -> DataFrame:
-    """One record a detail, with defaults from its payload: model and preset 'unknown', provider 'openai', search mode 'hosted'."""
-    p = payloads.select(key, F.col("model").alias("_model"), F.col("provider").alias("_provider"), F.col("search_mode").alias("_mode"), F.col("batch_size").alias("_size"), F.col("preset").alias("_preset"))
+    """One record a detail, with what its payload says, then the payload's context, then defaults.
+
+    Model and preset default to 'unknown', the provider to 'openai', the search
+    mode to 'hosted', the batch size to the number of the job's details. A payload's own
+    cache_hit overrides the detail's. Columns that no record has are dropped.
+    """
+    of = lambda c: F.col(c) if c in payloads.columns else F.lit(None)
+    from_context = lambda c: of("context")[c] if "context" in payloads.columns and c in payloads.schema["context"].dataType.names else F.lit(None)
+    said = {
+        "_model": F.coalesce(of("model"), F.lit("unknown")),
+        "_provider": F.coalesce(of("provider"), from_context("provider"), F.lit("openai")),
+        "_mode": F.coalesce(of("search_mode"), from_context("search_provider"), F.lit("hosted")),
+        "_preset": F.coalesce(of("preset"), from_context("preset"), F.lit("unknown")),
+        "_size": of("batch_size").cast("long"),
+        "_hit": of("cache_hit").cast("boolean"),
+    }
+    p = payloads.select(key, *[c.alias(k) for k, c in said.items()])
     counts = details.groupBy(key).agg(F.count("*").alias("_n"))
     out = details.join(p, key, "left").join(counts, key, "left")
+    hit = F.col("cache_hit") if "cache_hit" in details.columns else F.lit(False)
     made = {
         "model": F.coalesce("_model", F.lit("unknown")),
         "preset": F.coalesce("_preset", F.lit("unknown")),
         "provider": F.coalesce("_provider", F.lit("openai")),
         "search_provider": F.coalesce("_mode", F.lit("hosted")),
+        "cache_hit": F.coalesce("_hit", hit, F.lit(False)),
         "batch_size": F.coalesce("_size", "_n", F.lit(1)).cast("long"),
     }
-    return out.select(*details.columns, *[c.alias(k) for k, c in made.items()])
+    kept = [c for c in details.columns if c in RECORD and c not in made]
+    return out.select(*kept, *[c.alias(k) for k, c in made.items()])
 
 
 def filter_lookups(df: DataFrame, now: datetime, *, period: str = "all", model: str | None = None, preset: str | None = None, source: str | None = None, outcome: str | None = None, session_id: str | None = None, provider: str | None = None) -> DataFrame:
@@ -47,16 +69,61 @@ def filter_lookups(df: DataFrame, now: datetime, *, period: str = "all", model:
     return df
 
 
+#: Ranges that the values of a percentile are dealt into.
+RANGES = 256
+_POINTS = {"median_seconds": 0.5, "p90_seconds": 0.9, "p95_seconds": 0.95}
+
+
+def _good() -> Column:
+    return ~F.coalesce("outcome", F.lit("")).isin("failed", "cancelled")
+
+
+def _range_of(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """The number of cuts below a value, by halving."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(value <= cuts[half], _range_of(value, cuts[:half], first)).otherwise(_range_of(value, cuts[half + 1 :], first + half + 1))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: Column, points: dict[str, float], *, ranges: int = RANGES) -> DataFrame:
+    """(keys..., one column for each point): exact percentiles with linear interpolation; groups without values are left out.
+
+    No group's values meet in one task. An approximate sketch gives cuts that deal
+    all values into equal ranges; counts by range tell in which one every wanted
+    rank lies; only the values of those ranges are then ranked, a 256th of all rows
+    in a task at most, repeated values once. points are shares, 0 to 1.
+    """
+    values = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
+    sketch = values.agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    placed = values.withColumn("_range", _range_of(F.col("_v"), sorted(set(sketch or ()))))
+    sizes = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    last = F.sum("_c").over(group.orderBy("_range"))
+    sizes = sizes.select(*keys, "_range", (last - F.col("_c")).alias("_before"), last.alias("_last"), F.sum("_c").over(group).alias("_n"))
+    at = {name: F.lit(p) * (F.col("_n") - 1) for name, p in points.items()}
+    ranks = F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)])
+    wanted = sizes.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_last")))).drop("_last")
+    near = placed.join(wanted, [*keys, "_range"]).groupBy(*keys, "_range", "_v", "_before", "_n").agg(F.count("*").alias("_c"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    ranked = near.withColumn("_end", end)
+
+    def point(x: Column) -> Column:
+        holds = lambda r: F.max(F.when((r < F.col("_end")) & (r >= F.col("_end") - F.col("_c")), F.col("_v")))
+        low, high, part = holds(F.floor(x)), holds(F.ceil(x)), F.max(x - F.floor(x))
+        return low + (high - low) * part
+
+    return ranked.groupBy(*keys).agg(*[point(x).alias(name) for name, x in at.items()])
+
+
 def measures(df: DataFrame) -> list[Column]:
-    """The measures of a summary over the columns that df has; p50, p90 and p95 share one buffer."""
+    """The measures of a summary over the columns that df has, but for the percentiles."""
     count = lambda c: F.count_if(c).cast("long")
-    good = ~F.coalesce("outcome", F.lit("")).isin("failed", "cancelled")
-    seconds = F.when(good, F.col("retrieval_seconds"))
+    seconds = F.when(_good(), F.col("retrieval_seconds"))
     hit = F.coalesce("cache_hit", F.lit(False))
-    records, successes, total = F.count("*"), count(good), F.coalesce(F.sum(seconds), F.lit(0.0))
-    points = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
+    records, successes, total = F.count("*"), count(_good()), F.coalesce(F.sum(seconds), F.lit(0.0))
     out = [records.alias("records"), successes.alias("successful"), *[count(F.col("outcome") == o).alias(o) for o in OUTCOMES], count(~hit).alias("live"), count(hit).alias("cache_hits")]
-    out += [F.round(x, 4).alias(k) for k, x in (("total_retrieval_seconds", total), ("average_seconds", F.avg(seconds)), ("median_seconds", F.get(points, F.lit(0))), ("fastest_seconds", F.min(seconds)), ("slowest_seconds", F.max(seconds)), ("p90_seconds", F.get(points, F.lit(1))), ("p95_seconds", F.get(points, F.lit(2))), ("books_per_minute", F.try_divide(F.count(seconds) * 60.0, F.sum(seconds))))]
+    out += [F.round(x, 4).alias(k) for k, x in (("total_retrieval_seconds", total), ("average_seconds", F.avg(seconds)), ("fastest_seconds", F.min(seconds)), ("slowest_seconds", F.max(seconds)), ("books_per_minute", F.try_divide(F.count(seconds) * 60.0, F.sum(seconds))))]
     out += usage_measures(df)
     if "total_tokens" in df.columns:
         tokens = F.coalesce(F.sum("total_tokens"), F.lit(0))
@@ -67,6 +134,12 @@ def measures(df: DataFrame) -> list[Column]:
     return out
 
 
+def _with_points(summary: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """A summary by keys with the percentiles of the good rows of df."""
+    points = exact_percentiles(df.where(_good()), keys, F.col("retrieval_seconds"), _POINTS)
+    return summary.join(points.withColumns({p: F.round(p, 4) for p in _POINTS}), keys, "left")
+
+
 def known_total(column: str) -> Column:
     """The sum, or null as soon as one value is unknown."""
     return F.when(F.count(column) == F.count("*"), F.sum(column))
@@ -83,8 +156,9 @@ def usage_measures(df: DataFrame) -> list[Column]:
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """One row of measures; all null-aware, from one partial aggregate."""
-    return df.agg(*measures(df))
+    """One row of measures; all null-aware, from one partial aggregate and exact percentiles."""
+    one = F.lit(0).alias("_all")
+    return _with_points(df.agg(*measures(df)).withColumn("_all", one), df.withColumn("_all", one), ["_all"]).drop("_all")
 
 
 def group_keys() -> dict[str, Column]:
@@ -103,7 +177,8 @@ def group_keys() -> dict[str, Column]:
 
 def summarize_by(df: DataFrame, key: str) -> DataFrame:
     """The measures by one of the eight keys, as column 'key', in its order."""
-    return df.groupBy(group_keys()[key].alias("key")).agg(*measures(df)).orderBy("key")
+    keyed = df.withColumn("key", group_keys()[key])
+    return _with_points(keyed.groupBy("key").agg(*measures(df)), keyed, ["key"]).orderBy("key")
 
 
 def summarize_grouping_sets(df: DataFrame) -> DataFrame:
@@ -116,12 +191,15 @@ def summarize_grouping_sets(df: DataFrame) -> DataFrame:
     everything = (1 << len(names)) - 1
     for i, k in enumerate(keys):
         which = F.when(F.col("_g") == everything - (1 << (len(names) - 1 - i)), k).otherwise(which)
-    return grouped.select(which.alias("comparison"), key.alias("key"), *[c for c in grouped.columns if c not in names and c != "_g"])
+    summary = grouped.select(which.alias("comparison"), key.alias("key"), *[c for c in grouped.columns if c not in names and c != "_g"])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("comparison"), F.col(f"_k_{k}").alias("key")) for k in keys]))
+    return _with_points(summary, wide.select("outcome", "retrieval_seconds", each.alias("_e")).select("outcome", "retrieval_seconds", "_e.*"), ["comparison", "key"])
 
 
 def percentile_linear(df: DataFrame, column: str, p: float) -> DataFrame:
     """The p-th percentile (0 to 100) with linear interpolation; nulls are skipped, no values give null."""
-    return df.agg(F.round(F.percentile(column, F.lit(p / 100)), 6).alias("value"))
+    found = exact_percentiles(df, [], F.col(column), {"value": p / 100})
+    return found.agg(F.round(F.max("value"), 6).alias("value"))
 
 
 def timing_breakdown(df: DataFrame) -> DataFrame:
@@ -180,6 +258,21 @@ def format_report(comparison: DataFrame) -> DataFrame:
     return comparison.select("key", F.col("books").cast("string").alias("books"), duration(F.col("median_seconds")).alias("median"), duration(F.col("p90_seconds")).alias("p90"), money(F.col("average_cost")).alias("cost"))
 
 
+def usage_sentence(df: DataFrame) -> Column:
+    """The usage of a row as a sentence: a cache hit, the counts, and the cost if it is known or why it is not."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in df.columns else F.lit(0).cast("long")
+    hosted, own, provider = n("hosted_web_search_calls"), n("searxng_search_calls"), F.coalesce("provider", F.lit("openai"))
+    # The sentences.
+    counts = F.format_string("%d input (%d cached) · %d output (%d reasoning) · %d total · %d web search call(s)", n("input_tokens"), n("cached_tokens"), n("output_tokens"), n("reasoning_tokens"), n("total_tokens"), n("web_search_calls"))
+    searches = F.when((hosted != 0) | (own != 0), F.format_string(" · %d hosted / %d SearXNG", hosted, own)).otherwise("")
+    local = F.when(provider.isin("ollama", "lmstudio"), " · local inference; no API cost reported")
+    unknown = F.format_string(" · estimated cost unavailable for %s model %s", provider, F.col("model"))
+    cost = F.when(F.col("estimated_cost_usd").isNotNull(), F.format_string(" · estimated cost $%.4f USD", F.col("estimated_cost_usd"))).otherwise(F.coalesce(local, unknown))
+    some = F.coalesce(*[F.col(c).isNotNull() for c in COUNTERS if c in df.columns], F.lit(False)) if any(c in df.columns for c in COUNTERS) else F.lit(False)
+    told = F.when(some, F.concat(counts, searches, cost)).otherwise("Token usage unavailable")
+    return F.when(F.coalesce("cache_hit", F.lit(False)), "Session cache hit · no new API call or cost").otherwise(told)
+
+
 EXPORT = ("lookup_id", "book_id", "ts", "session_id", "provider", "search_provider", "model", "preset", "cache_hit", "outcome", "batch_size", *TIMINGS, *COUNTERS, *COSTS)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.html import clean_descriptions
+from ..functions.text import distinct_tags, strip, valid_isbn
 
 # The fields of a record in their order.
 FIELDS = ("title", "authors", "series", "tags", "identifiers", "published_date", "publisher", "comments")
@@ -72,22 +73,51 @@ def stale_guard(jobs: DataFrame, library: DataFrame, key: str = "book_id") -> Da
     return jobs.join(lib, key, "left").withColumn("status", status).select(*jobs.columns, "status")
 
 
-def apply_merge(books: DataFrame, selected: DataFrame) -> DataFrame:
+def merged_identifiers(old: Column, proposed: Column) -> Column:
+    """The old map of identifiers with the good ones of 'kind:value' lines or a bare ISBN added; new values win.
+
+    Kinds are trimmed and lower-cased; an ISBN keeps digits and X and needs a
+    valid checksum, or it is dropped; the last good value of a kind counts.
+    """
+    items = F.filter(F.transform(F.split(proposed, ","), strip), lambda x: x != "")
+
+    def entry(x: Column) -> Column:
+        typed = F.instr(x, ":") > 0
+        kind = F.when(typed, F.lower(strip(F.substring_index(x, ":", 1)))).otherwise("isbn")
+        raw = F.when(typed, strip(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x)
+        isbn = F.upper(F.regexp_replace(raw, "[^0-9Xx]", ""))
+        return F.struct(kind.alias("key"), F.when(kind == "isbn", F.when(valid_isbn(isbn), isbn)).otherwise(F.nullif(raw, F.lit(""))).alias("value"))
+
+    good = F.filter(F.transform(items, entry), lambda e: e["value"].isNotNull() & (e["key"] != ""))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    latest = lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e["key"]), F.map_from_entries(F.array(e)))
+    return F.aggregate(F.coalesce(good, F.array().cast("array<struct<key: string, value: string>>")), F.coalesce(old, none), latest)
+
+
+def apply_merge(books: DataFrame, selected: DataFrame, *, tag_limit: int = 20, description_limit: int = 5000) -> DataFrame:
     """books with the selected fields replaced; selected has (book_id, field, value_text).
 
-    A series set to null clears its index; identifiers are merged into the old
-    map, new values winning; fields that are not selected stay untouched.
+    Tags (separated by commas, or by spaces where there is none) are normalised again and cut to the limit, descriptions
+    cleaned again. A series set to null clears its index; the index alone is the field
+    series_index, and comes from a proposal of that name. Identifiers are merged into the old map,
+    new values winning; fields that are not selected stay untouched.
     """
     wide = selected.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(F.col("value_text").alias("v")).alias("s")))).alias("_m"))
     out = books.join(wide, "book_id", "left")
     chosen = lambda f: F.try_element_at("_m", F.lit(f))
-    new = {c: F.when(chosen(f).isNotNull(), chosen(f)["v"]).otherwise(F.col(c)) for f, c in CURRENT.items() if f != "identifiers"}
-    new["series_index"] = F.when(chosen("series").isNotNull() & chosen("series")["v"].isNull(), None).otherwise(F.col("series_index"))
-    old = F.when(F.col("isbn_raw").isNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.create_map(F.lit("isbn"), F.col("isbn_raw")))
-    fresh = chosen("identifiers")["v"]
-    added = F.when(fresh.isNotNull(), F.create_map(F.lit("isbn"), fresh)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    new["identifiers"] = F.map_zip_with(old, added, lambda k, a, b: F.coalesce(b, a))
-    return out.withColumns(new).select(*books.columns, "identifiers")
+    is_set = lambda f: chosen(f).isNotNull()
+    new = {c: F.when(is_set(f), chosen(f)["v"]).otherwise(F.col(c)) for f, c in CURRENT.items() if f not in ("identifiers", "tags")}
+    tags = chosen("tags")["v"]
+    joined = F.when(tags.contains(","), F.array_join(distinct_tags(F.split(tags, ","), tag_limit), ", ")).otherwise(F.array_join(distinct_tags(F.split(tags, " "), tag_limit), " "))
+    new["tags_text"] = F.when(is_set("tags"), F.coalesce(joined, F.lit(""))).otherwise(F.col("tags_text"))
+    if "comments" in books.columns:
+        new["comments"] = F.when(is_set("comments"), clean_descriptions(chosen("comments")["v"], description_limit)).otherwise(F.col("comments"))
+    cleared = is_set("series") & chosen("series")["v"].isNull()
+    index = F.when(is_set("series_index"), chosen("series_index")["v"].try_cast("double")).otherwise(F.col("series_index"))
+    new["series_index"] = F.when(cleared, None).otherwise(index)
+    old = F.when(F.col("isbn_raw").isNotNull(), F.create_map(F.lit("isbn"), F.col("isbn_raw")))
+    new["identifiers"] = merged_identifiers(F.col("identifiers") if "identifiers" in books.columns else old, chosen("identifiers")["v"])
+    return out.withColumns(new).select(*[c for c in books.columns if c != "identifiers"], "identifiers")
 
 
 def undo_batch(books: DataFrame, undo_log: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +192,7 @@ def review_apply(books: DataFrame, proposals: DataFrame, decisions: DataFrame) -
     d = decisions.select("book_id", "action", "override_field", "override_value")
     joined = proposals.where("value_text is not null").join(d.where("action = 'apply'"), "book_id")
     over = F.coalesce(F.col("override_field") == F.col("field"), F.lit(False))
-    chosen = joined.select("book_id", "field", F.when(over, F.col("override_value")).otherwise(F.col("value_text")).alias("value_text"), (F.col("inferred") & ~over).alias("inferred"), over.alias("user_override")).where(~F.col("user_override") | F.col("value_text").isNotNull())
+    chosen = joined.select("book_id", "field", F.when(over, F.col("override_value")).otherwise(F.col("value_text")).alias("value_text"), (F.col("inferred") & ~over).alias("inferred"), *([F.when(~over, F.col("evidence_urls")).otherwise(F.array().cast("array<string>")).alias("evidence_urls")] if "evidence_urls" in proposals.columns else []), over.alias("user_override")).where(~F.col("user_override") | F.col("value_text").isNotNull())
     updated = apply_merge(books, chosen.select("book_id", "field", "value_text"))
     touched = chosen.select("book_id").distinct().withColumn("_t", F.lit(1))
     outcomes = books.select("book_id").join(touched, "book_id", "left").select("book_id", F.when(F.col("_t").isNotNull(), "applied").otherwise("skipped").alias("outcome"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, fold, strip, valid_isbn
+from ..functions.text import distinct_tags, fold, strip, valid_isbn
 
 
 def clean_identifiers(df: DataFrame, key: str = "book_id") -> DataFrame:
@@ -21,11 +21,8 @@ def clean_identifiers(df: DataFrame, key: str = "book_id") -> DataFrame:
 
 
 def clean_tags(df: DataFrame, limit: int = 20, key: str = "book_id") -> DataFrame:
-    """(key, tags) from (key, tags array): collapsed, empty ones dropped, distinct by folded case with the first spelling."""
-    tags = df.select(key, F.posexplode("tags").alias("pos", "tag")).select(key, "pos", collapse(F.col("tag")).alias("tag")).where("tag <> ''")
-    first = tags.groupBy(key, fold(F.col("tag")).alias("_f")).agg(F.min(F.struct("pos", "tag")).alias("t"))
-    kept = first.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("t")), 1, limit).alias("t"))
-    return kept.select(key, F.col("t.tag").alias("tags"))
+    """(key, tags) from (key, tags array), row by row; records without a tag left are dropped."""
+    return df.select(key, distinct_tags(F.col("tags"), limit).alias("tags")).where(F.size("tags") > 0)
 
 
 def parse_override_lines(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -46,9 +43,13 @@ def section_by_heading(lines: DataFrame, is_heading, *, key: str = "doc_id", pos
 
 
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in order; ids only are shuffled before the choice."""
+    """The first row of each key in order, whole; keys and places are grouped first, then the rows are looked up.
+
+    Ties in order keep one of the tied rows, the least of all columns.
+    """
     firsts = df.groupBy(key).agg(F.min(order).alias(order))
-    return firsts.select(order, key)
+    rows = df.join(firsts, [key, order], "left_semi")
+    return rows.groupBy(key, order).agg(F.min(F.struct(*df.columns)).alias("_r")).select("_r.*")
 
 
 def required_concepts(df: DataFrame, names: list[str], concepts: list[str], limit: int, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import html_to_text
+from ..functions.html import html_to_text
 from ..functions.urls import valid_result_url
 from ..operators import enrich, evidence, journal, text_jobs
 from ..sources import tables
@@ -16,14 +16,15 @@ def _pages(v):
     name = F.when(F.col("page_id") % 5 == 0, "text/titlepage.xhtml").when(F.col("page_id") % 5 == 1, "text/copyright.xhtml").when(F.col("page_id") % 5 == 2, "text/chapter-1.xhtml").otherwise("text/p.xhtml")
     text = F.concat(html_to_text(F.col("html")), F.when(F.col("page_id") % 3 == 0, " Copyright 2024. All rights reserved. ISBN 1").otherwise(""))
     title = evidence.page_title(F.col("html"))
-    return p.select((F.col("page_id") % 50).alias("book_id"), "page_id", name.alias("name"), F.col("html").alias("raw"), F.substring(text, 1, 2500).alias("text"), F.floor(F.col("page_id") / 50).cast("int").alias("position"), F.array(F.when(F.col("page_id") % 11 == 0, "copyright").otherwise("toc")).alias("guide_kinds"), F.array(F.substring(title, 1, 12)).alias("titles"), F.array(F.when(F.col("page_id") % 2 == 0, "zzzz").otherwise(F.substring(title, 1, 5))).alias("authors"))
+    return p.select((F.col("page_id") % 50).alias("book_id"), "page_id", name.alias("name"), F.col("html").alias("raw"), text.alias("text"), F.floor(F.col("page_id") / 50).cast("int").alias("position"), F.array(F.when(F.col("page_id") % 11 == 0, "copyright").otherwise("toc")).alias("guide_kinds"), F.array(F.substring(title, 1, 12)).alias("titles"), F.array(F.when(F.col("page_id") % 2 == 0, "zzzz").otherwise(F.substring(title, 1, 5))).alias("authors"))
 
 
 _WS = r"[\s\x{A0}\x0B]+"
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '" + _WS + "', ' ', 'g'))"
-for _raw, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&#169;", "©"), ("&amp;", "&")):
+for _raw, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):  # all that the pages hold
     _PLAIN = f"replace({_PLAIN}, '{_raw}', '{_to}')"
-_PAGES = rf"""pg AS (SELECT page_id % 50 AS book_id, page_id, CAST(page_id // 50 AS INT) AS position, substr(concat(trim(regexp_replace({_PLAIN}, '{_WS}', ' ', 'g')), CASE WHEN page_id % 3 = 0 THEN ' Copyright 2024. All rights reserved. ISBN 1' ELSE '' END), 1, 2500) AS text, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages),
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
+_PAGES = rf"""pg AS (SELECT page_id % 50 AS book_id, page_id, CAST(page_id // 50 AS INT) AS position, concat(trim(regexp_replace({_PLAIN}, '{_WS}', ' ', 'g')), CASE WHEN page_id % 3 = 0 THEN ' Copyright 2024. All rights reserved. ISBN 1' ELSE '' END) AS text, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages),
 fl AS (SELECT *, replace(lower(text), 'ß', 'ss') AS low, regexp_matches(text, '(?i)\bcopyright\b|©|&#169;') AS marked, regexp_matches(text, '(?i)\bISBN(-1[03])?\b|\ball rights reserved\b|\bpublished by\b|\b(first|revised|updated) edition\b|\bimprint\b') AS supported, replace(lower(substr(title, 1, 12)), 'ß', 'ss') AS t, CASE WHEN page_id % 2 = 0 THEN 'zzzz' ELSE replace(lower(substr(title, 1, 5)), 'ß', 'ss') END AS a FROM pg),
 kd AS (SELECT *, ((page_id % 11 = 0 OR page_id % 5 = 1) AND (marked OR supported)) OR (page_id % 5 <> 2 AND marked AND supported) AS is_copyright,
  (page_id % 5 = 0 AND position < 8 AND length(text) <= 5000 AND length(t) >= 3 AND contains(low, t)) OR (page_id % 5 <> 2 AND position < 8 AND length(text) <= 3000 AND length(t) >= 3 AND contains(low, t) AND length(a) >= 3 AND contains(low, a)) AS is_title FROM fl)"""
@@ -33,7 +34,11 @@ _FIRST = f"{_PAGES}, each_ AS (SELECT book_id, page_id, position, 'copyright' AS
 _first = lambda v: evidence.first_page_per_kind(evidence.classify_pages(_pages(v)))
 add("w4_first_page_per_kind", lambda v: _first(v).withColumn("kinds", F.array_join("kinds", ",")), f"WITH {_FIRST} SELECT * FROM fk")
 add("w5_bounded_evidence", lambda v: evidence.bounded_evidence(_first(v).join(_pages(v).select("page_id", "text"), "page_id"), 600), f"WITH {_FIRST}, n AS (SELECT k.book_id, k.position, substr(concat('[', replace(kinds, ',', ' and '), ' page]', chr(10), text), 1, CAST(greatest(1, 600 // count(*) OVER (PARTITION BY k.book_id)) AS BIGINT)) AS c FROM fk k JOIN kd ON kd.page_id = k.page_id) SELECT book_id, substr(string_agg(c, concat(chr(10), chr(10)) ORDER BY position), 1, 600) AS evidence FROM n GROUP BY 1")
-add("w6_running_byte_budget", lambda v: evidence.running_byte_budget(v.documents, 200_000, group="source", order="doc_id", size="n_chars").select("doc_id", "source", "running", "over_budget"), "SELECT doc_id, source, CAST(r AS BIGINT) AS running, r > 200000 AS over_budget FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)")
+add(
+    "w6_running_byte_budget",  # fifty documents as the members of one archive
+    lambda v: evidence.running_byte_budget(v.documents.select("doc_id", F.floor(F.col("doc_id") / 50).alias("archive"), "n_chars"), 100_000, group="archive", order="doc_id", size="n_chars").select("doc_id", "archive", "running", "over_budget"),
+    "SELECT doc_id, archive, CAST(r AS BIGINT) AS running, r > 100000 AS over_budget FROM (SELECT doc_id, doc_id // 50 AS archive, sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS r FROM documents)",
+)
 _VALID = "regexp_matches(url, '^https?://[^/@]+')"
 add("w8_top_results", lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 3).select("query", "pos", "url", F.col("rank").cast("long").alias("rank")), f"SELECT query, pos, url, row_number() OVER (PARTITION BY query ORDER BY pos) AS rank FROM results WHERE {_VALID} QUALIFY rank <= 3")
 add("w9_top_citations", lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 10).select("query", F.substring("url", 1, 1000).alias("url"), F.substring(evidence.page_title(F.col("html")), 1, 200).alias("title"), F.substring(F.lower("html"), 1, 300).alias("text")), f"SELECT query, substr(url, 1, 1000) AS url, substr(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), 1, 200) AS title, substr(lower(html), 1, 300) AS text FROM results WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 10")
@@ -41,22 +46,40 @@ add("w9_top_citations", lambda v: enrich.top_results(v.results.where(valid_resul
 
 def _order(v):
     li = v.lineitem
+    part = F.col("l_partkey") % 50
+    # Links as packages write them: with a fragment, percent-encoded, below the package's folder, or leaving the archive.
+    href = F.when(part % 5 == 0, F.concat(F.lit("t/../p%20"), part, F.lit("#top"))).when(part % 5 == 1, F.concat(F.lit("../../p"), part)).otherwise(F.concat(F.lit("p"), part))
+    base = F.lit("OEBPS").alias("base")
     spine = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("pos"))
-    manifest = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("href"), F.when(F.col("l_suppkey") % 3 == 0, "image/png").when(F.col("l_suppkey") % 3 == 1, "text/html").alias("media_type")).distinct()
-    guide = li.where("l_linenumber = 1 and l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("book_id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("href"))
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "image/png").when(F.col("l_suppkey") % 3 == 1, "text/html")
+    manifest = li.select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("idref"), href.alias("href"), kind.alias("media_type"), base).distinct()
+    guide = li.where("l_linenumber = 1 and l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("book_id"), href.alias("href"), base)
     return evidence.reading_order(manifest, spine, guide, most=3)
 
 
-add("s5_reading_order", _order, "WITH sp AS (SELECT l_orderkey AS book_id, l_partkey AS idref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem), mf AS (SELECT DISTINCT l_orderkey AS book_id, l_partkey AS idref, concat('p', CAST(l_partkey % 50 AS VARCHAR)) AS href, l_suppkey % 3 AS m FROM lineitem), al AS (SELECT sp.book_id, href, n - 1 AS position FROM sp JOIN mf ON mf.book_id = sp.book_id AND mf.idref = sp.idref WHERE n <= 3 AND m <> 0 UNION ALL SELECT l_orderkey, concat('p', CAST(l_partkey % 50 AS VARCHAR)), -1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0) SELECT book_id, href, CAST(min(position) AS INT) AS position FROM al GROUP BY 1, 2")
+_MEMBER = "concat('OEBPS/p', CASE WHEN l_partkey % 50 % 5 = 0 THEN ' ' ELSE '' END, CAST(l_partkey % 50 AS VARCHAR))"
+add(
+    "s5_reading_order",
+    _order,
+    f"""WITH sp AS (SELECT l_orderkey AS book_id, l_partkey AS idref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
+    mf AS (SELECT DISTINCT l_orderkey AS book_id, l_partkey AS idref, {_MEMBER} AS href, l_suppkey % 3 AS m FROM lineitem WHERE l_partkey % 50 % 5 <> 1),
+    al AS (SELECT sp.book_id, href, n - 1 AS position FROM sp JOIN mf ON mf.book_id = sp.book_id AND mf.idref = sp.idref WHERE n <= 3 AND m <> 0
+      UNION ALL SELECT l_orderkey, {_MEMBER}, -1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 AND l_partkey % 50 % 5 <> 1)
+    SELECT book_id, href, CAST(min(position) AS INT) AS position FROM al GROUP BY 1, 2""",
+)
 
 
 def _search(v):
-    r = v.results.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("ftp://x/"), F.col("pos"))).otherwise(F.col("url")).alias("url"), F.concat(F.lit(" T  "), F.col("pos")).alias("title")))).alias("x"))
+    r = v.results.withColumn("query", F.floor(F.col("pos") / 20)).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("ftp://x/"), F.col("pos"))).otherwise(F.col("url")).alias("url"), F.concat(F.lit(" T  "), F.col("pos")).alias("title")))).alias("x"))
     items = F.transform("x", lambda i: F.struct(i["title"].alias("title"), i["url"].alias("url"), F.lit(" some\n text ").alias("content")))
     return tables.ingest_search_results(r.select("query", F.to_json(F.struct(items.alias("results"))).alias("body")), 4)
 
 
-add("s8_ingest_search_results", lambda v: _search(v).select("query", "rank", "title", "url", "snippet"), "SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY pos) - 1 AS INT) AS rank, concat('T ', CAST(pos AS VARCHAR)) AS title, url, 'some text' AS snippet FROM results WHERE pos % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 4")
+add(
+    "s8_ingest_search_results",  # twenty pages as one response
+    lambda v: _search(v).select("query", "rank", "title", "url", "snippet"),
+    "WITH r AS (SELECT pos // 20 AS query, pos, url FROM results) SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY pos) - 1 AS INT) AS rank, concat('T ', CAST(pos AS VARCHAR)) AS title, url, 'some text' AS snippet FROM r WHERE pos % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 4",
+)
 
 
 def _usage(v):
@@ -72,22 +95,41 @@ add("s9_unify_usage", _usage, "SELECT user_id * 3 + event_id % 3 AS request_id,
 
 
 def _citations(v):
-    found = v.pages.where("page_id % 2 = 0").select((F.col("page_id") % 10).alias("request_id"), "url")
-    fields = v.pages.groupBy((F.col("page_id") % 12).alias("request_id")).agg(F.array_sort(F.collect_list("url")).alias("evidence_urls"))
+    """Twelve pages are cited by one request; its search found every other one, and some of the next request."""
+    request = lambda shift: F.floor((F.col("page_id") + shift) / 12)
+    found = v.pages.where("page_id % 2 = 0").select(request(3).alias("request_id"), "url")
+    fields = v.pages.groupBy(request(0).alias("request_id")).agg(F.array_sort(F.collect_list("url")).alias("evidence_urls"))
     return enrich.constrain_citations(fields, found).select("request_id", F.array_join("evidence_urls", " ").alias("urls"))
 
 
-add("j3_constrain_citations", _citations, "WITH f AS (SELECT page_id % 12 AS request_id, url FROM pages), a AS (SELECT DISTINCT page_id % 10 AS request_id, url FROM pages WHERE page_id % 2 = 0) SELECT f.request_id, coalesce(string_agg(f.url, ' ' ORDER BY f.url) FILTER (WHERE a.url IS NOT NULL), '') AS urls FROM f LEFT JOIN a ON a.request_id = f.request_id AND a.url = f.url GROUP BY 1")
+add(
+    "j3_constrain_citations",
+    _citations,
+    """WITH f AS (SELECT page_id // 12 AS request_id, url FROM pages), a AS (SELECT DISTINCT (page_id + 3) // 12 AS request_id, url FROM pages WHERE page_id % 2 = 0)
+    SELECT f.request_id, coalesce(string_agg(f.url, ' ' ORDER BY f.url) FILTER (WHERE a.url IS NOT NULL), '') AS urls FROM f LEFT JOIN a ON a.request_id = f.request_id AND a.url = f.url GROUP BY 1""",
+)
 add("j9_dangling_links", lambda v: text_jobs.dangling_links(v.pages, v.pages.where("page_id % 2 = 0").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"#]*)'), F.lit(1))).alias("path"))), "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM pages), known AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"#]*)', 1)) AS path FROM pages WHERE page_id % 2 = 0) SELECT DISTINCT page_id, split_part(raw, '#', 1) AS link FROM l WHERE NOT regexp_matches(raw, '^(https?:|#)') AND split_part(raw, '#', 1) <> '' AND split_part(raw, '#', 1) NOT IN (SELECT path FROM known)")
 
 
 def _health(v):
-    li = v.lineitem
-    members = li.select(F.col("l_orderkey").alias("path"), F.when(F.col("l_linenumber") == 1, "META-INF/container.xml").otherwise("m").alias("name"), F.col("l_quantity").cast("long").alias("size"), (F.col("l_quantity") / 2).cast("long").alias("compressed"), (F.col("l_returnflag") == "R").alias("encrypted"), F.when(F.col("l_linestatus") == "O", "<!DOCTYPE a [ <!ENTITY b").otherwise("<a/>").alias("head"))
+    li, part = v.lineitem, F.col("l_partkey") % 4
+    head = F.when(part == 0, "<!DOCTYPE a [ <!ENTITY b").when(part == 1, "<!doctype a>").when(part == 2, "<a/>")
+    size = F.when(F.col("l_suppkey") % 7 == 0, 300_000).otherwise(F.col("l_quantity").cast("long")).cast("long")
+    named = F.when(F.col("l_linenumber") == 1, "META-INF/container.xml").otherwise("m")
+    members = li.select(F.col("l_orderkey").alias("path"), named.alias("name"), size.alias("size"), (F.col("l_quantity") / 2).cast("long").alias("compressed"), (F.col("l_returnflag") == "R").alias("encrypted"), head.alias("head"))
     return evidence.archive_health(v.orders.select(F.col("o_orderkey").alias("path")), members)
 
 
-add("a14_archive_health", _health, "WITH m AS (SELECT l_orderkey, count(*) AS n, sum(CAST(floor(l_quantity / 2) AS BIGINT)) AS c, sum(CAST(l_quantity AS BIGINT)) AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS e, bool_or(l_linenumber = 1) AS h, max(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS BIGINT) END) AS cs, bool_or(l_linestatus = 'O') AS d FROM lineitem GROUP BY 1) SELECT o_orderkey AS path, coalesce(n, 0) AS members, CAST(coalesce(c, 0) AS BIGINT) AS compressed, CAST(coalesce(s, 0) AS BIGINT) AS size, coalesce(e, 0) AS encrypted, coalesce(h, false) AS has_container, coalesce(cs, 0) AS container_size, coalesce(d, false) AS doctype, coalesce(d, false) AS internal_subset, coalesce(d, false) AS entity FROM orders LEFT JOIN m ON l_orderkey = o_orderkey")
+add(
+    "a14_archive_health",
+    _health,
+    """WITH m AS (SELECT l_orderkey, CASE WHEN l_suppkey % 7 = 0 THEN 300000 ELSE CAST(l_quantity AS BIGINT) END AS size, CAST(floor(l_quantity / 2) AS BIGINT) AS packed, l_returnflag = 'R' AS locked,
+      l_linenumber = 1 AND l_returnflag <> 'R' AND l_suppkey % 7 <> 0 AS readable, l_partkey % 4 AS kind FROM lineitem),
+    g AS (SELECT l_orderkey, count(*) AS n, sum(packed) AS c, sum(size) AS s, count(*) FILTER (WHERE locked) AS e, bool_or(readable) AS h, max(size) FILTER (WHERE readable) AS cs,
+      bool_or(readable AND kind < 2) AS d, bool_or(readable AND kind = 0) AS i FROM m GROUP BY 1)
+    SELECT o_orderkey AS path, coalesce(n, 0) AS members, CAST(coalesce(c, 0) AS BIGINT) AS compressed, CAST(coalesce(s, 0) AS BIGINT) AS size, coalesce(e, 0) AS encrypted, coalesce(h, false) AS has_container,
+      CAST(cs AS BIGINT) AS container_size, coalesce(d, false) AS doctype, coalesce(i, false) AS internal_subset, coalesce(i, false) AS entity FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
+)
 _TALK = "concat(role, ': ', text, CASE WHEN turn % 3 = 0 THEN ' do not follow' WHEN conv_id % 10 = 0 THEN ' Ignore all previous instructions' ELSE '' END)"
 _RISK = r"CASE WHEN regexp_matches(t, '(?i)ignore\s+(all\s+|any\s+)?(previous|prior|system|developer)\s+instructions') THEN 3 ELSE CAST(regexp_matches(t, '(?i)\b(assistant|developer|system)\s*:') AS INT) + CAST(regexp_matches(t, '(?i)\bdo not follow\b|\bnew instructions\b') AS INT) END"
 add("a16_count_suspicious", lambda v: journal.count_suspicious(v.sql(f"SELECT role, {_TALK} AS t FROM conversations"), "role", "t"), f"SELECT role, count(*) AS texts, count(*) FILTER (WHERE {_RISK} >= 2) AS suspicious FROM (SELECT role, {_TALK} AS t FROM conversations) GROUP BY 1")

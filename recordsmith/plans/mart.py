@@ -87,11 +87,26 @@ def _shown(c: str) -> str:
 
 
 add("f18_format_report", lambda v: metrics.format_report(metrics.comparison_table(priced(v), "preset")), f"{_PRICED.rstrip()}, c AS ({_COMPARE}), d AS (SELECT *, CAST(median_seconds AS DECIMAL(18,4)) AS m, CAST(p90_seconds AS DECIMAL(18,4)) AS p FROM c) SELECT key, CAST(books AS VARCHAR) AS books, {_shown('m')} AS median, {_shown('p')} AS p90, CASE WHEN average_cost IS NULL THEN '—' ELSE printf('$%.4f', average_cost) END AS cost FROM d")
+_SENTENCE = """CASE WHEN coalesce(cache_hit, false) THEN 'Session cache hit · no new API call or cost' ELSE concat(CAST(input_tokens AS VARCHAR), ' input (', CAST(cached_tokens AS VARCHAR), ' cached) · ', CAST(output_tokens AS VARCHAR), ' output (0 reasoning) · ', CAST(total_tokens AS VARCHAR), ' total · 0 web search call(s)',
+ CASE WHEN hosted_calls > 0 THEN concat(' · ', CAST(hosted_calls AS VARCHAR), ' hosted / 0 SearXNG') ELSE '' END, CASE WHEN estimated_cost_usd IS NOT NULL THEN printf(' · estimated cost $%.4f USD', estimated_cost_usd) WHEN coalesce(provider, 'openai') IN ('ollama', 'lmstudio') THEN ' · local inference; no API cost reported' ELSE concat(' · estimated cost unavailable for ', coalesce(provider, 'openai'), ' model ', model) END) END"""
+
+
+def _sentences(v):
+    rows = priced(v).withColumn("hosted_web_search_calls", F.col("hosted_calls")).withColumn("estimated_cost_usd", F.round("estimated_cost_usd", 3))
+    return rows.select("lookup_id", metrics.usage_sentence(rows).alias("usage"))
+
+
+add("f18_usage_sentences", _sentences, f"{_PRICED.rstrip()}, r AS (SELECT * REPLACE (round(estimated_cost_usd, 3) AS estimated_cost_usd) FROM priced) SELECT lookup_id, {_SENTENCE} AS usage FROM r")
 add("j2_price_usage", lambda v: pricing.price_usage(v.lookups, v.prices).select("lookup_id", "rate_in", "rate_cached", "rate_out"), f"{_PRICED} SELECT lookup_id, rate_in, rate_cached, rate_out FROM priced")
 add("f17_estimate_cost", lambda v: priced(v).select("lookup_id", F.round("estimated_cost_usd", 8).alias("estimated_cost_usd")), f"{_PRICED} SELECT lookup_id, round(estimated_cost_usd, 8) AS estimated_cost_usd FROM priced")
 
 for _name, _kw, _sql in (
     ("p2_period_7", {"period": "7"}, f"ts >= {TS} - INTERVAL 7 DAY"),
+    ("p2_period_30", {"period": "30"}, f"ts >= {TS} - INTERVAL 30 DAY"),
+    ("p2_period_90", {"period": "90"}, f"ts >= {TS} - INTERVAL 90 DAY"),
+    ("p2_preset", {"preset": "balanced"}, "preset = 'balanced'"),
+    ("p2_outcome", {"outcome": "applied"}, "outcome = 'applied'"),
+    ("p2_cache", {"source": "cache"}, "coalesce(cache_hit, false)"),
     ("p2_model", {"model": "gpt-5.6-luna"}, "model = 'gpt-5.6-luna'"),
     ("p2_provider", {"provider": "OpenAI"}, "lower(coalesce(provider, 'openai')) = 'openai'"),
     ("p2_live", {"source": "live"}, "NOT coalesce(cache_hit, false)"),
@@ -102,12 +117,22 @@ for _name, _kw, _sql in (
 
 
 def _records(v):
-    details = v.orders.select(F.col("o_orderkey").alias("detail_id"), F.col("o_custkey").alias("job_id"))
-    payloads = v.customer.select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).alias("model"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("search_mode"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("batch_size"), F.when(F.col("c_custkey") % 3 == 0, "economy").alias("preset"))
+    """Orders as details of their customers' jobs; payloads say some things, their contexts others, and some nothing."""
+    k = F.col("c_custkey")
+    details = v.orders.select(F.col("o_orderkey").alias("detail_id"), F.col("o_custkey").alias("job_id"), (F.col("o_orderkey") % 3 == 0).alias("cache_hit"), F.col("o_totalprice").alias("provider_seconds"), F.lit("x").alias("unlisted"))
+    context = F.struct(F.when(k % 4 == 0, "anthropic").alias("provider"), F.when(k % 6 == 0, "searxng").alias("search_provider"), F.when(k % 5 == 0, "thorough").alias("preset"))
+    payloads = v.customer.select(k.alias("job_id"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("model"), F.when(k % 8 == 0, "ollama").alias("provider"), F.lit(None).cast("string").alias("search_mode"), F.when(k % 2 == 0, F.col("c_nationkey")).alias("batch_size"), F.when(k % 3 == 0, "economy").alias("preset"), F.when(k % 7 == 0, k % 2 == 0).alias("cache_hit"), context.alias("context"))
     return metrics.build_lookup_records(details, payloads)
 
 
-add("p1_build_lookup_records", _records, "SELECT o_orderkey AS detail_id, o_custkey AS job_id, coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END, 'unknown') AS model, CASE WHEN c_custkey % 3 = 0 THEN 'economy' ELSE 'unknown' END AS preset, 'openai' AS provider, 'hosted' AS search_provider, CAST(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END, count(*) OVER (PARTITION BY o_custkey)) AS BIGINT) AS batch_size FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+add(
+    "p1_build_lookup_records",
+    _records,
+    """SELECT o_orderkey AS detail_id, o_custkey AS job_id, o_totalprice AS provider_seconds, coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END, 'unknown') AS model,
+    CASE WHEN c_custkey % 3 = 0 THEN 'economy' WHEN c_custkey % 5 = 0 THEN 'thorough' ELSE 'unknown' END AS preset, CASE WHEN c_custkey % 8 = 0 THEN 'ollama' WHEN c_custkey % 4 = 0 THEN 'anthropic' ELSE 'openai' END AS provider,
+    CASE WHEN c_custkey % 6 = 0 THEN 'searxng' ELSE 'hosted' END AS search_provider, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 2 = 0 ELSE o_orderkey % 3 = 0 END AS cache_hit,
+    CAST(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END, count(*) OVER (PARTITION BY o_custkey)) AS BIGINT) AS batch_size FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+)
 add("p4_sanitize_model_ids", lambda v: v.lookups.select("lookup_id", catalog.safe_model_id(F.col("model")).alias("model")), "SELECT lookup_id, CASE WHEN starts_with(model, 'sk-') OR NOT regexp_full_match(model, '[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}') THEN '[REDACTED_INVALID_MODEL]' ELSE model END AS model FROM lookups")
 
 
@@ -152,6 +177,31 @@ def _due(v):
 add("p16_refresh_due", _due, "SELECT c_custkey, c_nationkey <> 3 AND (c_custkey % 11 = 0 OR last IS NULL OR 1e9 < last OR 1e9 - last >= 300 * 86400.0) AS due FROM (SELECT c_custkey, c_nationkey, max(epoch(o_orderdate)) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)".replace("300 * 86400.0", "24 * 300 * 3600.0"))
 
 
+def _fresh(v):
+    k = F.col("c_custkey")
+    fetched = F.when(k % 9 == 0, "junk").when(k % 9 == 1, "NaN").when(k % 9 == 2, F.lit(None).cast("string")).otherwise((1_000_000_000 + (k % 20 - 12) * 86_400).cast("string"))
+    models = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("m")))
+    return v.customer.select("c_custkey", catalog.cache_is_fresh(fetched, models, F.lit(1_000_000_000.0)).alias("fresh"))
+
+
+add("p16_cache_is_fresh", _fresh, "SELECT c_custkey, c_custkey % 9 > 2 AND c_custkey % 7 <> 0 AND c_custkey % 20 - 12 <= 0 AND c_custkey % 20 - 12 > -7 AS fresh FROM customer")
+
+
+def _reminders(v):
+    k = F.col("p_partkey")
+    skipped, reminded = F.when(k % 5 == 0, "1.2.3").when(k % 5 == 1, "1.2.2"), F.when(k % 3 > 0, "1.2.3").otherwise(F.lit(None).cast("string"))
+    after = F.when(k % 4 == 0, "junk").when(k % 4 == 1, "inf").when(k % 4 == 2, F.lit(None).cast("string")).otherwise((1000 + k % 11 - 5).cast("string"))
+    return v.part.select("p_partkey", catalog.reminder_due(F.lit("1.2.3"), skipped, reminded, after, F.lit(1000.0)).alias("due"))
+
+
+add("p16_reminder_due", _reminders, "SELECT p_partkey, p_partkey % 5 <> 0 AND (p_partkey % 3 = 0 OR p_partkey % 4 < 3 OR p_partkey % 11 - 5 <= 0) AS due FROM part")
+add(
+    "p16_known_update",
+    lambda v: v.part.select("p_partkey", catalog.known_update_available(F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("1.2."), F.col("p_partkey") % 20)), F.lit("5.0.0"), F.lit("1.2.9"), F.concat(F.lit("5."), F.col("p_size") % 3 - 1, F.lit(".0"))).alias("available")),
+    "SELECT p_partkey, p_partkey % 9 <> 0 AND p_partkey % 20 > 9 AND p_size % 3 >= 1 AS available FROM part",
+)
+
+
 def _versions(v):
     s = lambda e: F.expr(e).cast("string")
     dots = lambda a, b, c: F.concat_ws(".", s(a), s(b), s(c))

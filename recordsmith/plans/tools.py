@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import journal
 from ..sources import archives, tables
+from ..sources.staging import shared_folder
 from ..streaming import jobs
 from .mart import _M, _PRICED, priced
 from .registry import add
@@ -19,18 +19,30 @@ from .registry import add
 
 def _results(v):
     m = v.messages.join(v.documents.select("doc_id", "n_chars"), "doc_id")
-    return m.select((F.col("doc_id") % 7).alias("job_id"), F.col("doc_id").alias("book_id"), F.col("term").alias("title"), F.when(F.col("doc_id") % 3 == 0, "ready").otherwise("failed").alias("outcome"), "message")
+    return m.select(F.floor(F.col("doc_id") / 100).alias("job_id"), F.col("doc_id").alias("book_id"), F.col("term").alias("title"), F.when(F.col("doc_id") % 3 == 0, "ready").otherwise("failed").alias("outcome"), "message")
 
 
 def _journal(v):
     return journal.journal_from_results(_results(v), b"pepper")
 
 
-_JOURNAL = "SELECT doc_id % 7 AS job_id, count(*) AS books, count(*) FILTER (WHERE doc_id % 3 <> 0) AS failed_books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1"
+_JOURNAL = "SELECT doc_id // 100 AS job_id, count(*) AS books, count(*) FILTER (WHERE doc_id % 3 <> 0) AS failed_books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1"
 add("e7_journal_from_results", lambda v: _journal(v).select("job_id", "books", "failed_books", F.size("failures").cast("long").alias("kept")), _JOURNAL)
-add("e7_journal_categories", lambda v: _journal(v).select("job_id", F.explode("failures").alias("f")).groupBy("job_id", F.col("f.category").alias("category")).agg(F.count("*").alias("n")), "WITH r AS (SELECT doc_id % 7 AS job_id, doc_id, CASE doc_id % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS category, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS n FROM messages WHERE doc_id % 3 <> 0) SELECT job_id, category, count(*) AS n FROM r WHERE n <= 50 GROUP BY 1, 2")
-add("w2_cap_failures", lambda v: journal.cap_failures(_journal(v), 20).select("job_id", F.size("failures").cast("long").alias("kept")), "SELECT doc_id % 7 AS job_id, least(20, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1")
+add("e7_journal_categories", lambda v: _journal(v).select("job_id", F.explode("failures").alias("f")).groupBy("job_id", F.col("f.category").alias("category")).agg(F.count("*").alias("n")), "WITH r AS (SELECT doc_id // 100 AS job_id, doc_id, CASE doc_id % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS category, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS n FROM messages WHERE doc_id % 3 <> 0) SELECT job_id, category, count(*) AS n FROM r WHERE n <= 50 GROUP BY 1, 2")
+add("w2_cap_failures", lambda v: journal.cap_failures(_journal(v), 20).select("job_id", F.size("failures").cast("long").alias("kept")), "SELECT doc_id // 100 AS job_id, least(20, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1")
 add("s13_export_journal", lambda v: journal.export_journal(_journal(v))[1], f"SELECT count(*) AS entries, CAST(sum(kept) AS BIGINT) AS failures, false AS details FROM ({_JOURNAL})")
+
+
+def _exported(v):
+    """The journal's export without details, written as JSON and read back."""
+    return v.spark.read.schema("job_id long, books long, failed_books long, failures array<struct<anonymous_book: string, category: string, message: string>>").json(_lines(v, journal.export_journal(_journal(v))[0]))
+
+
+add(
+    "s13_export_journal_files",
+    lambda v: _exported(v).select("job_id", "books", F.size("failures").cast("long").alias("kept"), F.exists("failures", lambda f: f["message"].isNotNull()).alias("details"), F.get("failures", F.lit(0))["category"].alias("first_category")),
+    "SELECT doc_id // 100 AS job_id, count(*) AS books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept, false AS details, CASE min(doc_id) FILTER (WHERE doc_id % 3 <> 0) % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS first_category FROM messages GROUP BY 1",
+)
 add("s13_export_journal_entries", lambda v: journal.export_journal(_journal(v))[0].select("job_id", F.to_json(F.get("failures", F.lit(0))).alias("first_failure")))
 add("a15_diagnostic_rollup", lambda v: journal.diagnostic_rollup(priced(v), _journal(v)), f"{_PRICED.rstrip()}, j AS ({_JOURNAL}) SELECT a.*, b.* FROM (SELECT {_M} FROM priced) a, (SELECT count(*) AS journal_entries, CAST(sum(kept) AS BIGINT) AS failures FROM j) b".replace("AS BIGINT) AS failures FROM j", "AS BIGINT) AS journal_failures FROM j"))
 
@@ -44,25 +56,47 @@ def _changed(v):
 add("s2_changed_files", _changed, "SELECT concat('/f/', CAST(doc_id AS VARCHAR)) AS path, sha256(text) AS fingerprint FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 5 = 0 AND n_chars <> 1)")
 
 
-def _manifests(v):
-    i = F.col("o_orderkey")
-    version = F.when(i % 9 == 1, "1.2").otherwise(F.concat(F.lit("1."), i % 50, F.lit(".3")))
-    head = F.concat(F.lit('{"schema":'), F.when(i % 9 == 2, '"1"').otherwise("1"), F.when(i % 9 == 3, ',"schema":1').otherwise(""), F.lit(',"product":"Records","channel":'), F.when(i % 9 == 4, '"beta"').otherwise('"stable"'))
-    tail = F.concat(F.lit(',"version":"'), version, F.lit('","minimum_host":"5.0.0","published":"'), F.when(i % 9 == 5, "2024-02-30T00:00:00Z").otherwise("2024-02-28T00:00:00Z"), F.lit('","changelog":{"summary":"ok","items":['), F.when(i % 9 == 6, "").otherwise('{"category":"fixed","text":"a bug"}'), F.lit("]}"), F.when(i % 9 == 7, ',"more":1').otherwise(""), F.lit("}"))
-    return v.orders.select(i.alias("id"), F.concat(head, tail).alias("body"))
+#: What is wrong with a manifest, by o_orderkey % 20, and the first error it gives; others are good.
+_FAULTS = {1: "version", 2: "schema", 3: "json", 4: "channel", 5: "published", 6: "items", 7: "keys", 9: "changelog", 10: "changelog", 11: "items", 12: "items", 13: "items", 14: "items", 15: "summary", 16: "summary", 17: "changelog", 18: "schema"}
+_CATEGORY = {8: "Security", 11: "fixed", 12: "improved"}
+_ITEM_TEXT = {13: "see www.example.org", 14: " a bug"}
+_SUMMARY = {15: "a <b>", 16: "x\\u007f"}
 
 
-add("s10_manifest_accepted", lambda v: tables.strict_manifest_load(_manifests(v), product="Records")[0].select("id", "version"), "SELECT o_orderkey AS id, concat('1.', CAST(o_orderkey % 50 AS VARCHAR), '.3') AS version FROM orders WHERE o_orderkey % 9 IN (0, 8)")
-add("s10_manifest_rejected", lambda v: tables.strict_manifest_load(_manifests(v), product="Records")[1].select("id", F.get("errors", F.lit(0)).alias("first_error")), "SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 1 THEN 'version' WHEN 2 THEN 'schema' WHEN 3 THEN 'json' WHEN 4 THEN 'channel' WHEN 5 THEN 'published' WHEN 6 THEN 'items' ELSE 'keys' END AS first_error FROM orders WHERE o_orderkey % 9 NOT IN (0, 8)")
+def _manifests(v):
+    k = F.col("o_orderkey") % 20
+
+    def pick(cases, other):
+        out = F.when(F.lit(False), "")
+        for n, value in cases.items():
+            out = out.when(k == n, value)
+        return out.otherwise(other)
+
+    more = lambda n: F.when(k == n, ',"more":1').otherwise("")
+    version = F.when(k == 1, "1.2").otherwise(F.concat(F.lit("1."), F.col("o_orderkey") % 50, F.lit(".3")))
+    head = F.concat(F.lit('{"schema":'), F.when(k == 2, '"1"').when(k == 18, "1.5").otherwise("1"), F.when(k == 3, ',"schema":1').otherwise(""), F.lit(',"product":"Records","channel":'), F.when(k == 4, '"beta"').otherwise('"stable"'))
+    dated = F.concat(F.lit(',"version":"'), version, F.lit('","minimum_host":"5.0.0","published":"'), F.when(k == 5, "2024-02-30T00:00:00Z").otherwise("2024-02-28T00:00:00Z"))
+    text = F.when(k == 17, "7").otherwise(F.concat(F.lit('"'), pick(_ITEM_TEXT, "a bug"), F.lit('"')))
+    item = F.concat(F.lit('{"category":"'), pick(_CATEGORY, "Fixed"), F.lit('","text":'), text, more(10), F.lit("}"))
+    log = F.concat(F.lit('","changelog":{"summary":"'), pick(_SUMMARY, "ok"), F.lit('","items":['), F.when(k == 6, "").otherwise(item), F.lit("]"), more(9), F.lit("}"))
+    return v.orders.select(F.col("o_orderkey").alias("id"), F.concat(head, dated, log, more(7), F.lit("}")).alias("body"))
+
+
+_BAD = ", ".join(map(str, _FAULTS))
+add(
+    "s10_manifest_accepted",
+    lambda v: tables.strict_manifest_load(_manifests(v), product="Records")[0].select("id", "version", F.get("changelog.items", F.lit(0))["category"].alias("category")),
+    f"SELECT o_orderkey AS id, concat('1.', CAST(o_orderkey % 50 AS VARCHAR), '.3') AS version, CASE o_orderkey % 20 WHEN 8 THEN 'Security' ELSE 'Fixed' END AS category FROM orders WHERE o_orderkey % 20 NOT IN ({_BAD})",
+)
+add(
+    "s10_manifest_rejected",
+    lambda v: tables.strict_manifest_load(_manifests(v), product="Records")[1].select("id", F.get("errors", F.lit(0)).alias("first_error")),
+    "SELECT o_orderkey AS id, CASE o_orderkey % 20 " + " ".join(f"WHEN {n} THEN '{e}'" for n, e in _FAULTS.items()) + f" END AS first_error FROM orders WHERE o_orderkey % 20 IN ({_BAD})",
+)
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/") + "/streams"
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="recordsmith-streams-")
+    return f"{shared_folder(spark)}/queries"
 
 
 def _lines(v, df):
@@ -88,27 +122,86 @@ def _read_journal(v):
 add("s7_read_journal", _read_journal, f"SELECT lookup_id AS entry_id, coalesce(provider, 'openai') AS provider, 'hosted' AS search_provider, {_SAFE}, outcome AS category FROM lookups")
 
 
+_CONTAINER = "<container><rootfiles><rootfile full-path='content.opf'/></rootfiles></container>"
+
+
 def _archives(v):
-    """One archive a document, packed in the tasks: container, package document and a page."""
+    """One archive a document, packed in the tasks: container, package document and a page.
+
+    By doc_id: 11 no archive, 7 a page outside of the archive, 13 a page with damaged bytes;
+    every fifth package has a document type, every fifth one with an internal subset.
+    """
 
     def pack(parts):
         for part in parts:
             made = []
             for doc, text in zip(part["doc_id"], part["text"], strict=True):
                 raw = io.BytesIO()
+                kind = {0: "<!DOCTYPE package PUBLIC 'a' 'b.dtd'>", 1: "<!DOCTYPE package [<!ELEMENT x ANY>]>"}.get(doc % 5, "")
                 with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("META-INF/container.xml", "<container/>")
-                    z.writestr("content.opf", f"<package xmlns:dc='d'><dc:title> Book  {doc} </dc:title><dc:title> </dc:title><dc:creator>A{doc % 10}</dc:creator><dc:contributor>B</dc:contributor><dc:identifier>i{doc}</dc:identifier><dc:publisher>P</dc:publisher><dc:language>en</dc:language></package>")
+                    z.writestr("META-INF/container.xml", _CONTAINER)
+                    z.writestr("content.opf", f"{kind}<package xmlns:dc='d'><dc:title> Book  {doc} </dc:title><dc:title> </dc:title><dc:creator>A{doc % 10}</dc:creator><dc:contributor>B</dc:contributor><dc:identifier>i{doc}</dc:identifier><dc:publisher>P</dc:publisher><dc:language>en</dc:language></package>")
+                    z.writestr("other.opf", "<package><title>not this one</title></package>")
                     z.writestr("../bad.xhtml" if doc % 7 == 0 else "p.xhtml", text or "")
-                made.append(raw.getvalue() if doc % 11 else b"no zip")
+                    last = z.infolist()[-1]
+                body = bytearray(raw.getvalue())
+                if doc % 13 == 0:
+                    body[last.header_offset + 30 + len(last.filename)] = 0xFF  # no such kind of block
+                made.append(bytes(body) if doc % 11 else b"no zip")
             yield pd.DataFrame({"path": "/a/" + part["doc_id"].astype(str), "content": made})
 
     return v.documents.select("doc_id", "text").mapInPandas(pack, "path string, content binary")
 
 
 _PATH = "concat('/a/', CAST(doc_id AS VARCHAR)) AS path"
-add("s3_explode_members", lambda v: archives.explode_members(_archives(v)).where("name is null or name <> 'content.opf'").select("path", "name", "size", "status"), f"SELECT {_PATH}, NULL AS name, CAST(NULL AS BIGINT) AS size, 'unreadable' AS status FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT {_PATH}, 'META-INF/container.xml', 12, 'ok' FROM documents WHERE doc_id % 11 > 0 UNION ALL SELECT {_PATH}, CASE WHEN doc_id % 7 = 0 THEN '../bad.xhtml' ELSE 'p.xhtml' END, octet_length(encode(text)), CASE WHEN doc_id % 7 = 0 THEN 'unsafe path' ELSE 'ok' END FROM documents WHERE doc_id % 11 > 0")
-add("s4_package_fields", lambda v: archives.package_fields(archives.explode_members(_archives(v))).select("path", F.array_join("titles", "|").alias("titles"), F.array_join("authors", "|").alias("authors"), F.array_join("identifiers", "|").alias("identifiers"), "publisher", "date", "language"), f"SELECT {_PATH}, concat('Book ', CAST(doc_id AS VARCHAR)) AS titles, concat('A', CAST(doc_id % 10 AS VARCHAR), '|B') AS authors, concat('i', CAST(doc_id AS VARCHAR)) AS identifiers, 'P' AS publisher, CAST(NULL AS VARCHAR) AS date, 'en' AS language FROM documents WHERE doc_id % 11 > 0")
+_MEMBER_STATUS = "CASE WHEN doc_id % 13 = 0 THEN 'corrupt' WHEN doc_id % 7 = 0 THEN 'unsafe path' ELSE 'ok' END"
+add(
+    "s3_explode_members",
+    lambda v: archives.explode_members(_archives(v)).where("name is null or not endswith(name, '.opf')").select("path", "name", "size", "status"),
+    f"""SELECT {_PATH}, NULL AS name, CAST(NULL AS BIGINT) AS size, 'unreadable' AS status FROM documents WHERE doc_id % 11 = 0
+    UNION ALL SELECT {_PATH}, 'META-INF/container.xml', {len(_CONTAINER)}, 'ok' FROM documents WHERE doc_id % 11 > 0
+    UNION ALL SELECT {_PATH}, CASE WHEN doc_id % 7 = 0 THEN '../bad.xhtml' ELSE 'p.xhtml' END, octet_length(encode(text)), {_MEMBER_STATUS} FROM documents WHERE doc_id % 11 > 0""",
+)
+add(
+    "s4_package_fields",
+    lambda v: archives.package_fields(archives.explode_members(_archives(v))).select("path", *[F.array_join(c, "|").alias(c) for c in ("titles", "authors", "identifiers")], "publisher", "date", "language"),
+    f"""SELECT {_PATH}, concat('Book ', CAST(doc_id AS VARCHAR)) AS titles, concat('A', CAST(doc_id % 10 AS VARCHAR), '|B') AS authors, concat('i', CAST(doc_id AS VARCHAR)) AS identifiers,
+    'P' AS publisher, CAST(NULL AS VARCHAR) AS date, 'en' AS language FROM documents WHERE doc_id % 11 > 0 AND doc_id % 5 <> 1""",
+)
+
+
+def _scanned(v):
+    """Documents written as files, one a row, then scanned back as bytes with their digests."""
+    out = f"{_shared(v.spark)}/files-{uuid.uuid4().hex}"
+    v.documents.where("text is not null").select(F.concat(F.col("doc_id"), F.lit("\t"), F.hex(F.encode("text", "utf-8"))).alias("value")).write.text(out)
+    lines = archives.scan_archives(v.spark, out, "part-*").select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("l"), (F.sha2("content", 256) == F.col("fingerprint")).alias("same")).where("l <> ''")
+    return lines.select(F.split("l", "\t")[0].cast("long").alias("doc_id"), F.sha2(F.unhex(F.split("l", "\t")[1]), 256).alias("fingerprint"), "same")
+
+
+add("s1_scan_archives", _scanned, "SELECT doc_id, sha256(text) AS fingerprint, true AS same FROM documents WHERE text IS NOT NULL")
+
+
+def _whole_history(v):
+    """Histories as single documents: a version, a salt and their records, one of them no object; some files are no JSON."""
+    record = F.to_json(F.struct("lookup_id", "model", "outcome", F.lit(2.5).alias("openai_seconds")))
+    body = v.lookups.groupBy(F.floor(F.col("lookup_id") / 100).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(record)), ",").alias("r"))
+    whole = F.concat(F.lit('{"version":1,"salt":"s","records":['), "r", F.lit(',7,"x"]}'))
+    return tables.history_records(body.select(F.when(F.col("file") % 5 == 4, "no json").otherwise(whole).alias("body"))).select("lookup_id", "outcome", "provider_seconds")
+
+
+add("s6_read_history_documents", _whole_history, "SELECT lookup_id, outcome, 2.5 AS provider_seconds FROM lookups WHERE lookup_id // 100 % 5 <> 4")
+
+
+def _csv(v):
+    """The export written as CSV and read back."""
+    out = f"{_shared(v.spark)}/csv-{uuid.uuid4().hex}"
+    columns = ("lookup_id", "provider", "model", "preset", "cache_hit", "outcome", "batch_size", "retrieval_seconds", "total_tokens")
+    tables.write_csv(v.lookups, out, columns)
+    types = {"lookup_id": "long", "cache_hit": "boolean", "batch_size": "int", "retrieval_seconds": "double", "total_tokens": "long"}
+    return v.spark.read.option("header", "true").schema(", ".join(f"{c} {types.get(c, 'string')}" for c in columns)).csv(out)
+
+
+add("s11_csv_files", _csv, "SELECT lookup_id, provider, model, preset, cache_hit, outcome, batch_size, retrieval_seconds, total_tokens FROM lookups")
 
 
 def _history(v):
@@ -120,16 +213,21 @@ def _history(v):
 add("s12_write_history", _history, "SELECT lookup_id, outcome, strftime(ts, '%Y-%m-%d') AS date FROM lookups WHERE ts >= TIMESTAMP '2024-01-10'")
 
 
-def _stream(v, name, job, mode="append"):
+def _stream(v, name, job, mode="append", key=None):
     source = jobs.read_stream(v.spark, v.sf_dir, name, getattr(v, name).schema)
-    return jobs.run_available(v.spark, job(source), _shared(v.spark), mode)
+    return jobs.run_available(v.spark, job(source), _shared(v.spark), mode, key)
 
 
 _CLEAN = "coalesce(text, '')"
 for _p, _to in ((r"\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED_API_KEY]"), (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", r"\1[REDACTED]"), (r"https?://\S+", "[REDACTED_URL]"), (r"(?i)\b[A-Z]:\\(Users\\)?[^\s\"'']+", "[REDACTED_PATH]"), (r"/(Users|home|private/var|tmp)/[^\s\"'']+", "[REDACTED_PATH]")):
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_to}', 'g')"
-add("t1_stream_record_state", lambda v: _stream(v, "events", jobs.record_state, "complete"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max(event_id) AS last_event FROM events GROUP BY 1".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, struct_pack(a := ts, b := event_id))"))
-add("t2_stream_daily_rollup", lambda v: _stream(v, "events", jobs.daily_rollup, "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(coalesce(value, 0)), 4) AS total_value FROM events GROUP BY 1")
-add("t3_stream_cache_hits", lambda v: _stream(v, "events", jobs.live_keys), "SELECT DISTINCT user_id FROM events")
+add("t1_stream_record_state", lambda v: _stream(v, "events", jobs.record_state, "update", "user_id"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max(event_id) AS last_event FROM events GROUP BY 1".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, struct_pack(a := ts, b := event_id))"))
+add("t2_stream_daily_rollup", lambda v: _stream(v, "events", jobs.daily_rollup, "update", "date"), "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(coalesce(value, 0)), 4) AS total_value FROM events GROUP BY 1")
+add("t3_stream_live_keys", lambda v: _stream(v, "events", jobs.live_keys).select("user_id"), "SELECT DISTINCT user_id FROM events")
+add(
+    "t3_stream_cache_hits",
+    lambda v: jobs.cache_hits(v.events, _stream(v, "events", jobs.live_keys)).groupBy("user_id").agg(F.count("*").alias("hits")),
+    "SELECT user_id, count(*) - 1 AS hits FROM events GROUP BY 1 HAVING count(*) > 1",
+)
 add("t4_stream_redaction", lambda v: _stream(v, "documents", jobs.redaction), rf"SELECT doc_id, md5(substr({_CLEAN}, 1, 16000)) AS clean_md5, 0 AS risk FROM documents")
 add("t5_stream_retention", lambda v: _stream(v, "events", lambda s: jobs.retention(s, "2024-01-15").select("event_id", "event_type")), "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import safe_path
 
@@ -17,6 +20,10 @@ MOST_MEMBERS, MOST_RATIO, RATIO_FROM, MOST_BYTES = 10_000, 200, 128 * 1024, 4 *
 MEMBERS = "path string, name string, size long, compressed long, encrypted boolean, status string, content binary"
 
 
+_LIST = T.ArrayType(T.StringType())
+_FIELDS = T.StructType([T.StructField(n, _LIST) for n in ("titles", "authors", "identifiers")] + [T.StructField(n, T.StringType()) for n in ("publisher", "date", "language")])
+
+
 def scan_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length, modified, content, fingerprint): one row a file, with the SHA-256 of its bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -32,8 +39,9 @@ def explode_members(archives: DataFrame) -> DataFrame:
     """One row a member of (path, content) archives, with a status instead of an exception.
 
     Bytes are read only for members that are neither encrypted, too large nor
-    inflated beyond the ratio. An unreadable archive or one of too many members
-    is one row with an error.
+    inflated beyond the ratio; a member whose bytes are damaged is 'corrupt' and leaves the
+    others as they are. An unreadable archive or one of too many members
+    is one row with an error. Archives are dealt by Spark, one at a time in a task.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,39 +51,72 @@ def explode_members(archives: DataFrame) -> DataFrame:
 
     raw = archives.select("path", "content").mapInPandas(run, MEMBERS)
     safe = safe_path(F.col("name"))
-    return raw.withColumn("status", F.when((F.col("status") == "ok") & safe.isNull(), "unsafe path").otherwise(F.col("status"))).withColumn("content", F.when(F.col("status") == "ok", F.col("content")))
+    locked, ratio = F.col("encrypted"), (F.col("size") >= RATIO_FROM) & (F.col("size") > MOST_RATIO * F.greatest(F.lit(1), F.col("compressed")))
+    status = F.when(F.col("name").isNull() | (F.col("status") == "corrupt"), F.col("status")).when(locked, "encrypted").when(ratio, "ratio").when(F.col("size") > MOST_BYTES, "skipped").when(safe.isNull(), "unsafe path").otherwise("ok")
+    return raw.withColumn("status", status).withColumn("content", F.when(F.col("status") == "ok", F.col("content")))
 
 
-def _members(path: str, content: bytes) -> Iterator[tuple]:
+def _members(path: str, content: bytes | None) -> Iterator[tuple]:
+    """The directory of one archive, with the bytes of members within the limits."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            infos = archive.infolist()
-            if len(infos) > MOST_MEMBERS:
-                yield path, None, None, None, None, "too many members", None
-                return
-            for i in infos:
-                locked, body = bool(i.flag_bits & 1), None
-                if locked:
-                    status = "encrypted"
-                elif i.file_size >= RATIO_FROM and i.file_size > MOST_RATIO * max(1, i.compress_size):
-                    status = "ratio"
-                elif i.file_size > MOST_BYTES:
-                    status = "skipped"
-                else:
-                    status, body = "ok", archive.read(i)
-                yield path, i.filename, i.file_size, i.compress_size, locked, status, body
-    except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError):
+        archive = zipfile.ZipFile(io.BytesIO(content or b""))
+    except (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError):
         yield path, None, None, None, None, "unreadable", None
+        return
+    infos = archive.infolist()
+    if len(infos) > MOST_MEMBERS:
+        yield path, None, None, None, None, "too many members", None
+        return
+    for i in infos:
+        locked, body, status = bool(i.flag_bits & 1), None, ""
+        if not locked and i.file_size <= MOST_BYTES and i.file_size <= max(RATIO_FROM, MOST_RATIO * max(1, i.compress_size)):
+            try:
+                with archive.open(i) as stream:
+                    body = stream.read(MOST_BYTES + 1)
+                status = "" if len(body) <= MOST_BYTES else "corrupt"
+            except (zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError, ValueError):
+                status = "corrupt"
+        yield path, i.filename, i.file_size, i.compress_size, locked, status, body
 
 
 def package_fields(members: DataFrame) -> DataFrame:
-    """(path, titles, authors, identifiers, publisher, date, language) from the package documents (.opf).
+    """(path, titles, authors, identifiers, publisher, date, language) from the package document that the container names.
 
-    White space is collapsed and empty values dropped; a document type or an entity is refused.
+    White space is collapsed and empty values dropped. A simple external document type is
+    taken out and never resolved; an internal subset, a second declaration or an entity is refused,
+    so nothing is left to expand. A refused or malformed document gives no row.
     """
-    opf = members.where(F.col("name").endswith(".opf") & F.col("content").isNotNull()).select("path", F.col("content").cast("string").alias("xml"))
-    local = lambda n: f"//*[local-name()='{n}']/text()"
-    clean = lambda a: F.filter(F.transform(a, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    many = lambda *n: clean(F.xpath("xml", F.lit(" | ".join(local(x) for x in n))))
-    good = opf.where(~F.col("xml").rlike(r"(?i)<!(DOCTYPE|ENTITY)"))
-    return good.select("path", many("title").alias("titles"), many("creator", "contributor").alias("authors"), many("identifier").alias("identifiers"), *[F.get(many(n), F.lit(0)).alias(n) for n in ("publisher", "date", "language")])
+    named = members.where((F.col("name") == "META-INF/container.xml") & F.col("content").isNotNull()).select("path", _without_doctype(F.col("content").cast("string")).alias("xml"))
+    root = F.regexp_extract("xml", r"""<(?:[\w.-]+:)?rootfile\b[^>]*?\bfull-path\s*=\s*["']([^"']*)["']""", 1)
+    wanted = named.select("path", safe_path(root).alias("name")).where("name is not null")
+    opf = members.where(F.col("content").isNotNull()).join(wanted, ["path", "name"], "left_semi")
+    bare = opf.select("path", _without_doctype(F.col("content").cast("string")).alias("xml")).where("xml is not null")
+    return bare.select("path", _package("xml").alias("p")).select("path", "p.*").where("titles is not null")
+
+
+@F.pandas_udf(_FIELDS)
+def _package(documents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_texts(xml) for xml in documents], columns=_FIELDS.names)
+
+
+def _texts(xml: str) -> tuple:
+    """The collapsed texts of one package document; nulls where it is no XML."""
+    found: dict[str, list[str]] = {}
+    try:
+        nodes = ElementTree.fromstring(xml).iter()
+    except (ElementTree.ParseError, ValueError):
+        return (None,) * len(_FIELDS)
+    for node in nodes:
+        value = " ".join((node.text or "").split())
+        if value and isinstance(node.tag, str):
+            name = node.tag.rsplit("}", 1)[-1].lower()
+            found.setdefault("creator" if name == "contributor" else name, []).append(value)
+    first = lambda n: found.get(n, [None])[0]
+    return found.get("title", []), found.get("creator", []), found.get("identifier", []), first("publisher"), first("date"), first("language")
+
+
+def _without_doctype(xml: Column) -> Column:
+    """The document without a simple document type; null where it declares entities, a subset or more than one."""
+    bare = F.regexp_replace(xml, r"(?is)\A(.*?)<!DOCTYPE\s+[^>\[]+>", "$1")
+    refused = xml.rlike(r"(?i)<!ENTITY") | xml.rlike(r"(?is)<!DOCTYPE[^>]*\[") | bare.rlike(r"(?i)<!DOCTYPE")
+    return F.when(~refused, bare)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import collapse, strip
 from ..functions.urls import valid_result_url
 from ..operators.catalog import parse_version, safe_model_id
 
@@ -13,9 +14,25 @@ HISTORY = "lookup_id long, timestamp string, timestamp_epoch double, model strin
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON lines; rows that are no objects are dropped, the legacy timing moves where the new one is null."""
-    raw = spark.read.schema(HISTORY + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    good = raw.where("_corrupt_record is null").drop("_corrupt_record")
+    """Records of history files: JSON lines, or documents with a list `records`.
+
+    Rows that are no objects are dropped, and files that are no JSON or not there
+    are empty. The legacy timing moves where the new one is null.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile")
+    try:
+        found = files.load(path)
+    except AnalysisException:  # no such path
+        found = spark.createDataFrame([], "path string, content binary")
+    return history_records(found.select(F.col("content").cast("string").alias("body")))
+
+
+def history_records(bodies: DataFrame) -> DataFrame:
+    """Records of (body) texts, each a document with `records` or JSON lines."""
+    whole = F.from_json("body", "struct<version: string, salt: string, records: array<string>>")["records"]
+    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
+    raw = bodies.select(F.explode(F.when(whole.isNotNull(), whole).otherwise(lines)).alias("line")).where(F.ltrim("line").startswith("{"))
+    good = raw.select(F.from_json("line", HISTORY + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*").where("_corrupt_record is null").drop("_corrupt_record")
     return good.withColumns({"provider_seconds": F.coalesce("provider_seconds", "openai_seconds"), "model": safe_model_id(F.col("model"))}).drop("openai_seconds")
 
 
@@ -64,32 +81,38 @@ def unify_usage(raw: DataFrame) -> DataFrame:
     return p.select("request_id", "provider", *[c.alias(k) for k, c in one.items()]).groupBy("request_id", "provider").agg(*[F.sum(k).alias(k) for k in one])
 
 
-CATEGORIES = ("added", "changed", "deprecated", "fixed", "improved", "removed", "security")
+# The categories of a changelog item, and the keys of a manifest.
+CATEGORIES = ("Added", "Changed", "Deprecated", "Removed", "Fixed", "Security")
 MANIFEST_KEYS = ("changelog", "channel", "minimum_host", "product", "published", "schema", "version")
+#: The changelog's keys and types, all of them, in the notation of schema_of_variant.
+_CHANGELOG = "OBJECT<items: ARRAY<OBJECT<category: STRING, text: STRING>>, summary: STRING>"
 
 
 def strict_manifest_load(rows: DataFrame, *, product: str, channel: str = "stable", key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with errors) of (id, body) manifests.
 
-    Duplicate keys make the parser return null; the key set is exact; schema is
-    the number 1; versions have three numbers; the time is a real UTC second;
-    the changelog has a summary and 1 to 8 plain items of known categories.
+    Duplicate keys make the parser return null; key sets are exact on every
+    level; schema is the number 1; versions have three numbers; the time is a real UTC
+    second; the changelog has a summary and 1 to 8 items of known categories,
+    whose texts are plain: trimmed, without markup, control characters or addresses.
     """
     shape = "struct<schema: string, product: string, channel: string, version: string, minimum_host: string, published: string, changelog: struct<summary: string, items: array<struct<category: string, text: string>>>>"
     v = rows.withColumns({"_v": F.try_parse_json("body"), "_m": F.from_json("body", shape)})
     keys = F.array_sort(F.json_object_keys("body"))
     m, items = (lambda n: F.col(f"_m.{n}")), F.col("_m.changelog.items")
-    plain = lambda t, n: (F.length(t) > 0) & (F.length(t) <= n) & ~t.rlike(r"[<>\x00-\x1F]|https?://")
+    plain = lambda t, n: (F.length(t) > 0) & (F.length(t) <= n) & (t == strip(t)) & ~t.rlike(r"(?i)[\x00-\x1f\x7f<>]|(?:https?://|www\.)")
     no = lambda c: F.coalesce(~c, F.lit(True))
-    real = m("published").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z") & F.try_to_timestamp(m("published"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull()
+    typed = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    real = m("published").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z") & F.try_to_timestamp(m("published"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull()
     rules = (
         ("json", F.col("_v").isNull()),
         ("keys", no(keys == F.array(*[F.lit(k) for k in MANIFEST_KEYS]))),
-        ("schema", no(F.try_variant_get("_v", "$.schema", "string") == "1") | no(F.schema_of_variant("_v").contains("schema: BIGINT"))),
+        ("schema", no(F.try_variant_get("_v", "$.schema", "string") == "1") | no(typed("$.schema") == "BIGINT")),
         ("product", no(m("product") == product)),
         ("channel", no(m("channel") == channel)),
         ("version", parse_version(m("version")).isNull() | parse_version(m("minimum_host")).isNull()),
         ("published", no(real)),
+        ("changelog", no(typed("$.changelog") == _CHANGELOG) & no(F.size(items) == 0)),
         ("summary", no(plain(m("changelog.summary"), 300))),
         ("items", no(F.size(items).between(1, 8) & F.forall(items, lambda x: F.coalesce(x["category"].isin(*CATEGORIES) & plain(x["text"], 240), F.lit(False))))),
     )
@@ -98,8 +121,9 @@ def strict_manifest_load(rows: DataFrame, *, product: str, channel: str = "stabl
     return accepted, checked.where(F.size("errors") > 0).select(key, "errors")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").csv(path)
+def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
+    """df as CSV files with a header, nulls empty; columns fixes which come and in what order."""
+    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", "true").option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
 def write_history(df: DataFrame, path: str, date: Column) -> None:

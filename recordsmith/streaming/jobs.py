@@ -28,10 +28,15 @@ def daily_rollup(events: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def live_keys(events: DataFrame, horizon: str = "60 days") -> DataFrame:
-    """The first request of each key is live; repeats inside the horizon are cache hits and are dropped."""
+    """(user_id, event_id) of live requests: the first of each key; repeats inside the horizon are cache hits and are dropped."""
     if events.isStreaming:
-        return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
-    return events.select("user_id").distinct()
+        return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["user_id"]).select("user_id", "event_id")
+    return events.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+def cache_hits(events: DataFrame, live: DataFrame) -> DataFrame:
+    """The other requests: events that live_keys did not pass."""
+    return events.join(live.select("event_id"), "event_id", "left_anti")
 
 
 def redaction(docs: DataFrame) -> DataFrame:
@@ -45,11 +50,12 @@ def retention(events: DataFrame, cutoff: str, delay: str = "1 day") -> DataFrame
     return kept.withWatermark("ts", delay) if events.isStreaming else kept
 
 
-def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> DataFrame:
     """Run a stream over what is there now; its result as a table of the shared folder.
 
     A micro-batch that is run again overwrites its own folder, so nothing counts
-    twice; in complete mode every batch rewrites the whole result.
+    twice. In update mode every batch writes the rows that changed, and the table
+    is the last row of each key, so the whole state is never written again.
     """
     import uuid
 
@@ -57,7 +63,12 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     out, state = f"{folder}/stream-{run}", f"{folder}/state-{run}"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    columns = stream.columns
+    table = spark.read.schema(stream.schema).option("basePath", out).parquet(out)
+    if mode != "update":
+        return table.select(*columns)
+    last = table.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("epoch").cast("long")).alias("_r"))
+    return last.select("_r.*")
