@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +50,38 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders that blocks of scratch() write to, the innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, but for lasting ones."""
+    folder = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark) + '/recordsmith'}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write one; nothing happens if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the
     stages before the written table, and a table that is read twice is computed once.
+    A lasting table outlives the innermost scratch(), for what is read after it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordsmith/{name}-{uuid.uuid4().hex}"
+    folders = [f"{shared_dir(spark)}/recordsmith", *_SCRATCH]
+    path = f"{folders[max(0, len(folders) - 1 - lasting)]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

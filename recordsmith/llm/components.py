@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     each join, which is written first, so that the long side can be split. Self loops and nulls are ignored;
     no edges give no rows. It stops when the edges no longer change.
     """
-    now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).cast("string")).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
+    with scratch(edges.sparkSession):
+        now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
+        seen = None
+        for _ in range(max_rounds):
+            now = materialize(_small_star(_large_star(now)), "edges")
+            state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).cast("string")).first()
+            if state == seen:
+                named = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+                return materialize(named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots", lasting=True)
+            seen = state
     raise RuntimeError("components did not settle")

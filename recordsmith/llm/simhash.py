@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import materialize, scratch, text_or_empty
 from .components import connected_components
 
 #: Pairs of the four 16-bit quarters of a fingerprint; two differing bits leave two quarters whole.
@@ -115,10 +115,11 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Repeated rows stay; extra columns are not read; no rows give no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    marked = materialize(rows.select("doc_id", _fingerprints("text").alias("fp")), "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(named, "root").select("fp", "component_id")
+    with scratch(docs.sparkSession):
+        marked = materialize(rows.select("doc_id", _fingerprints("text").alias("fp")), "simhash", lasting=True)
+        distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+        roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+        labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = materialize(labelled.join(named, "root").select("fp", "component_id"), "components", lasting=True)
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
