@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, identity, materialize, text_or_empty
+from .common import fresh, identity, materialize, scratch, text_or_empty
 
 #: A run of so many lines is found for certain; it is also the winnowing window.
 RUN = 3
@@ -26,14 +26,15 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     A line is selected when its hash is the least of some window of `run`
     non-blank lines (the rightmost on ties); only selected lines are kept.
-    matches are the windows that selected it, from the line numbers
-    before it to those after: (j, digest of the window's lines). Any
+    matches are the windows that selected it, from the lines
+    before it to those after: (j, their line numbers, digest of their lines). Any
     two equal windows select the same line. A document of fewer lines is one
     window, which only matches whole documents of as many lines.
     """
     id_, h = identity()
-    lines = docs.select(id_.alias("id"), h.alias("h"), F.filter(F.transform(F.split(text_or_empty(), "\n"), _trimmed), lambda x: x != "").alias("t"))
-    lines = lines.select("id", "h", "t", F.size("t").alias("m"), F.transform("t", lambda x: F.xxhash64(x)).alias("hs"))
+    numbered = F.transform(F.split(text_or_empty(), "\n"), lambda x, i: F.struct(_trimmed(x).alias("t"), i.alias("at")))
+    lines = docs.select(id_.alias("id"), h.alias("h"), F.filter(numbered, lambda x: x["t"] != "").alias("l"))
+    lines = lines.select("id", "h", F.col("l.t").alias("t"), F.col("l.at").alias("at"), F.size("l").alias("m"), F.transform("l", lambda x: F.xxhash64(x["t"])).alias("hs"))
 
     def selected(j: Column) -> Column:
         hashes = [F.get("hs", j + k) for k in range(run)]
@@ -46,36 +47,37 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     def line(p: Column) -> Column:
         around = F.filter(F.sequence(F.greatest(F.lit(0), p - run + 1), F.least(p, F.col("m") - run)), lambda j: F.get("p", j) == p)
-        matches = F.transform(around, lambda j: F.struct(j.alias("j"), _digest(*[F.get("t", j + k) for k in range(run)]).alias("lines")))
+        matches = F.transform(around, lambda j: F.struct(j.alias("j"), F.slice("at", j + 1, run).alias("at"), _digest(*[F.get("t", j + k) for k in range(run)]).alias("lines")))
         return F.struct(p.alias("pos"), F.get("hs", p).alias("fp"), matches.alias("matches"))
 
-    whole = F.struct(F.lit(0).alias("pos"), F.array_min("hs").alias("fp"), F.array(F.struct(F.lit(0).alias("j"), _digest(F.col("t"), F.col("m")).alias("lines"))).alias("matches"))
+    whole = F.struct(F.lit(0).alias("pos"), F.array_min("hs").alias("fp"), F.array(F.struct(F.lit(0).alias("j"), F.col("at"), _digest(F.col("t"), F.col("m")).alias("lines"))).alias("matches"))
     kept = F.when(F.col("m") >= run, F.transform(F.array_distinct("p"), line)).when(F.col("m") > 0, F.array(whole))
     return lines.select("id", "h", F.explode(kept).alias("f")).select("id", "h", "f.*")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (id, h, later): for each document the windows of `run` lines that repeat an earlier one.
+    """Rows (id, h, gone): for each document the numbers of the lines that repeat an earlier run.
 
     Positions of one fingerprint are joined, if it has two. A match is
     extended to both sides over the lines around it, by a 128-bit digest of
     the lines. The first place of a run in (doc_id, line) order
-    stays, later ones are returned, and overlapping windows add up to maximal runs.
+    stays, later ones are deleted, and overlapping windows add up to maximal runs.
     Within one document a repeat must not overlap the first run. Every join has one
     row a key on one side, which is written first, so the other side, with hot
     lines and thousands of copies, can be split and stays linear.
     """
-    places = materialize(fingerprints(docs, run), "fingerprints")
-    place = F.struct("id", "h", "pos")
-    shared = materialize(places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp"), "shared")
-    candidates = places.join(shared, "fp", "left_semi").select("id", "h", F.explode("matches").alias("w")).select("id", "h", "w.j", "w.lines")
-    candidates = materialize(candidates, "candidates")
-    place = F.struct("id", "h", "j")
-    first = candidates.groupBy("lines").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
-    first = materialize(first.select("lines", "a"), "first")
-    same = (F.col("id") == F.col("a.id")) & (F.col("h") == F.col("a.h"))
-    later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + run))
-    return later.groupBy("id", "h").agg(F.collect_set("j").alias("later"))
+    with scratch(docs.sparkSession):
+        places = materialize(fingerprints(docs, run), "fingerprints")
+        place = F.struct("id", "h", "pos")
+        shared = materialize(places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp"), "shared")
+        candidates = places.join(shared, "fp", "left_semi").select("id", "h", F.explode("matches").alias("w")).select("id", "h", "w.*")
+        candidates = materialize(candidates, "candidates")
+        place = F.struct("id", "h", "j")
+        first = candidates.groupBy("lines").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
+        first = materialize(first.select("lines", "a"), "first")
+        same = (F.col("id") == F.col("a.id")) & (F.col("h") == F.col("a.h"))
+        later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + run))
+        return materialize(later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone")), "repeated", lasting=True)
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -87,18 +89,16 @@ def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None
     that agree in doc_id and text are one document and share its fate. No rows
     give no rows; other columns are kept, whatever their names.
     """
-    a, b, later, cut, gone, lines, deleted = fresh(docs, "id", "h", "later", "cut", "gone", "lines", "deleted")
+    a, b, gone, cut, number = fresh(docs, "id", "h", "gone", "cut", "number")
     id_, h = identity()
-    found = repeated_runs(docs, run).select(F.col("id").alias(a), F.col("h").alias(b), F.col("later").alias(later))
+    found = repeated_runs(docs, run).select(F.col("id").alias(a), F.col("h").alias(b), F.col("gone").alias(gone))
     joined = docs.withColumns({a: id_, b: h}).join(found, [a, b], "left").withColumn(cut, F.split(text_or_empty(), "\n"))
-    filled = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: _trimmed(F.get(cut, i)) != "")
-    joined = joined.withColumn(lines, F.when(F.col(later).isNotNull(), filled))
-    joined = joined.withColumn(gone, F.array_distinct(F.flatten(F.transform(later, lambda j: F.slice(lines, j + 1, run)))))
-    left = joined.where(F.col(later).isNull() | (F.size(gone) < F.size(lines)))
+    filled = F.size(F.filter(cut, lambda x: _trimmed(x) != ""))
+    joined = joined.withColumn(number, filled if counts else F.when(F.col(gone).isNotNull(), filled))
+    left = joined.where(F.col(gone).isNull() | (F.size(gone) < F.col(number)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
-    text = F.when(F.col(later).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        number = F.size(F.filter(cut, lambda x: _trimmed(x) != "")).cast("long")
-        columns += [number.alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
+        columns += [F.col(number).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
     return left.select(*columns)
