@@ -18,6 +18,8 @@ from .common import fresh, materialize, text_or_empty
 
 #: Distinct words whose ids a worker keeps.
 MEMO = 600_000
+#: Texts that are cut into words at once, which bounds a worker's memory.
+BATCH = 500
 #: Open bins of a packer.
 OPEN_BINS = 512
 #: Tokens for a shard, which one task packs as a stream; and the most shards.
@@ -144,8 +146,8 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         for part in parts:
-            for at in range(0, len(part), 2000):
-                some = part.iloc[at : at + 2000]
+            for at in range(0, len(part), BATCH):
+                some = part.iloc[at : at + BATCH]
                 rows = []
                 for doc, ids in zip(some["doc_id"], encoder.encode(some["text"].tolist()), strict=True):
                     ids += stop
