@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import instruction_risk, sanitize_text
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A file stream over one table of a folder, its time as a zoned timestamp."""
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def read_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 1000) -> DataFrame:
+    """A file stream over one table of a folder, so many files a batch, its time as a zoned timestamp."""
+    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(folder)
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"})
 
 
@@ -45,9 +47,12 @@ def redaction(docs: DataFrame) -> DataFrame:
 
 
 def retention(events: DataFrame, cutoff: str, delay: str = "1 day") -> DataFrame:
-    """Rows at or after the cutoff; on a stream late rows go too, counted in the query's progress."""
+    """Rows at or after the cutoff, once each by event_id.
+
+    On a stream, rows later than the watermark are dropped too; run_counted() tells how many.
+    """
     kept = events.where(F.col("ts") >= F.lit(cutoff).cast("timestamp"))
-    return kept.withWatermark("ts", delay) if events.isStreaming else kept
+    return kept.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else kept.dropDuplicates(["event_id"])
 
 
 def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> DataFrame:
@@ -57,18 +62,23 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     twice. In update mode every batch writes the rows that changed, and the table
     is the last row of each key, so the whole state is never written again.
     """
-    import uuid
+    return run_counted(spark, stream, folder, mode, key)[0]
+
 
+def run_counted(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> tuple[DataFrame, int]:
+    """As run_available, with the number of rows that came later than the watermark and were dropped, from the query's progress."""
     run = uuid.uuid4().hex
     out, state = f"{folder}/stream-{run}", f"{folder}/state-{run}"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     columns = stream.columns
     table = spark.read.schema(stream.schema).option("basePath", out).parquet(out)
     if mode != "update":
-        return table.select(*columns)
+        return table.select(*columns), dropped
     last = table.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("epoch").cast("long")).alias("_r"))
-    return last.select("_r.*")
+    return last.select("_r.*"), dropped
