@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -34,6 +35,24 @@ def whole_tokens(tokenizer) -> set[str]:
     return {t for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
 
+def load(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@lru_cache(maxsize=8)
+def proved(path: str) -> frozenset[str]:
+    """The whole tokens of a tokenizer file, proved once on the driver; at most its vocabulary."""
+    return frozenset(whole_tokens(load(path)))
+
+
 class Counter:
     """Counts the tokens of texts as the tokenizers library does.
 
@@ -42,17 +61,10 @@ class Counter:
     rest is merged by the library, each distinct segment once.
     """
 
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = whole_tokens(self.tokenizer)
+        self.whole = proved(path) if whole is None else whole
         self.known: dict[str, int] = {}
         self.pieces = dict.fromkeys(self.whole, 1)
 
@@ -120,9 +132,9 @@ def _regrouped(text: str) -> list[str] | None:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def _counter(path: str) -> Counter:
+def _counter(path: str, whole: frozenset[str]) -> Counter:
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
@@ -138,12 +150,13 @@ def _batches(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def token_counter(path: str, get: Callable[[str], Counter] = _counter):
-    """A pandas UDF from text to its number of tokens."""
+def token_counter(path: str, get: Callable[[str, frozenset[str]], Counter] = _counter):
+    """A pandas UDF from text to its number of tokens; the proof goes to the tasks with it."""
+    whole = proved(path)
 
     @F.pandas_udf(T.LongType())
     def n_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = get(path)
+        counter = get(path, whole)
         for part in parts:
             yield pd.Series([n for batch in _batches(part.tolist()) for n in counter.counts(batch)], dtype="int64")
 
