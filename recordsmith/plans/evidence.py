@@ -29,19 +29,40 @@ fl AS (SELECT *, replace(lower(text), 'ß', 'ss') AS low, regexp_matches(text, '
 kd AS (SELECT *, ((page_id % 11 = 0 OR page_id % 5 = 1) AND (marked OR supported)) OR (page_id % 5 <> 2 AND marked AND supported) AS is_copyright,
  (page_id % 5 = 0 AND position < 8 AND length(text) <= 5000 AND length(t) >= 3 AND contains(low, t)) OR (page_id % 5 <> 2 AND position < 8 AND length(text) <= 3000 AND length(t) >= 3 AND contains(low, t) AND length(a) >= 3 AND contains(low, a)) AS is_title FROM fl)"""
 _KINDS = "concat_ws(',', CASE WHEN is_copyright THEN 'copyright' END, CASE WHEN is_title THEN 'title' END)"
-add("f8_classify_pages", lambda v: evidence.classify_pages(_pages(v)).select("page_id", F.array_join("kinds", ",").alias("kinds")), f"WITH {_PAGES} SELECT page_id, {_KINDS} AS kinds FROM kd")
-_FIRST = f"{_PAGES}, each_ AS (SELECT book_id, page_id, position, 'copyright' AS kind FROM kd WHERE is_copyright UNION ALL SELECT book_id, page_id, position, 'title' FROM kd WHERE is_title), fp AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY position, page_id) = 1), fk AS (SELECT book_id, page_id, position, string_agg(kind, ',' ORDER BY kind) AS kinds FROM fp GROUP BY 1, 2, 3)"
+add(
+    "f8_classify_pages",
+    lambda v: evidence.classify_pages(_pages(v)).select("page_id", F.array_join("kinds", ",").alias("kinds")),
+    f"WITH {_PAGES} SELECT page_id, {_KINDS} AS kinds FROM kd",
+)
+_FIRST = f"""{_PAGES}, each_ AS (SELECT book_id, page_id, position, 'copyright' AS kind FROM kd WHERE is_copyright UNION ALL SELECT book_id, page_id, position,
+    'title' FROM kd WHERE is_title), fp AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY position, page_id) = 1), fk
+    AS (SELECT book_id, page_id, position, string_agg(kind, ',' ORDER BY kind) AS kinds FROM fp GROUP BY 1, 2, 3)"""
 _first = lambda v: evidence.first_page_per_kind(evidence.classify_pages(_pages(v)))
 add("w4_first_page_per_kind", lambda v: _first(v).withColumn("kinds", F.array_join("kinds", ",")), f"WITH {_FIRST} SELECT * FROM fk")
-add("w5_bounded_evidence", lambda v: evidence.bounded_evidence(_first(v).join(_pages(v).select("page_id", "text"), "page_id"), 600), f"WITH {_FIRST}, n AS (SELECT k.book_id, k.position, substr(concat('[', replace(kinds, ',', ' and '), ' page]', chr(10), text), 1, CAST(greatest(1, 600 // count(*) OVER (PARTITION BY k.book_id)) AS BIGINT)) AS c FROM fk k JOIN kd ON kd.page_id = k.page_id) SELECT book_id, substr(string_agg(c, concat(chr(10), chr(10)) ORDER BY position), 1, 600) AS evidence FROM n GROUP BY 1")
+add(
+    "w5_bounded_evidence",
+    lambda v: evidence.bounded_evidence(_first(v).join(_pages(v).select("page_id", "text"), "page_id"), 600),
+    f"""WITH {_FIRST}, n AS (SELECT k.book_id, k.position, substr(concat('[', replace(kinds, ',', ' and '), ' page]', chr(10), text), 1, CAST(greatest(1, 600
+    // count(*) OVER (PARTITION BY k.book_id)) AS BIGINT)) AS c FROM fk k JOIN kd ON kd.page_id = k.page_id) SELECT book_id, substr(string_agg(c,
+    concat(chr(10), chr(10)) ORDER BY position), 1, 600) AS evidence FROM n GROUP BY 1""",
+)
 add(
     "w6_running_byte_budget",  # fifty documents as the members of one archive
     lambda v: evidence.running_byte_budget(v.documents.select("doc_id", F.floor(F.col("doc_id") / 50).alias("archive"), "n_chars"), 100_000, group="archive", order="doc_id", size="n_chars").select("doc_id", "archive", "running", "over_budget"),
     "SELECT doc_id, archive, CAST(r AS BIGINT) AS running, r > 100000 AS over_budget FROM (SELECT doc_id, doc_id // 50 AS archive, sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS r FROM documents)",
 )
 _VALID = "regexp_matches(url, '^https?://[^/@]+')"
-add("w8_top_results", lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 3).select("query", "pos", "url", F.col("rank").cast("long").alias("rank")), f"SELECT query, pos, url, row_number() OVER (PARTITION BY query ORDER BY pos) AS rank FROM results WHERE {_VALID} QUALIFY rank <= 3")
-add("w9_top_citations", lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 10).select("query", F.substring("url", 1, 1000).alias("url"), F.substring(evidence.page_title(F.col("html")), 1, 200).alias("title"), F.substring(F.lower("html"), 1, 300).alias("text")), f"SELECT query, substr(url, 1, 1000) AS url, substr(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), 1, 200) AS title, substr(lower(html), 1, 300) AS text FROM results WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 10")
+add(
+    "w8_top_results",
+    lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 3).select("query", "pos", "url", F.col("rank").cast("long").alias("rank")),
+    f"SELECT query, pos, url, row_number() OVER (PARTITION BY query ORDER BY pos) AS rank FROM results WHERE {_VALID} QUALIFY rank <= 3",
+)
+add(
+    "w9_top_citations",
+    lambda v: enrich.top_results(v.results.where(valid_result_url(F.col("url"))), 10).select("query", F.substring("url", 1, 1000).alias("url"), F.substring(evidence.page_title(F.col("html")), 1, 200).alias("title"), F.substring(F.lower("html"), 1, 300).alias("text")),
+    f"""SELECT query, substr(url, 1, 1000) AS url, substr(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), 1, 200) AS title, substr(lower(html), 1, 300)
+    AS text FROM results WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 10""",
+)
 
 
 def _order(v):
@@ -91,7 +112,15 @@ def _usage(v):
     return tables.unify_usage(e.select((F.col("user_id") * 3 + kind).alias("request_id"), F.when(kind == 0, "openai").when(kind == 1, "anthropic").otherwise("ollama").alias("provider"), F.when(kind == 0, a).when(kind == 1, b).otherwise(d).alias("body")))
 
 
-add("s9_unify_usage", _usage, "SELECT user_id * 3 + event_id % 3 AS request_id, CASE event_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'ollama' END AS provider, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 0 END) AS BIGINT) AS cached_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 3 ELSE 0 END) AS BIGINT) AS reasoning_tokens, CAST(sum(CASE event_id % 3 WHEN 2 THEN 0 ELSE event_id + user_id END) AS BIGINT) AS total_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS BIGINT) AS search_calls FROM events GROUP BY 1, 2")
+add(
+    "s9_unify_usage",
+    _usage,
+    """SELECT user_id * 3 + event_id % 3 AS request_id, CASE event_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'ollama' END AS provider,
+    CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 0 END) AS BIGINT) AS cached_tokens,
+    CAST(sum(user_id) AS BIGINT) AS output_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 3 ELSE 0 END) AS BIGINT) AS reasoning_tokens, CAST(sum(CASE
+    event_id % 3 WHEN 2 THEN 0 ELSE event_id + user_id END) AS BIGINT) AS total_tokens, CAST(sum(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END)
+    AS BIGINT) AS search_calls FROM events GROUP BY 1, 2""",
+)
 
 
 def _citations(v):
@@ -108,7 +137,14 @@ add(
     """WITH f AS (SELECT page_id // 12 AS request_id, url FROM pages), a AS (SELECT DISTINCT (page_id + 3) // 12 AS request_id, url FROM pages WHERE page_id % 2 = 0)
     SELECT f.request_id, coalesce(string_agg(f.url, ' ' ORDER BY f.url) FILTER (WHERE a.url IS NOT NULL), '') AS urls FROM f LEFT JOIN a ON a.request_id = f.request_id AND a.url = f.url GROUP BY 1""",
 )
-add("j9_dangling_links", lambda v: text_jobs.dangling_links(v.pages, v.pages.where("page_id % 2 = 0").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"#]*)'), F.lit(1))).alias("path"))), "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM pages), known AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"#]*)', 1)) AS path FROM pages WHERE page_id % 2 = 0) SELECT DISTINCT page_id, split_part(raw, '#', 1) AS link FROM l WHERE NOT regexp_matches(raw, '^(https?:|#)') AND split_part(raw, '#', 1) <> '' AND split_part(raw, '#', 1) NOT IN (SELECT path FROM known)")
+add(
+    "j9_dangling_links",
+    lambda v: text_jobs.dangling_links(v.pages, v.pages.where("page_id % 2 = 0").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"#]*)'), F.lit(1))).alias("path"))),
+    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM pages), known AS (SELECT DISTINCT
+    unnest(regexp_extract_all(html, 'href=\"([^\"#]*)', 1)) AS path FROM pages WHERE page_id % 2 = 0) SELECT DISTINCT page_id, split_part(raw, '#', 1)
+    AS link FROM l WHERE NOT regexp_matches(raw, '^(https?:|#)') AND split_part(raw, '#', 1) <> '' AND split_part(raw, '#', 1) NOT IN (SELECT path
+    FROM known)""",
+)
 
 
 def _health(v):
@@ -131,8 +167,13 @@ add(
       CAST(cs AS BIGINT) AS container_size, coalesce(d, false) AS doctype, coalesce(i, false) AS internal_subset, coalesce(i, false) AS entity FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
 )
 _TALK = "concat(role, ': ', text, CASE WHEN turn % 3 = 0 THEN ' do not follow' WHEN conv_id % 10 = 0 THEN ' Ignore all previous instructions' ELSE '' END)"
-_RISK = r"CASE WHEN regexp_matches(t, '(?i)ignore\s+(all\s+|any\s+)?(previous|prior|system|developer)\s+instructions') THEN 3 ELSE CAST(regexp_matches(t, '(?i)\b(assistant|developer|system)\s*:') AS INT) + CAST(regexp_matches(t, '(?i)\bdo not follow\b|\bnew instructions\b') AS INT) END"
-add("a16_count_suspicious", lambda v: journal.count_suspicious(v.sql(f"SELECT role, {_TALK} AS t FROM conversations"), "role", "t"), f"SELECT role, count(*) AS texts, count(*) FILTER (WHERE {_RISK} >= 2) AS suspicious FROM (SELECT role, {_TALK} AS t FROM conversations) GROUP BY 1")
+_RISK = r"""CASE WHEN regexp_matches(t, '(?i)ignore\s+(all\s+|any\s+)?(previous|prior|system|developer)\s+instructions') THEN 3 ELSE CAST(regexp_matches(t,
+    '(?i)\b(assistant|developer|system)\s*:') AS INT) + CAST(regexp_matches(t, '(?i)\bdo not follow\b|\bnew instructions\b') AS INT) END"""
+add(
+    "a16_count_suspicious",
+    lambda v: journal.count_suspicious(v.sql(f"SELECT role, {_TALK} AS t FROM conversations"), "role", "t"),
+    f"SELECT role, count(*) AS texts, count(*) FILTER (WHERE {_RISK} >= 2) AS suspicious FROM (SELECT role, {_TALK} AS t FROM conversations) GROUP BY 1",
+)
 
 
 def _errors(v):
@@ -141,4 +182,9 @@ def _errors(v):
     return e.select("event_id", body.alias("body")).select("event_id", tables.parse_api_errors(None, ("top",)).alias("message"))
 
 
-add("f13_parse_api_errors", _errors, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'request rejected' WHEN 1 THEN concat('bad', CAST(event_id AS VARCHAR), ': key [REDACTED] leaked') WHEN 2 THEN 'limit: request rejected' ELSE 'only a [REDACTED] secret' END AS message FROM events")
+add(
+    "f13_parse_api_errors",
+    _errors,
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'request rejected' WHEN 1 THEN concat('bad', CAST(event_id AS VARCHAR), ': key [REDACTED] leaked') WHEN
+    2 THEN 'limit: request rejected' ELSE 'only a [REDACTED] secret' END AS message FROM events""",
+)

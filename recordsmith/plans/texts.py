@@ -15,23 +15,76 @@ _HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
 
 _IPV6 = {"2001:db8::1": False, "2606:4700::6810:1": True, "::1": False, "fe80::1": False, "fd00::5": False, "2001:20::1": True, "2001:10::1": False, "2002:c000:204::": False, "64:ff9b::102:304": True, "2a00:1450:4001:81b:0:0:0:200e": True}
 _GLOBAL = ", ".join(str(k) for k, good in enumerate(_IPV6.values()) if good)
-add("p7_valid_evidence_urls", lambda v: v.pages.select("page_id", urls.valid_evidence_url(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("http://10.0.0."), F.col("page_id") % 200)).when(F.col("page_id") % 7 == 1, "http://localhost/x").when(F.col("page_id") % 7 == 2, F.concat(F.lit("ftp://"), F.col("url"))).when(F.col("page_id") % 7 == 3, "https://me:pw@example.org/").when(F.col("page_id") % 7 == 4, F.element_at(F.array(*[F.lit(f"http://[{a}]/") for a in _IPV6]), (F.col("page_id") % len(_IPV6) + 1).cast("int"))).otherwise(F.col("url"))).alias("valid")), f"SELECT page_id, page_id % 7 > 4 OR (page_id % 7 = 4 AND page_id % {len(_IPV6)} IN ({_GLOBAL})) AS valid FROM pages")
-add("p8_normalize_service_urls", lambda v: v.pages.select("page_id", *[c.alias(n) for c, n in zip(urls.service_url(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" http://localhost:"), F.col("page_id"), F.lit("/api// "))).otherwise(F.col("url"))), ("address", "error"), strict=True)]), "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('http://localhost:', CAST(page_id AS VARCHAR), '/api') WHEN NOT url LIKE '%?%' AND NOT url LIKE '%#%' AND url LIKE 'https:%' THEN rtrim(url, '/') END AS address, CASE WHEN page_id % 3 = 0 THEN NULL WHEN url LIKE '%?%' OR url LIKE '%#%' THEN 'extra parts' WHEN url LIKE 'http:%' THEN 'plain http' END AS error FROM pages")
+add(
+    "p7_valid_evidence_urls",
+    lambda v: v.pages.select("page_id", urls.valid_evidence_url(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("http://10.0.0."), F.col("page_id") % 200)).when(F.col("page_id") % 7 == 1, "http://localhost/x").when(F.col("page_id") % 7 == 2, F.concat(F.lit("ftp://"), F.col("url"))).when(F.col("page_id") % 7 == 3, "https://me:pw@example.org/").when(F.col("page_id") % 7 == 4, F.element_at(F.array(*[F.lit(f"http://[{a}]/") for a in _IPV6]), (F.col("page_id") % len(_IPV6) + 1).cast("int"))).otherwise(F.col("url"))).alias("valid")),
+    f"SELECT page_id, page_id % 7 > 4 OR (page_id % 7 = 4 AND page_id % {len(_IPV6)} IN ({_GLOBAL})) AS valid FROM pages",
+)
+add(
+    "p8_normalize_service_urls",
+    lambda v: v.pages.select("page_id", *[c.alias(n) for c, n in zip(urls.service_url(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" http://localhost:"), F.col("page_id"), F.lit("/api// "))).otherwise(F.col("url"))), ("address", "error"), strict=True)]),
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('http://localhost:', CAST(page_id AS VARCHAR), '/api') WHEN NOT url LIKE '%?%' AND NOT url LIKE
+    '%#%' AND url LIKE 'https:%' THEN rtrim(url, '/') END AS address, CASE WHEN page_id % 3 = 0 THEN NULL WHEN url LIKE '%?%' OR url LIKE '%#%' THEN
+    'extra parts' WHEN url LIKE 'http:%' THEN 'plain http' END AS error FROM pages""",
+)
 _cat = lambda rules, other: "CASE " + " ".join("WHEN " + " OR ".join(f"contains(m, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in rules) + f" ELSE {other} END"
 _RULES = (("epub", ("epub", "container.xml", "opf", "zip")), ("web_search", ("searxng", "web search", "search service")), ("rate_limit", ("429", "rate")), ("timeout", ("timeout", "timed out")), ("authentication", ("401", "403", "api key")), ("model", ("model",)), ("validation", ("schema", "structured", "validation")))
-add("p9_failure_category", lambda v: v.messages.select("doc_id", text.failure_category(F.col("message")).alias("category")), f"SELECT doc_id, {_cat(_RULES, chr(39) + 'other' + chr(39))} AS category FROM (SELECT doc_id, lower(coalesce(message, '')) AS m FROM messages)")
+add(
+    "p9_failure_category",
+    lambda v: v.messages.select("doc_id", text.failure_category(F.col("message")).alias("category")),
+    f"SELECT doc_id, {_cat(_RULES, chr(39) + 'other' + chr(39))} AS category FROM (SELECT doc_id, lower(coalesce(message, '')) AS m FROM messages)",
+)
 _FRIENDLY = (("The selected provider rejected access. Check its API key or local-server authentication.", ("401", "403", "api key")), ("The selected provider''s rate or spending limit was reached. Wait, check its limits, then retry.", ("429", "rate")), ("The lookup timed out. Retry fresh or increase the timeout in General settings.", ("timeout", "timed out")), ("The selected model may be unavailable or lack required capabilities. Test it in General settings.", ("model",)), ("The EPUB could not be safely read. Verify the file is valid and DRM-free.", ("epub", "zip")))
-add("p10_friendly_error", lambda v: v.messages.select("doc_id", text.friendly_error(F.col("message")).alias("shown")), f"SELECT doc_id, {_cat(_FRIENDLY, 'split_part(message, chr(10), 1)')} AS shown FROM (SELECT doc_id, message, lower(message) AS m FROM messages)")
-add("p11_source_label", lambda v: v.pages.select("page_id", urls.source_label(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.kobo"), F.col("page_id") % 9, F.lit(".example"))).otherwise(F.col("url"))).alias("label")), f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat('Retailer — kobo', CAST(page_id % 9 AS VARCHAR), '.example') ELSE concat('Web source — ', regexp_replace({_HOST}, '^www\\.', '')) END AS label FROM pages")
+add(
+    "p10_friendly_error",
+    lambda v: v.messages.select("doc_id", text.friendly_error(F.col("message")).alias("shown")),
+    f"SELECT doc_id, {_cat(_FRIENDLY, 'split_part(message, chr(10), 1)')} AS shown FROM (SELECT doc_id, message, lower(message) AS m FROM messages)",
+)
+add(
+    "p11_source_label",
+    lambda v: v.pages.select("page_id", urls.source_label(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.kobo"), F.col("page_id") % 9, F.lit(".example"))).otherwise(F.col("url"))).alias("label")),
+    f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat('Retailer — kobo', CAST(page_id % 9 AS VARCHAR), '.example') ELSE concat('Web source — ',
+    regexp_replace({_HOST}, '^www\\.', '')) END AS label FROM pages""",
+)
 _NAMES, _CONCEPTS = ["the", "die", "que", "title"], ["confidence", "tion", "ein"]
 _lack = lambda ws, pre: "list_filter([" + ", ".join(f"'{w}'" for w in ws) + "], lambda c: NOT contains(low, c))"
-add("p18_required_concepts", lambda v: text_jobs.required_concepts(v.documents, _NAMES, _CONCEPTS, 4000).select("doc_id", F.array_join("issues", "; ").alias("issues")), f"SELECT doc_id, CASE WHEN body = '' THEN 'empty' ELSE array_to_string(list_concat(CASE WHEN length(body) > 4000 THEN ['too long'] ELSE [] END, CASE WHEN len({_lack(_NAMES, '')}) > 0 THEN [concat('missing names: ', array_to_string({_lack(_NAMES, '')}, ', '))] ELSE [] END, list_transform({_lack(_CONCEPTS, '')}, lambda c: concat('missing concept: ', c))), '; ') END AS issues FROM (SELECT doc_id, body, replace(lower(body), 'ß', 'ss') AS low FROM (SELECT doc_id, {_strip('text')} AS body FROM documents))")
-add("p19_eligible_records", lambda v: text_jobs.eligible_records(v.documents, v.labels)[1], "SELECT count(l.doc_id) AS eligible, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
+add(
+    "p18_required_concepts",
+    lambda v: text_jobs.required_concepts(v.documents, _NAMES, _CONCEPTS, 4000).select("doc_id", F.array_join("issues", "; ").alias("issues")),
+    f"""SELECT doc_id, CASE WHEN body = '' THEN 'empty' ELSE array_to_string(list_concat(CASE WHEN length(body) > 4000 THEN ['too long'] ELSE [] END, CASE
+    WHEN len({_lack(_NAMES, '')}) > 0 THEN [concat('missing names: ', array_to_string({_lack(_NAMES, '')}, ', '))] ELSE [] END,
+    list_transform({_lack(_CONCEPTS, '')}, lambda c: concat('missing concept: ', c))), '; ') END AS issues FROM (SELECT doc_id, body, replace(lower(body),
+    'ß', 'ss') AS low FROM (SELECT doc_id, {_strip('text')} AS body FROM documents))""",
+)
+add(
+    "p19_eligible_records",
+    lambda v: text_jobs.eligible_records(v.documents, v.labels)[1],
+    "SELECT count(l.doc_id) AS eligible, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id",
+)
 _ISBN = "concat('978', lpad(CAST(p_partkey AS VARCHAR), 9, '0'), CAST(p_partkey % 10 AS VARCHAR))"
-add("f1_clean_identifiers", lambda v: text_jobs.clean_identifiers(v.books_current.select("book_id", F.posexplode(F.array(F.struct(F.lit(" ISBN ").alias("kind"), F.col("isbn_raw").alias("value")), F.struct(F.lit("uri").alias("kind"), F.lit("old").alias("value")), F.struct(F.lit("URI").alias("kind"), F.concat(F.lit(" "), F.col("uuid")).alias("value")), F.struct(F.lit("").alias("kind"), F.lit("x").alias("value")))).alias("pos", "i")).select("book_id", "pos", "i.*")), f"SELECT p_partkey AS book_id, 'uri' AS kind, concat('u', CAST(p_partkey AS VARCHAR)) AS value FROM part UNION ALL SELECT p_partkey, 'isbn', i FROM (SELECT p_partkey, {_ISBN} AS i FROM part) WHERE list_sum(list_transform(range(1, 14), lambda k: CAST(substr(i, k, 1) AS INT) * CASE WHEN k % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0")
-add("f2_clean_tags", lambda v: text_jobs.clean_tags(v.documents.select(F.col("doc_id").alias("book_id"), F.split("text", " ").alias("tags"))).select("book_id", F.array_join("tags", "|").alias("tags")), f"WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents), c AS (SELECT doc_id, pos, {_collapse('raw')} AS tag FROM w), f AS (SELECT doc_id, replace(lower(tag), 'ß', 'ss') AS k, min(pos) AS pos, arg_min(tag, pos) AS tag FROM c WHERE tag <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f) SELECT doc_id AS book_id, string_agg(tag, '|' ORDER BY pos) AS tags FROM r WHERE n <= 20 GROUP BY 1")
+add(
+    "f1_clean_identifiers",
+    lambda v: text_jobs.clean_identifiers(v.books_current.select("book_id", F.posexplode(F.array(F.struct(F.lit(" ISBN ").alias("kind"), F.col("isbn_raw").alias("value")), F.struct(F.lit("uri").alias("kind"), F.lit("old").alias("value")), F.struct(F.lit("URI").alias("kind"), F.concat(F.lit(" "), F.col("uuid")).alias("value")), F.struct(F.lit("").alias("kind"), F.lit("x").alias("value")))).alias("pos", "i")).select("book_id", "pos", "i.*")),
+    f"""SELECT p_partkey AS book_id, 'uri' AS kind, concat('u', CAST(p_partkey AS VARCHAR)) AS value FROM part UNION ALL SELECT p_partkey, 'isbn', i
+    FROM (SELECT p_partkey, {_ISBN} AS i FROM part) WHERE list_sum(list_transform(range(1, 14), lambda k: CAST(substr(i, k, 1) AS INT) * CASE WHEN k % 2 =
+    1 THEN 1 ELSE 3 END)) % 10 = 0""",
+)
+add(
+    "f2_clean_tags",
+    lambda v: text_jobs.clean_tags(v.documents.select(F.col("doc_id").alias("book_id"), F.split("text", " ").alias("tags"))).select("book_id", F.array_join("tags", "|").alias("tags")),
+    f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents), c AS (SELECT
+    doc_id, pos, {_collapse('raw')} AS tag FROM w), f AS (SELECT doc_id, replace(lower(tag), 'ß', 'ss') AS k, min(pos) AS pos, arg_min(tag, pos) AS tag
+    FROM c WHERE tag <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f) SELECT doc_id AS book_id,
+    string_agg(tag, '|' ORDER BY pos) AS tags FROM r WHERE n <= 20 GROUP BY 1""",
+)
 _esc = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-add("f3_clean_descriptions", lambda v: v.documents.select("doc_id", F.md5(text.drop_catalog_note(text.plain_description(F.replace("text", F.lit(". "), F.lit(".\n\n")), 1500))).alias("html_md5")), f"SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(substr(replace(text, '. ', concat('.', chr(10), chr(10))), 1, 1500), '\\n\\s*\\n'), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: concat('<p>', replace({_esc('p')}, chr(10), '<br>'), '</p>')), ''), '')) AS html_md5 FROM documents")
+add(
+    "f3_clean_descriptions",
+    lambda v: v.documents.select("doc_id", F.md5(text.drop_catalog_note(text.plain_description(F.replace("text", F.lit(". "), F.lit(".\n\n")), 1500))).alias("html_md5")),
+    f"""SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(substr(replace(text, '. ', concat('.',
+    chr(10), chr(10))), 1, 1500), '\\n\\s*\\n'), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: concat('<p>', replace({_esc('p')}, chr(10),
+    '<br>'), '</p>')), ''), '')) AS html_md5 FROM documents""",
+)
 
 
 _HEAD, _TAIL = '<p class="x" onclick=a()>', "</p><script>if (a<b) {}</script><form><p>no</p><form>no</form></form>&lt;b&gt; &eacute;&#169;<br/><UL><li><b>x</b><!-- <p> --><strong>y"
@@ -64,31 +117,77 @@ add(
     f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('<p>', regexp_replace(text, '({_WS}|(?i:<br>))+$', ''), '</p>') ELSE concat('<p>', text, '</p>', CASE WHEN doc_id % 3 = 0 THEN '<p> </p>' ELSE '' END) END AS x FROM documents)
     SELECT doc_id, {_strip(f"regexp_replace({_strip('x')}, '<p>{_WS}*</p>{_WS}*$', '')")} AS clean FROM d""",
 )
-add("f6_validate_partial_dates", lambda v: v.orders.select("o_orderkey", text.valid_partial_date(F.when(F.col("o_orderkey") % 5 == 0, "2023-02-29").when(F.col("o_orderkey") % 5 == 1, "2024-13").when(F.col("o_orderkey") % 5 == 2, F.substring(F.col("o_orderdate").cast("string"), 1, 7)).when(F.col("o_orderkey") % 5 == 3, F.substring(F.col("o_orderdate").cast("string"), 1, 10)).otherwise(F.lit(None).cast("string"))).alias("valid")), "SELECT o_orderkey, o_orderkey % 5 > 1 AS valid FROM orders")
+add(
+    "f6_validate_partial_dates",
+    lambda v: v.orders.select("o_orderkey", text.valid_partial_date(F.when(F.col("o_orderkey") % 5 == 0, "2023-02-29").when(F.col("o_orderkey") % 5 == 1, "2024-13").when(F.col("o_orderkey") % 5 == 2, F.substring(F.col("o_orderdate").cast("string"), 1, 7)).when(F.col("o_orderkey") % 5 == 3, F.substring(F.col("o_orderdate").cast("string"), 1, 10)).otherwise(F.lit(None).cast("string"))).alias("valid")),
+    "SELECT o_orderkey, o_orderkey % 5 > 1 AS valid FROM orders",
+)
 _TEXT = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _raw, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&hearts;", "♥"), ("&#x1F600;", "😀")):  # all that the pages hold, and two more
     _TEXT = f"replace({_TEXT}, '{_raw}', '{_to}')"
-add("f7_html_to_text", lambda v: v.pages.select("page_id", html.html_to_text(F.concat("html", F.lit(" &hearts;&#x1F600; &nosuch; &amp;lt;"))).alias("text")), f"SELECT page_id, {_collapse(f'regexp_replace({_TEXT}, {chr(39)}&amp;?{chr(39)}, {chr(39)}&{chr(39)}, {chr(39)}g{chr(39)})')} AS text FROM (SELECT page_id, concat(html, ' &hearts;&#x1F600; &nosuch; &amp;lt;') AS html FROM pages)")
+add(
+    "f7_html_to_text",
+    lambda v: v.pages.select("page_id", html.html_to_text(F.concat("html", F.lit(" &hearts;&#x1F600; &nosuch; &amp;lt;"))).alias("text")),
+    f"""SELECT page_id, {_collapse(f'regexp_replace({_TEXT}, {chr(39)}&amp;?{chr(39)}, {chr(39)}&{chr(39)}, {chr(39)}g{chr(39)})')} AS text FROM (SELECT
+    page_id, concat(html, ' &hearts;&#x1F600; &nosuch; &amp;lt;') AS html FROM pages)""",
+)
 _HREFS = ("../up", "a/./b/../", "/abs", "a\\b")
-add("f9_safe_paths", lambda v: v.pages.select("page_id", text.safe_path(F.when(F.col("page_id") % 4 == 0, "../up").when(F.col("page_id") % 4 == 1, F.concat(F.lit("a/./b/../"), F.col("page_id").cast("string"))).when(F.col("page_id") % 4 == 2, "/abs").otherwise("a\\b")).alias("path")), "SELECT page_id, CASE page_id % 4 WHEN 1 THEN concat('a/', CAST(page_id AS VARCHAR)) WHEN 3 THEN 'a/b' END AS path FROM pages")
+add(
+    "f9_safe_paths",
+    lambda v: v.pages.select("page_id", text.safe_path(F.when(F.col("page_id") % 4 == 0, "../up").when(F.col("page_id") % 4 == 1, F.concat(F.lit("a/./b/../"), F.col("page_id").cast("string"))).when(F.col("page_id") % 4 == 2, "/abs").otherwise("a\\b")).alias("path")),
+    "SELECT page_id, CASE page_id % 4 WHEN 1 THEN concat('a/', CAST(page_id AS VARCHAR)) WHEN 3 THEN 'a/b' END AS path FROM pages",
+)
 add(
     "f9_safe_hrefs",
     lambda v: v.pages.select("page_id", text.safe_href(F.when(F.col("page_id") % 2 == 0, "OEBPS/text"), F.element_at(F.array(*[F.lit(x) for x in ("../p%20q.xhtml#a", "x+y%C3%A9.xhtml", "../../../out", "#only", "100%")]), (F.col("page_id") % 5 + 1).cast("int"))).alias("path")),
     """SELECT page_id, CASE page_id % 5 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 'OEBPS/p q.xhtml' END WHEN 1 THEN concat(CASE WHEN page_id % 2 = 0 THEN 'OEBPS/text/' ELSE '' END, 'x+yé.xhtml')
     WHEN 3 THEN CASE WHEN page_id % 2 = 0 THEN 'OEBPS/text' END WHEN 4 THEN concat(CASE WHEN page_id % 2 = 0 THEN 'OEBPS/text/' ELSE '' END, '100%') END AS path FROM pages""",
 )
-add("f10_sanitize_text", lambda v: v.messages.select("doc_id", text.sanitize_text(F.col("message")).alias("clean")), "SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN concat('see [REDACTED_URL] and [REDACTED_PATH] key [REDACTED_API_KEY]', regexp_extract(message, '\\n.*$')) ELSE coalesce(message, '') END AS clean FROM messages")
-_STRONG = r"regexp_matches(t, '(?i)ignore\s+(all\s+|any\s+)?(previous|prior|system|developer)\s+instructions') OR regexp_matches(t, '(?i)(override|disregard|replace)\s+(the\s+)?(system|developer|previous)\s+(prompt|instructions)') OR regexp_matches(t, '(?i)</?epub_evidence>')"
-_WEAK = r"CAST(regexp_matches(t, '(?i)\bsystem\s+prompt\b') AS INT) + CAST(regexp_matches(t, '(?i)\b(assistant|developer|system)\s*:') AS INT) + CAST(regexp_matches(t, '(?i)\b(return|output|respond with)\s+(only\s+)?(json|metadata|the following)') AS INT) + CAST(regexp_matches(t, '(?i)\bdo not follow\b|\bnew instructions\b') AS INT)"
+add(
+    "f10_sanitize_text",
+    lambda v: v.messages.select("doc_id", text.sanitize_text(F.col("message")).alias("clean")),
+    """SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN concat('see [REDACTED_URL] and [REDACTED_PATH] key [REDACTED_API_KEY]', regexp_extract(message,
+    '\\n.*$')) ELSE coalesce(message, '') END AS clean FROM messages""",
+)
+_STRONG = r"""regexp_matches(t, '(?i)ignore\s+(all\s+|any\s+)?(previous|prior|system|developer)\s+instructions') OR regexp_matches(t,
+    '(?i)(override|disregard|replace)\s+(the\s+)?(system|developer|previous)\s+(prompt|instructions)') OR regexp_matches(t, '(?i)</?epub_evidence>')"""
+_WEAK = r"""CAST(regexp_matches(t, '(?i)\bsystem\s+prompt\b') AS INT) + CAST(regexp_matches(t, '(?i)\b(assistant|developer|system)\s*:') AS INT) +
+    CAST(regexp_matches(t, '(?i)\b(return|output|respond with)\s+(only\s+)?(json|metadata|the following)') AS INT) + CAST(regexp_matches(t,
+    '(?i)\bdo not follow\b|\bnew instructions\b') AS INT)"""
 _RISK = f"CASE WHEN {_STRONG} THEN 3 ELSE {_WEAK} END"
 _TALK = "concat(role, ': ', text, CASE WHEN turn % 3 = 0 THEN ' do not follow' WHEN conv_id % 10 = 0 THEN ' Ignore all previous instructions' ELSE '' END)"
-add("f11_instruction_risk", lambda v: v.sql(f"SELECT conv_id, turn, {_TALK} AS t FROM conversations").select("conv_id", "turn", text.instruction_risk(F.col("t")).alias("risk")), f"SELECT conv_id, turn, {_RISK} AS risk FROM (SELECT conv_id, turn, {_TALK} AS t FROM conversations)")
-add("f12_redact_terms", lambda v: v.messages.select("doc_id", text.redact_terms(F.col("message"), ((F.col("term"), "<TITLE>"),)).alias("clean")), "SELECT doc_id, CASE WHEN length(term) > 0 THEN replace(message, term, '<TITLE>') ELSE message END AS clean FROM messages")
+add(
+    "f11_instruction_risk",
+    lambda v: v.sql(f"SELECT conv_id, turn, {_TALK} AS t FROM conversations").select("conv_id", "turn", text.instruction_risk(F.col("t")).alias("risk")),
+    f"SELECT conv_id, turn, {_RISK} AS risk FROM (SELECT conv_id, turn, {_TALK} AS t FROM conversations)",
+)
+add(
+    "f12_redact_terms",
+    lambda v: v.messages.select("doc_id", text.redact_terms(F.col("message"), ((F.col("term"), "<TITLE>"),)).alias("clean")),
+    "SELECT doc_id, CASE WHEN length(term) > 0 THEN replace(message, term, '<TITLE>') ELSE message END AS clean FROM messages",
+)
 _PADS = [bytes(b ^ pad for b in b"pepper".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
-add("f14_anonymize_keys", lambda v: v.customer.select("c_custkey", text.anonymize(F.col("c_name"), b"pepper").alias("anonymous")), f"SELECT c_custkey, substr(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(coalesce(c_name, ''))))), 1, 16) AS anonymous FROM customer")
-add("f16_content_digests", lambda v: v.documents.select("doc_id", text.content_digest(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t "))).alias("digest")), f"SELECT doc_id, sha256({_strip('text')}) AS digest FROM documents")
+add(
+    "f14_anonymize_keys",
+    lambda v: v.customer.select("c_custkey", text.anonymize(F.col("c_name"), b"pepper").alias("anonymous")),
+    f"SELECT c_custkey, substr(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(coalesce(c_name, ''))))), 1, 16) AS anonymous FROM customer",
+)
+add(
+    "f16_content_digests",
+    lambda v: v.documents.select("doc_id", text.content_digest(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t "))).alias("digest")),
+    f"SELECT doc_id, sha256({_strip('text')}) AS digest FROM documents",
+)
 add("s1_fingerprints", lambda v: v.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint")), "SELECT doc_id, sha256(text) AS fingerprint FROM documents")
-add("f19_parse_override_lines", lambda v: text_jobs.parse_override_lines(v.documents.select("doc_id", F.replace("text", F.lit(", "), F.lit(" : ")).alias("text"))), f"WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ', ', ' : '), chr(10))) AS raw, unnest(range(len(string_split(replace(text, ', ', ' : '), chr(10))))) AS pos FROM documents), s AS (SELECT doc_id, CAST(pos AS INT) AS pos, {_strip('raw')} AS line FROM l), p AS (SELECT doc_id, pos, line, instr(line, ':') AS i FROM s WHERE line <> ''), q AS (SELECT doc_id, pos, i, lower({_strip('substr(line, 1, i - 1)')}) AS kind, {_strip('substr(line, i + 1)')} AS value FROM p) SELECT doc_id, pos, CASE WHEN i > 0 AND kind <> '' AND value <> '' THEN kind END AS kind, CASE WHEN i > 0 AND kind <> '' AND value <> '' THEN value END AS value, CASE WHEN i > 0 AND kind <> '' AND value <> '' THEN NULL ELSE 'a line needs type:value' END AS error FROM q")
+add(
+    "f19_parse_override_lines",
+    lambda v: text_jobs.parse_override_lines(v.documents.select("doc_id", F.replace("text", F.lit(", "), F.lit(" : ")).alias("text"))),
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ', ', ' : '), chr(10))) AS raw, unnest(range(len(string_split(replace(text, ', ', ' : '),
+    chr(10))))) AS pos FROM documents), s AS (SELECT doc_id, CAST(pos AS INT) AS pos, {_strip('raw')} AS line FROM l), p AS (SELECT doc_id, pos, line,
+    instr(line, ':') AS i FROM s WHERE line <> ''), q AS (SELECT doc_id, pos, i, lower({_strip('substr(line, 1, i - 1)')}) AS kind,
+    {_strip('substr(line, i + 1)')} AS value FROM p) SELECT doc_id, pos, CASE WHEN i > 0 AND kind <> '' AND value <> '' THEN kind END AS kind, CASE WHEN i
+    > 0 AND kind <> '' AND value <> '' THEN value END AS value, CASE WHEN i > 0 AND kind <> '' AND value <> '' THEN NULL ELSE 'a line needs type:value'
+    END AS error FROM q""",
+)
 
 
 def _sections(v):
@@ -96,7 +195,14 @@ def _sections(v):
     return text_jobs.section_by_heading(lines, F.length("line") < 12).select("doc_id", "heading", F.md5("section").alias("section_md5"), "error")
 
 
-add("f21_section_by_heading", _sections, f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), h AS (SELECT *, length(line) < 12 AS h, sum(CAST(length(line) < 12 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM l), g AS (SELECT doc_id, s, min(line) FILTER (WHERE h) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h), '') AS body FROM h WHERE s > 0 GROUP BY 1, 2) SELECT doc_id, heading, md5({_strip('body')}) AS section_md5, CASE WHEN {_strip('body')} = '' THEN 'empty section' END AS error FROM g")
+add(
+    "f21_section_by_heading",
+    _sections,
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), h
+    AS (SELECT *, length(line) < 12 AS h, sum(CAST(length(line) < 12 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM l), g AS (SELECT doc_id,
+    s, min(line) FILTER (WHERE h) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h), '') AS body FROM h WHERE s > 0 GROUP
+    BY 1, 2) SELECT doc_id, heading, md5({_strip('body')}) AS section_md5, CASE WHEN {_strip('body')} = '' THEN 'empty section' END AS error FROM g""",
+)
 add(
     "u4_dedupe_first",
     lambda v: text_jobs.dedupe_first(v.documents.select("doc_id", F.md5("text").alias("key"), "text", "lang", "source"), "key", "doc_id"),

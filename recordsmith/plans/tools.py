@@ -26,11 +26,27 @@ def _journal(v):
     return journal.journal_from_results(_results(v), b"pepper")
 
 
-_JOURNAL = "SELECT doc_id // 100 AS job_id, count(*) AS books, count(*) FILTER (WHERE doc_id % 3 <> 0) AS failed_books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1"
+_JOURNAL = """SELECT doc_id // 100 AS job_id, count(*) AS books, count(*) FILTER (WHERE doc_id % 3 <> 0) AS failed_books, least(50, count(*) FILTER (WHERE doc_id %
+    3 <> 0)) AS kept FROM messages GROUP BY 1"""
 add("e7_journal_from_results", lambda v: _journal(v).select("job_id", "books", "failed_books", F.size("failures").cast("long").alias("kept")), _JOURNAL)
-add("e7_journal_categories", lambda v: _journal(v).select("job_id", F.explode("failures").alias("f")).groupBy("job_id", F.col("f.category").alias("category")).agg(F.count("*").alias("n")), "WITH r AS (SELECT doc_id // 100 AS job_id, doc_id, CASE doc_id % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS category, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS n FROM messages WHERE doc_id % 3 <> 0) SELECT job_id, category, count(*) AS n FROM r WHERE n <= 50 GROUP BY 1, 2")
-add("w2_cap_failures", lambda v: journal.cap_failures(_journal(v), 20).select("job_id", F.size("failures").cast("long").alias("kept")), "SELECT doc_id // 100 AS job_id, least(20, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1")
-add("s13_export_journal", lambda v: journal.export_journal(_journal(v))[1], f"SELECT count(*) AS entries, CAST(sum(kept) AS BIGINT) AS failures, false AS details FROM ({_JOURNAL})")
+add(
+    "e7_journal_categories",
+    lambda v: _journal(v).select("job_id", F.explode("failures").alias("f")).groupBy("job_id", F.col("f.category").alias("category")).agg(F.count("*").alias("n")),
+    """WITH r AS (SELECT doc_id // 100 AS job_id, doc_id, CASE doc_id % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN
+    'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS category,
+    row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS n FROM messages WHERE doc_id % 3 <> 0) SELECT job_id, category, count(*) AS n FROM r
+    WHERE n <= 50 GROUP BY 1, 2""",
+)
+add(
+    "w2_cap_failures",
+    lambda v: journal.cap_failures(_journal(v), 20).select("job_id", F.size("failures").cast("long").alias("kept")),
+    "SELECT doc_id // 100 AS job_id, least(20, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept FROM messages GROUP BY 1",
+)
+add(
+    "s13_export_journal",
+    lambda v: journal.export_journal(_journal(v))[1],
+    f"SELECT count(*) AS entries, CAST(sum(kept) AS BIGINT) AS failures, false AS details FROM ({_JOURNAL})",
+)
 
 
 def _exported(v):
@@ -44,7 +60,11 @@ add(
     "SELECT doc_id // 100 AS job_id, count(*) AS books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept, false AS details, CASE min(doc_id) FILTER (WHERE doc_id % 3 <> 0) % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS first_category FROM messages GROUP BY 1",
 )
 add("s13_export_journal_entries", lambda v: journal.export_journal(_journal(v))[0].select("job_id", F.to_json(F.get("failures", F.lit(0))).alias("first_failure")))
-add("a15_diagnostic_rollup", lambda v: journal.diagnostic_rollup(priced(v), _journal(v)), f"{_PRICED.rstrip()}, j AS ({_JOURNAL}) SELECT a.*, b.* FROM (SELECT {_M} FROM priced) a, (SELECT count(*) AS journal_entries, CAST(sum(kept) AS BIGINT) AS failures FROM j) b".replace("AS BIGINT) AS failures FROM j", "AS BIGINT) AS journal_failures FROM j"))
+add(
+    "a15_diagnostic_rollup",
+    lambda v: journal.diagnostic_rollup(priced(v), _journal(v)),
+    f"{_PRICED.rstrip()}, j AS ({_JOURNAL}) SELECT a.*, b.* FROM (SELECT {_M} FROM priced) a, (SELECT count(*) AS journal_entries, CAST(sum(kept) AS BIGINT) AS failures FROM j) b".replace("AS BIGINT) AS failures FROM j", "AS BIGINT) AS journal_failures FROM j"),
+)
 
 
 def _changed(v):
@@ -53,7 +73,11 @@ def _changed(v):
     return archives.changed_files(files, known).select("path", F.sha2("text", 256).alias("fingerprint"))
 
 
-add("s2_changed_files", _changed, "SELECT concat('/f/', CAST(doc_id AS VARCHAR)) AS path, sha256(text) AS fingerprint FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 5 = 0 AND n_chars <> 1)")
+add(
+    "s2_changed_files",
+    _changed,
+    "SELECT concat('/f/', CAST(doc_id AS VARCHAR)) AS path, sha256(text) AS fingerprint FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 5 = 0 AND n_chars <> 1)",
+)
 
 
 #: What is wrong with a manifest, by o_orderkey % 20, and the first error it gives; others are good.
@@ -111,7 +135,11 @@ def _read_history(v):
 
 
 _SAFE = "CASE WHEN starts_with(model, 'sk-') THEN '[REDACTED_INVALID_MODEL]' ELSE model END AS model"
-add("s6_read_history", _read_history, f"SELECT lookup_id, {_SAFE}, round(coalesce(CASE WHEN k % 2 = 0 THEN provider_seconds END, retrieval_seconds), 4) AS provider_seconds FROM lookups")
+add(
+    "s6_read_history",
+    _read_history,
+    f"SELECT lookup_id, {_SAFE}, round(coalesce(CASE WHEN k % 2 = 0 THEN provider_seconds END, retrieval_seconds), 4) AS provider_seconds FROM lookups",
+)
 
 
 def _read_journal(v):
@@ -119,7 +147,11 @@ def _read_journal(v):
     return tables.read_journal(v.spark, _lines(v, raw)).select("entry_id", "provider", "search_provider", "model", F.get("failures", F.lit(0))["category"].alias("category"))
 
 
-add("s7_read_journal", _read_journal, f"SELECT lookup_id AS entry_id, coalesce(provider, 'openai') AS provider, 'hosted' AS search_provider, {_SAFE}, outcome AS category FROM lookups")
+add(
+    "s7_read_journal",
+    _read_journal,
+    f"SELECT lookup_id AS entry_id, coalesce(provider, 'openai') AS provider, 'hosted' AS search_provider, {_SAFE}, outcome AS category FROM lookups",
+)
 
 
 _CONTAINER = "<container><rootfiles><rootfile full-path='content.opf'/></rootfiles></container>"
@@ -221,8 +253,17 @@ def _stream(v, name, job, mode="append", key=None):
 _CLEAN = "coalesce(text, '')"
 for _p, _to in ((r"\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED_API_KEY]"), (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", r"\1[REDACTED]"), (r"https?://\S+", "[REDACTED_URL]"), (r"(?i)\b[A-Z]:\\(Users\\)?[^\s\"'']+", "[REDACTED_PATH]"), (r"/(Users|home|private/var|tmp)/[^\s\"'']+", "[REDACTED_PATH]")):
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_to}', 'g')"
-add("t1_stream_record_state", lambda v: _stream(v, "events", jobs.record_state, "update", "user_id"), "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max(event_id) AS last_event FROM events GROUP BY 1".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, struct_pack(a := ts, b := event_id))"))
-add("t2_stream_daily_rollup", lambda v: _stream(v, "events", jobs.daily_rollup, "update", "date"), "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(coalesce(value, 0)), 4) AS total_value FROM events GROUP BY 1")
+add(
+    "t1_stream_record_state",
+    lambda v: _stream(v, "events", jobs.record_state, "update", "user_id"),
+    "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max(event_id) AS last_event FROM events GROUP BY 1".replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, struct_pack(a := ts, b := event_id))"),
+)
+add(
+    "t2_stream_daily_rollup",
+    lambda v: _stream(v, "events", jobs.daily_rollup, "update", "date"),
+    """SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(coalesce(value, 0)),
+    4) AS total_value FROM events GROUP BY 1""",
+)
 add("t3_stream_live_keys", lambda v: _stream(v, "events", jobs.live_keys).select("user_id"), "SELECT DISTINCT user_id FROM events")
 add(
     "t3_stream_cache_hits",
@@ -230,4 +271,8 @@ add(
     "SELECT user_id, count(*) - 1 AS hits FROM events GROUP BY 1 HAVING count(*) > 1",
 )
 add("t4_stream_redaction", lambda v: _stream(v, "documents", jobs.redaction), rf"SELECT doc_id, md5(substr({_CLEAN}, 1, 16000)) AS clean_md5, 0 AS risk FROM documents")
-add("t5_stream_retention", lambda v: _stream(v, "events", lambda s: jobs.retention(s, "2024-01-15").select("event_id", "event_type")), "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+add(
+    "t5_stream_retention",
+    lambda v: _stream(v, "events", lambda s: jobs.retention(s, "2024-01-15").select("event_id", "event_type")),
+    "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
+)
