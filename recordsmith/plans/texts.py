@@ -166,11 +166,11 @@ add(
     lambda v: v.messages.select("doc_id", text.redact_terms(F.col("message"), ((F.col("term"), "<TITLE>"),)).alias("clean")),
     "SELECT doc_id, CASE WHEN length(term) > 0 THEN replace(message, term, '<TITLE>') ELSE message END AS clean FROM messages",
 )
-_PADS = [bytes(b ^ pad for b in b"pepper".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+PADS = [bytes(b ^ pad for b in b"pepper".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
 add(
     "f14_anonymize_keys",
     lambda v: v.customer.select("c_custkey", text.anonymize(F.col("c_name"), b"pepper").alias("anonymous")),
-    f"SELECT c_custkey, substr(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(coalesce(c_name, ''))))), 1, 16) AS anonymous FROM customer",
+    f"SELECT c_custkey, substr(sha256(from_hex('{PADS[1]}') || from_hex(sha256(from_hex('{PADS[0]}') || encode(coalesce(c_name, ''))))), 1, 16) AS anonymous FROM customer",
 )
 add(
     "f16_content_digests",

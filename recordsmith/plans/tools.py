@@ -15,6 +15,7 @@ from ..sources.staging import shared_folder
 from ..streaming import jobs
 from .mart import _M, _PRICED, priced
 from .registry import add
+from .texts import PADS
 
 
 def _results(v):
@@ -59,7 +60,14 @@ add(
     lambda v: _exported(v).select("job_id", "books", F.size("failures").cast("long").alias("kept"), F.exists("failures", lambda f: f["message"].isNotNull()).alias("details"), F.get("failures", F.lit(0))["category"].alias("first_category")),
     "SELECT doc_id // 100 AS job_id, count(*) AS books, least(50, count(*) FILTER (WHERE doc_id % 3 <> 0)) AS kept, false AS details, CASE min(doc_id) FILTER (WHERE doc_id % 3 <> 0) % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'epub' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout' WHEN 4 THEN 'authentication' WHEN 5 THEN 'model' WHEN 6 THEN 'validation' WHEN 7 THEN 'web_search' ELSE 'other' END AS first_category FROM messages GROUP BY 1",
 )
-add("s13_export_journal_entries", lambda v: journal.export_journal(_journal(v))[0].select("job_id", F.to_json(F.get("failures", F.lit(0))).alias("first_failure")))
+_CATEGORY_OF = "CASE d % 9 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(("other", "epub", "rate_limit", "timeout", "authentication", "model", "validation", "web_search", "other"))) + " END"
+_HMAC = f"substr(sha256(from_hex('{PADS[1]}') || from_hex(sha256(from_hex('{PADS[0]}') || encode(CAST(d AS VARCHAR))))), 1, 16)"
+add(
+    "s13_export_journal_entries",
+    lambda v: journal.export_journal(_journal(v))[0].select("job_id", F.to_json(F.get("failures", F.lit(0))).alias("first_failure")),
+    f"""SELECT job_id, CASE WHEN d IS NOT NULL THEN concat('{{"anonymous_book":"', {_HMAC}, '","category":"', {_CATEGORY_OF}, '"}}') END AS first_failure
+    FROM (SELECT doc_id // 100 AS job_id, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) AS d FROM messages GROUP BY 1)""",
+)
 add(
     "a15_diagnostic_rollup",
     lambda v: journal.diagnostic_rollup(priced(v), _journal(v)),
