@@ -247,5 +247,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; every other row stays as it is, also with null text or id."""
     a, b = fresh(docs, "id", "h")
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    found = find_leaks(docs, benchmark).select(known.alias(a), F.col("h").alias(b)).distinct()
+    # Written first, so that its size is known: where leaks are few, docs are not shuffled.
+    found = materialize(find_leaks(docs, benchmark).select(known.alias(a), F.col("h").alias(b)).distinct(), "leaking")
     return docs.withColumns({a: known, b: F.xxhash64(text_or_empty())}).join(found, [a, b], "left_anti").select(*docs.columns)
