@@ -22,7 +22,7 @@ def _digest(*parts: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (id, h, pos, fp, matches), one for each selected line of a document.
+    """Rows (id, h, m, pos, fp, matches), one for each selected line of a document of m lines.
 
     A line is selected when its hash is the least of some window of `run`
     non-blank lines (the rightmost on ties); only selected lines are kept.
@@ -52,11 +52,13 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     whole = F.struct(F.lit(0).alias("pos"), F.array_min("hs").alias("fp"), F.array(F.struct(F.lit(0).alias("j"), F.col("at"), _digest(F.col("t"), F.col("m")).alias("lines"))).alias("matches"))
     kept = F.when(F.col("m") >= run, F.transform(F.array_distinct("p"), line)).when(F.col("m") > 0, F.array(whole))
-    return lines.select("id", "h", F.explode(kept).alias("f")).select("id", "h", "f.*")
+    return lines.select("id", "h", "m", F.explode(kept).alias("f")).select("id", "h", "m", "f.*")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (id, h, gone): for each document the numbers of the lines that repeat an earlier run.
+    """Rows (id, h, whole, gone): for each document the numbers of the lines that repeat an earlier run.
+
+    whole documents repeat with every line, and their numbers are left out.
 
     Positions of one fingerprint are joined, if it has two. A match is
     extended to both sides over the lines around it, by a 128-bit digest of
@@ -70,14 +72,16 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
         places = materialize(fingerprints(docs, run), "fingerprints")
         place = F.struct("id", "h", "pos")
         shared = materialize(places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp"), "shared")
-        candidates = places.join(shared, "fp", "left_semi").select("id", "h", F.explode("matches").alias("w")).select("id", "h", "w.*")
+        candidates = places.join(shared, "fp", "left_semi").select("id", "h", "m", F.explode("matches").alias("w")).select("id", "h", "m", "w.*")
         candidates = materialize(candidates, "candidates")
         place = F.struct("id", "h", "j")
         first = candidates.groupBy("lines").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
         first = materialize(first.select("lines", "a"), "first")
         same = (F.col("id") == F.col("a.id")) & (F.col("h") == F.col("a.h"))
         later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + run))
-        return materialize(later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone")), "repeated", lasting=True)
+        gone = later.groupBy("id", "h").agg(F.first("m").alias("m"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+        whole = F.size("gone") == F.col("m")
+        return materialize(gone.select("id", "h", whole.alias("whole"), F.when(~whole, F.col("gone")).alias("gone")), "repeated", lasting=True)
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -89,16 +93,14 @@ def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None
     that agree in doc_id and text are one document and share its fate. No rows
     give no rows; other columns are kept, whatever their names.
     """
-    a, b, gone, cut, number = fresh(docs, "id", "h", "gone", "cut", "number")
+    a, b, whole, gone, cut = fresh(docs, "id", "h", "whole", "gone", "cut")
     id_, h = identity()
-    found = repeated_runs(docs, run).select(F.col("id").alias(a), F.col("h").alias(b), F.col("gone").alias(gone))
-    joined = docs.withColumns({a: id_, b: h}).join(found, [a, b], "left").withColumn(cut, F.split(text_or_empty(), "\n"))
-    filled = F.size(F.filter(cut, lambda x: _trimmed(x) != ""))
-    joined = joined.withColumn(number, filled if counts else F.when(F.col(gone).isNotNull(), filled))
-    left = joined.where(F.col(gone).isNull() | (F.size(gone) < F.col(number)))
+    found = repeated_runs(docs, run).withColumnsRenamed({"id": a, "h": b, "whole": whole, "gone": gone})
+    left = docs.withColumns({a: id_, b: h}).join(found, [a, b], "left").where(~F.coalesce(whole, F.lit(False))).withColumn(cut, F.split(text_or_empty(), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        columns += [F.col(number).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
+        number = F.size(F.filter(cut, lambda x: _trimmed(x) != "")).cast("long")
+        columns += [number.alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
     return left.select(*columns)
