@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None
     a, b, whole, gone, cut = fresh(docs, "id", "h", "whole", "gone", "cut")
     id_, h = identity()
     found = repeated_runs(docs, run).withColumnsRenamed({"id": a, "h": b, "whole": whole, "gone": gone})
-    left = docs.withColumns({a: id_, b: h}).join(found, [a, b], "left").where(~F.coalesce(whole, F.lit(False))).withColumn(cut, F.split(text_or_empty(), "\n"))
+    # A merge join at every size, so that disk grows in proportion to the documents.
+    left = docs.withColumns({a: id_, b: h}).join(found.hint("merge"), [a, b], "left").where(~F.coalesce(whole, F.lit(False))).withColumn(cut, F.split(text_or_empty(), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
