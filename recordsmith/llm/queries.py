@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .common import table
 from .decontamination import contaminated
 from .language_id import document_rows, identify, page_rows, train
@@ -77,6 +78,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_within_documents,
         op9_quality_rules,
         op10_quality_classifier,
+        op12_phrase_collocations,
     )
 }
 
@@ -126,5 +132,36 @@ SELECT l.doc_id, count(*) FILTER (WHERE {_TRIM.format('l.line')} <> '') AS n_lin
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
 GROUP BY l.doc_id
 HAVING count(g.pos) = 0 OR count(g.pos) < count(*) FILTER (WHERE {_TRIM.format('l.line')} <> '')
+""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100
+), inner_ AS (
+  SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN cand b ON b.lang = c.lang AND b.k > c.k AND contains(concat(' ', b.phrase, ' '), concat(' ', c.phrase, ' ')) AND 100 * b.a >= 100 * c.a
+), cuts AS (
+  SELECT c.*, unnest(range(1, c.k)) AS cut FROM cand c ANTI JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase
+), parts AS (
+  SELECT *, array_to_string(string_split(phrase, ' ')[1 : cut], ' ') AS left_, array_to_string(string_split(phrase, ' ')[cut + 1 : k], ' ') AS right_ FROM cuts
+), scored AS (
+  SELECT p.lang, p.phrase, p.cut, p.a, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * p.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.left_ JOIN f y ON y.lang = p.lang AND y.phrase = p.right_ JOIN totals t ON t.lang = p.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best QUALIFY rank <= 2000
 """,
 }
