@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, text_or_empty
 
 #: Bytes of text whose stripes a task holds at once; a longer text is cut where a piece ends.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 #: Bits of the fixed-size bitmap that tells tasks which phrases can be frequent (8 MB, whatever the corpus).
 BITS = 1 << 26
 
@@ -73,8 +73,9 @@ def phrase_hashes(parts: list[np.ndarray], bits: int) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     """The texts in parts of about CHUNK bytes, at word boundaries that no phrase crosses."""
     texts, langs, size = [], [], 0
-    for batch in batches:
-        for text, lang in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("lang").to_pylist(), strict=True):
+    few = (batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64))  # become Python objects at once
+    for batch in few:
+        for text, lang in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist(), strict=True):
             at = 0
             while at < len(text):
                 cut = _CUT.search(text, at + CHUNK) if len(text) - at > CHUNK else None
