@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from .common import materialize, scratch, text_or_empty
 CHUNK = 4 << 20
 #: Bits of the fixed-size bitmap that tells tasks which phrases can be frequent (8 MB, whatever the corpus).
 BITS = 1 << 26
+#: Counters that pairs, and longer phrases, share by their hash before they are counted exactly (a byte each for counts to 255).
+COUNTERS = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -51,6 +54,7 @@ class Words:
         self.lang = both // max(1, len(coded.dictionary))
         self.words = coded.dictionary.take(pa.array(both % max(1, len(coded.dictionary)))).cast(pa.large_string())
 
+    @cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each (language, word)."""
         return word_hashes([self.langs[k] for k in self.lang], self.words.to_pylist())
@@ -90,8 +94,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(texts, langs)
 
 
-def _stripes(w: Words, prefix: list[np.ndarray], following: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Stripes of distinct phrases, given as their prefix's words, their last word and their count; sorted by prefix."""
+#: Distinct phrases of some texts: the words of their prefixes, their last words, and how often each stands.
+Counts = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+
+
+def _stripes(w: Words, counts: Counts) -> pa.RecordBatch:
+    """The stripes of phrases that are sorted by prefix."""
+    prefix, following, n = counts
     lang = w.lang[following]
     new = np.zeros(len(following), bool)
     new[:1] = True
@@ -111,61 +120,107 @@ def _stripes(w: Words, prefix: list[np.ndarray], following: np.ndarray, n: np.nd
     return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
-def _frequent(bitmap: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-    at = phrase_hashes(parts, 64 * len(bitmap))
+def _in(bitmap: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    at = phrase_hashes(hashes, 64 * len(bitmap))
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def count_words(w: Words) -> Iterator[pa.RecordBatch]:
+def count_words(w: Words) -> Iterator[Counts]:
     """The stripe of the empty prefix, one for each language."""
     order = np.argsort(w.lang, kind="stable")
-    yield _stripes(w, [], order, np.bincount(w.ids, minlength=len(w.lang))[order])
+    yield [], order, np.bincount(w.ids, minlength=len(w.lang))[order]
 
 
-def count_pairs(w: Words, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def count_pairs(w: Words, frequent: np.ndarray, sketch: np.ndarray | None) -> Iterator[Counts]:
     """The stripes of single words, over pairs of words that may both be frequent."""
-    may = _frequent(frequent, [w.hashes()])[w.ids]
+    may = _in(frequent, [w.hashes])[w.ids]
     i = np.flatnonzero(may[:-1] & may[1:] & (w.piece[:-1] == w.piece[1:]))
     pairs, n = np.unique(w.ids[i] * len(w.lang) + w.ids[i + 1], return_counts=True)
-    if len(pairs):
-        yield _stripes(w, [pairs // len(w.lang)], pairs % len(w.lang), n)
+    yield from _sketched(w, ([pairs // len(w.lang)], pairs % len(w.lang), n), sketch)
 
 
-def count_longer(w: Words, frequent: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """The stripes of two words and more, over runs of which every pair may be frequent."""
-    size, h = len(w.lang), w.hashes()
+def count_longer(w: Words, frequent: np.ndarray, sketch: np.ndarray | None, longest: int) -> Iterator[Counts]:
+    """The stripes of two words and more, over runs of which every pair, and every phrase so far, may be frequent."""
+    size, h = len(w.lang), w.hashes
     inside = np.flatnonzero(w.piece[:-1] == w.piece[1:])
     codes, pairs = pd.factorize(w.ids[inside] * size + w.ids[inside + 1])
-    may = _frequent(frequent, [h[pairs // size], h[pairs % size]])
-    pair = np.full(max(0, len(w.ids) - 1), -1)
-    pair[inside[may[codes]]] = codes[may[codes]]
-    at = np.flatnonzero(pair >= 0)
-    prefix, words = pair, [pairs // size, pairs % size]
-    for k in range(2, longest):  # a run that starts at `at` goes on while the pair k-1 places later is in
-        at = at[at + k - 1 < len(pair)]
-        at = at[pair[at + k - 1] >= 0]
-        code, grams = pd.factorize(prefix[at] * size + w.ids[at + k])
-        if not len(grams):
-            return
-        n, order = np.bincount(code), np.argsort(grams)
-        before, last = grams // size, grams % size
-        yield _stripes(w, [x[before[order]] for x in words], last[order], n[order])
-        words = [*(x[before] for x in words), last]
-        prefix = np.full(len(pair), -1)
-        prefix[at] = code
-
-
-def stripes(docs: DataFrame, count: Callable[[Words], Iterator[pa.RecordBatch]]) -> DataFrame:
+    words = [pairs // size, pairs % size]
+    may = _in(frequent, [h[x] for x in words])
+    code = np.full(len(w.ids) + 1, -1)  # of the phrase so far that begins at a word
+    code[inside[may[codes]]] = codes[may[codes]]
+    for k in range(2, longest):
+        at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))  # both parts of k words, which overlap
+        codes, grams = pd.factorize(code[at] * size + w.ids[np.minimum(at + k, len(w.ids) - 1)])
+        words = [*(x[grams // size] for x in words), grams % size]
+        may = np.ones(len(grams), bool) if sketch is None else _in(sketch, [h[x] for x in words])
+        n, order = np.bincount(codes, minlength=len(grams)), np.argsort(grams)
+        order = order[may[order]]
+        if len(order):
+            yield [x[order] for x in words[:-1]], words[-1][order], n[order]
+        code = np.full(len(w.ids) + 1, -1)
+        code[at[may[codes]]] = codes[may[codes]]
+
+
+def _sketched(w: Words, counts: Counts, sketch: np.ndarray | None) -> Iterator[Counts]:
+    """Only the phrases that may be frequent by a sketch."""
+    prefix, last, n = counts
+    keep = slice(None) if sketch is None else _in(sketch, [w.hashes[x] for x in [*prefix, last]])
+    prefix, last, n = [x[keep] for x in prefix], last[keep], n[keep]
+    if len(last):
+        yield prefix, last, n
+
+
+def stripes(docs: DataFrame, count: Callable[[Words], Iterator[Counts]]) -> DataFrame:
     """Rows (lang, words, prefix, next, n): partial stripes of docs (lang, text), added up within CHUNK bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _chunks(batches):
             if len(w.lang):
-                yield from count(w)
+                for counts in count(w):
+                    yield _stripes(w, counts)
 
     return docs.mapInArrow(run, _STRIPE)
 
 
+def sketched(docs: DataFrame, count: Callable[[Words], Iterator[Counts]], min_count: int, counters: int) -> np.ndarray:
+    """A bitmap of so many bits (a power of two): which counters, that phrases share by their hash, reach min_count.
+
+    Each task fills one vector of counters that stop at min_count; blocks of these
+    are shuffled and added up as they come. The bitmap is what comes to the driver.
+    """
+    block = min(counters, 1 << 16)
+    kind = np.min_scalar_type(min_count)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, kind)
+        for w in _chunks(batches):
+            if len(w.lang):
+                for prefix, last, n in count(w):
+                    at = phrase_hashes([w.hashes[x] for x in [*prefix, last]], counters).astype(np.int64)
+                    order = np.argsort(at)
+                    at, first = np.unique(at[order], return_index=True)
+                    sums = np.add.reduceat(n[order], first) + total[at]
+                    total[at] = np.minimum(sums, min_count)
+        for k in np.flatnonzero(total.reshape(-1, block).any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * block : (k + 1) * block].tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums = np.frombuffer(counts, kind).astype(np.int64) + total.get(k, 0)
+                total[k] = np.minimum(sums, min_count).astype(kind)
+        for k, counts in total.items():
+            bits = np.packbits(counts >= min_count, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(max(1, counters // 64), np.uint64)
+    rows = docs.mapInArrow(fill, "block int, counts binary").repartition("block").mapInArrow(add_up, "block int, bits binary")
+    for k, bits in rows.collect():
+        out.view(np.uint8)[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """Rows (lang, words, prefix, next, f): the stripes added up element by element.
 
@@ -195,34 +250,33 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, bits: int = BITS, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): the phrases of at most `longest` words that occur min_count times, and the words of each language.
 
     docs: (lang, text), no nulls. phrases: (lang, words, prefix, next, f), where
-    prefix is '' for single words; totals: (lang, n). Three passes over the texts:
-    words, pairs of frequent words, and longer runs of frequent pairs. A phrase cannot
-    be frequent where a part is not, so only others are left out of the stripes;
-    which are, tasks read from a bitmap of fixed size. A bit that stands for several phrases
-    lets more through and loses none, as the sums decide.
+    prefix is '' for single words; totals: (lang, n). Stripes are made of words, then of pairs,
+    then of longer phrases. A phrase cannot be frequent where a part is not: which parts are, tasks
+    read from a bitmap of fixed size. Of the rest, a pass before the stripes counts by hash in a
+    vector of fixed size, and only phrases whose counter reaches min_count get into stripes, which count
+    exactly. A bit or counter that several phrases share lets more through and loses none. On a corpus
+    for which they are too small, more is shuffled and the result is the same.
     """
     spark, enough = docs.sparkSession, F.col("f") >= min_count
     words = materialize(merged(stripes(docs, count_words)), "words")
-    found, level, most = [], words, longest
-    for k, count in ((1, None), (2, count_pairs), (3, lambda w, bitmap: count_longer(w, bitmap, most))):
-        if k > longest:
-            break
-        if count:
-            bitmap = spark.sparkContext.broadcast(_bitmap(level, bits))
-            level = merged(stripes(docs, lambda w, count=count, bitmap=bitmap: count(w, bitmap.value)))
-        level = materialize(level.where(enough), f"phrases{k}")
-        found.append(level)
+    found = [level := materialize(words.where(enough), "phrases1")]
+    for k, count in ((2, count_pairs), (3, partial(count_longer, longest=longest))):
+        if k <= longest:
+            frequent = spark.sparkContext.broadcast(_bitmap(level, bits))
+            sketch = spark.sparkContext.broadcast(sketched(docs, lambda w, c=count, f=frequent: c(w, f.value, None), min_count, counters))
+            level = merged(stripes(docs, lambda w, c=count, f=frequent, s=sketch: c(w, f.value, s.value)))
+            found.append(level := materialize(level.where(enough), f"phrases{k}"))
     phrases = found[0]
     for x in found[1:]:
         phrases = phrases.unionByName(x)
     return phrases, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
-def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share: int = 100, top: int = 2000, bits: int = BITS, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share: int = 100, top: int = 2000, bits: int = BITS, counters: int = COUNTERS, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases.
 
     A-Z is lower-cased, texts are cut at `[.,;:!?\\x0A-\\x0D]` into pieces and these into words
@@ -242,7 +296,7 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share:
     body = text_or_empty(text)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), body.alias("text"))
     with scratch(docs.sparkSession):
-        phrases, totals = frequent_phrases(rows, min_count, longest, bits)
+        phrases, totals = frequent_phrases(rows, min_count, longest, bits, counters)
         named = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
         known = materialize(phrases.select("lang", "words", named.alias("phrase"), "f"), "known")
         candidates = known.where("words > 1").withColumnRenamed("f", "a")

@@ -65,15 +65,15 @@ def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     assert len(parts) > 5
     counted = Counter()
     for w in parts:
-        for batch in C.count_words(w):
-            for r in batch.to_pylist():
+        for counts in C.count_words(w):
+            for r in C._stripes(w, counts).to_pylist():
                 counted.update(dict(zip(r["next"], r["n"], strict=True)))
     assert sum(counted.values()) == want[0][6]
 
 
 def test_bits_that_stand_for_several_phrases_lose_nothing(spark):
     rows = made(3)
-    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=6, bits=64)) == plain(rows, 6)
+    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=6, bits=64, counters=64)) == plain(rows, 6)
 
 
 def test_odd_rows(spark):
