@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,22 +51,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Folders that blocks of scratch() write to, the innermost last.
-_SCRATCH: list[str] = []
+#: Folders that blocks of scratch() write to, the innermost last; each thread and context has its own.
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside are deleted at the end, but for lasting ones."""
-    folder = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark) + '/recordsmith'}/scratch-{uuid.uuid4().hex}"
-    _SCRATCH.append(folder)
+    outer = _SCRATCH.get()
+    folder = f"{outer[-1] if outer else _application_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set((*outer, folder))
     try:
         yield
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.reset(token)
         delete(spark, folder)
 
 
+def _application_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/recordsmith/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark can write one; nothing happens if it is not there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,10 +89,10 @@ def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the
     stages before the written table, and a table that is read twice is computed once.
-    A lasting table outlives the innermost scratch(), for what is read after it.
+    A lasting table outlives the innermost scratch(), for what is read after it, but not the application.
     """
     spark = df.sparkSession
-    folders = [f"{shared_dir(spark)}/recordsmith", *_SCRATCH]
+    folders = [_application_dir(spark), *_SCRATCH.get()]
     path = f"{folders[max(0, len(folders) - 1 - lasting)]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
