@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
 from .collocations import collocations
 from .common import table
 from .decontamination import contaminated
 from .language_id import document_rows, identify, page_rows, train
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -78,10 +80,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_within_documents,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_approximate_neighbours,
         op12_phrase_collocations,
+        op13_cross_tokenizer_alignment,
     )
 }
 
