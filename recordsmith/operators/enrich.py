@@ -12,6 +12,7 @@ from ..functions.text import collapse, instruction_risk, strip, valid_partial_da
 from ..functions.urls import valid_evidence_url
 from ..sources.staging import staged
 from .contracts import response_fields, validate_metadata
+from .metrics import COUNTERS, build_lookup_records, evict_lru
 from .review import FIELDS
 
 # What a preset sets, and what providers can do.
@@ -73,12 +74,37 @@ def research_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("cache_key", F.sha2(F.to_json(material, {"ignoreNullFields": "false"}), 256))
 
 
+#: What the cache keeps of an answer: its fields as they were handed out.
+RESULT = "array<struct<field: string, value: string, confidence: string, evidence_urls: array<string>, inferred: boolean, warning: string>>"
+CACHE = f"cache_key string, estimated_cost_usd double, result {RESULT}, last_used struct<run: int, seq: bigint>"
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame, *, key: str = "cache_key") -> DataFrame:
-    """requests with hit, cost and avoided cost: a hit costs 0 and avoids its original cost; force_refresh bypasses."""
-    c = cache.select(key, F.col("estimated_cost_usd").alias("_cost"), F.lit(True).alias("_hit"))
+    """requests with hit, cost, avoided cost, the cached result (if the cache has them) and the usage counters.
+
+    A hit costs 0, has used nothing and avoids its original cost; force_refresh bypasses.
+    """
+    kept = ["result"] if "result" in cache.columns else []
+    c = cache.select(key, F.col("estimated_cost_usd").alias("_cost"), *[F.col(x).alias(f"_{x}") for x in kept], F.lit(True).alias("_hit"))
     hit = F.coalesce("_hit", F.lit(False)) & ~F.coalesce("force_refresh", F.lit(False))
-    out = requests.join(c, key, "left").withColumn("hit", hit)
-    return out.select(*requests.columns, "hit", F.when(hit, 0.0).alias("cost"), F.when(hit, F.col("_cost")).alias("avoided_cost"))
+    used = {n: F.when(F.col("hit"), F.lit(0)).otherwise(F.col(n) if n in requests.columns else F.lit(None)).cast("long") for n in COUNTERS}
+    out = requests.join(c, key, "left").withColumn("hit", hit).withColumns(used)
+    return out.select(*requests.columns, "hit", F.when(F.col("hit"), 0.0).alias("cost"), F.when(F.col("hit"), F.col("_cost")).alias("avoided_cost"), *[F.when(F.col("hit"), F.col(f"_{x}")).alias(x) for x in kept], *[n for n in COUNTERS if n not in requests.columns])
+
+
+def cache_put(cache: DataFrame, answers: DataFrame, uses: DataFrame, run: int, most: int = 128) -> DataFrame:
+    """The cache after a run: answers put in, uses noted, and only the `most` entries used last kept.
+
+    answers: (cache_key, estimated_cost_usd, result, seq), the last of a key wins, also over what
+    was cached; uses: (cache_key, seq) of hits. A put is a use. Runs are numbered upwards, and seq orders a run.
+    """
+    at = lambda seq: F.struct(F.lit(run).cast("int").alias("run"), seq.cast("long").alias("seq"))
+    latest = answers.groupBy("cache_key").agg(F.max_by(F.struct("estimated_cost_usd", "result"), "seq").alias("a"), F.max("seq").alias("seq"))
+    new = latest.select("cache_key", "a.*", at(F.col("seq")).alias("last_used"))
+    old = cache.join(new.select("cache_key"), "cache_key", "left_anti").select("cache_key", "estimated_cost_usd", "result", "last_used")
+    stored = old.unionByName(new)
+    touched = stored.select("cache_key", "last_used").unionByName(uses.select("cache_key", at(F.col("seq")).alias("last_used")))
+    return evict_lru(touched, "cache_key", most, seq="last_used").join(stored.drop("last_used"), "cache_key").select("cache_key", "estimated_cost_usd", "result", "last_used")
 
 
 def constrain_citations(fields: DataFrame, results: DataFrame, *, request: str = "request_id") -> DataFrame:
@@ -118,8 +144,8 @@ def research_queries(books: DataFrame, most: int = 3) -> DataFrame:
     return books.select("book_id", F.posexplode(queries).alias("rank", "query"))
 
 
-def build_requests(books: DataFrame, fields: list[str], *, prompt: str = "") -> DataFrame:
-    """(book_id, scope, instructions, payload, suspicious): one research request a book.
+def build_requests(books: DataFrame, fields: list[str], *, prompt: str = "", key: str = "book_id") -> DataFrame:
+    """(key, scope, instructions, payload, suspicious): one research request a row.
 
     The payload is the local evidence as JSON with sorted keys: what the record
     says, and a column `evidence` if there is one. Whether that text looks like an
@@ -131,7 +157,7 @@ def build_requests(books: DataFrame, fields: list[str], *, prompt: str = "") ->
     known = [F.col("authors_text").alias("authors"), *([F.col("evidence")] if has else []), F.col("isbn_raw").alias("identifier"), F.col("publisher"), F.col("title")]
     instructions = f"{prompt.rstrip()}\n\nReturn exactly these fields: {scope}.".lstrip()
     risky = instruction_risk(F.col("evidence")) >= 2 if has else F.lit(False)
-    return books.select("book_id", F.lit(scope).alias("scope"), F.lit(instructions).alias("instructions"), F.to_json(F.struct(*known), {"ignoreNullFields": "false"}).alias("payload"), risky.alias("suspicious"))
+    return books.select(key, F.lit(scope).alias("scope"), F.lit(instructions).alias("instructions"), F.to_json(F.struct(*known), {"ignoreNullFields": "false"}).alias("payload"), risky.alias("suspicious"))
 
 
 CONFIDENCES = ("high", "medium", "low")
@@ -166,32 +192,88 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.withColumns({"confidence": F.when(risky, "low").otherwise(F.col("confidence")), "warning": F.when(risky, "Suspicious instructions were found in the evidence.")})
 
 
-def enrich(requests: DataFrame, cache: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: list[str], *, results: DataFrame | None = None, urls: int = 10, prompt: str = "") -> dict[str, DataFrame]:
-    """From requests to reviewed fields: hits, fields, rejected and records.
+def single_flight(misses: DataFrame) -> DataFrame:
+    """misses with `leader`: of the requests that share a cache key, the first one is asked for all; a forced one asks for itself.
 
-    requests: (request_id, book_id, evidence, what a record says, and what a cache
-    key covers). Cached requests are answered by the cache; for the others a
-    research request is built, and the user's function gets batches of (book_id,
-    instructions, payload) and returns (book_id, body). Bodies are held to the
-    closed contract, citations to what the search found (results: request_id,
-    url), and every confidence is low where the evidence was suspicious. The
-    function is the one extension point; what it returned is written before it is judged,
-    so nothing is asked twice. records has one row a request, whatever happened.
+    The leaders are one row a key, so a key that many requests share is no hot group.
     """
+    forced = F.coalesce("force_refresh", F.lit(False))
+    first = misses.where(~forced).groupBy("cache_key").agg(F.min("request_id").alias("_first"))
+    return misses.join(first, "cache_key", "left").withColumn("leader", F.when(forced, F.col("request_id")).otherwise(F.coalesce("_first", "request_id"))).drop("_first")
+
+
+def enrich(
+    requests: DataFrame,
+    cache: DataFrame,
+    call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    fields: list[str],
+    *,
+    results: DataFrame | None = None,
+    evidence: Callable[[DataFrame], DataFrame] | None = None,
+    urls: int = 10,
+    prompt: str = "",
+    run: int = 1,
+    most_cached: int = 128,
+) -> dict[str, DataFrame]:
+    """From requests to reviewed fields: fields, rejected, records, the cache after the run, and lookups.
+
+    requests: (request_id, book_id, force_refresh, evidence, what a record says, and what a
+    cache key covers). Cached requests get the cache's fields. Of the others, those that
+    share a key are asked once, and the answer goes to all of them: the first pays, the
+    others count as hits, or fail with it. For what is asked, `evidence` may gather texts
+    (it gets these requests and returns request_id, evidence). The user's function
+    gets batches of (request_id, instructions, payload) and returns (request_id, body,
+    estimated_cost_usd). Bodies are held to the closed contract, citations to what the
+    search found (results: request_id, url), and every confidence is low where the
+    evidence was suspicious. The function is the one extension point; what it
+    returned is written before it is judged, so nothing is asked twice.
+
+    records has one row a request, whatever happened; lookups, if requests has a job_id, the
+    records of the mart. cache: see CACHE; without results, hits have no fields.
+    """
+    if "result" not in cache.columns:
+        cache = cache.select("cache_key", "estimated_cost_usd", F.lit(None).cast(RESULT).alias("result"), F.lit(None).cast("struct<run: int, seq: bigint>").alias("last_used"))
     looked = staged(cache_lookup(research_keys(requests), cache), "looked")
-    misses = looked.where(~F.col("hit"))
-    asked = build_requests(misses, fields, prompt=prompt)
-    answered = staged(asked.select("book_id", "instructions", "payload").mapInPandas(call, "book_id long, body string"), "answers")
+    led = staged(single_flight(looked.where(~F.col("hit")).drop("result")), "led")
+    leading = led.where(F.col("request_id") == F.col("leader"))
+    if evidence is not None:
+        leading = staged(leading.drop("evidence").join(evidence(leading.drop("evidence")), "request_id", "left"), "evidence")
+    asked = build_requests(leading, fields, prompt=prompt, key="request_id")
+    answered = staged(asked.select("request_id", "instructions", "payload").mapInPandas(call, "request_id long, body string, estimated_cost_usd double"), "answers")
     accepted, rejected = validate_metadata(answered, fields, urls)
-    found = response_fields(accepted, fields).join(misses.select("book_id", "request_id"), "book_id")
+    found = response_fields(accepted, fields, key="request_id")
     if results is not None:
         found = constrain_citations(found, results)
-    done = finalize(found.join(asked.select("book_id", "suspicious"), "book_id"))
-    state = accepted.select("book_id", F.lit("ready").alias("_state")).unionByName(rejected.select("book_id", F.lit("failed").alias("_state")))
-    outcome = F.when(F.col("hit"), "ready").otherwise(F.coalesce("_state", F.lit("failed")))
-    kept = [c for c in ("request_id", "book_id", "provider", "model", "preset", "search_mode", "batch_size") if c in looked.columns]
-    records = looked.join(state, "book_id", "left").select(*kept, F.col("hit").alias("cache_hit"), "cost", "avoided_cost", outcome.alias("outcome"))
-    return {"hits": looked.where("hit"), "fields": done, "rejected": rejected, "records": records}
+    done = staged(finalize(found.join(asked.select("request_id", "suspicious"), "request_id")).drop("suspicious").withColumnRenamed("request_id", "leader"), "fields")
+
+    each = ("field", "value", "confidence", "evidence_urls", "inferred", "warning")
+    fresh = led.select("request_id", "book_id", "leader").join(done, "leader").select("request_id", "book_id", *each)
+    hits = looked.where("hit").select("request_id", "book_id", F.explode("result").alias("r")).select("request_id", "book_id", *[F.col(f"r.{c}").alias(c) for c in each])
+
+    state = accepted.select("request_id", "estimated_cost_usd", F.lit("ready").alias("_state")).unionByName(rejected.select("request_id", "estimated_cost_usd", F.lit("failed").alias("_state")))
+    state = state.select(F.col("request_id").alias("leader"), F.col("estimated_cost_usd").alias("_cost"), "_state")
+    told = looked.join(led.select("request_id", "leader").join(state, "leader", "left"), "request_id", "left")
+    follows = F.coalesce(F.col("leader") != F.col("request_id"), F.lit(False))
+    good = F.coalesce(F.col("_state") == "ready", F.lit(False))
+    said = {
+        "cache_hit": F.col("hit") | (follows & good),
+        "cost": F.when(F.col("hit") | follows, 0.0).otherwise(F.col("_cost")),
+        "avoided_cost": F.when(F.col("hit"), F.col("avoided_cost")).when(follows & good, F.col("_cost")),
+        "outcome": F.when(F.col("hit") | good, "ready").otherwise("failed"),
+    }
+    kept = [c for c in ("request_id", "book_id", "job_id", "provider", "model", "preset", "search_mode", "batch_size") if c in looked.columns]
+    records = told.select(*kept, *[c.alias(k) for k, c in said.items()], *[F.when(F.col("hit") | follows, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in COUNTERS])
+
+    results_of = done.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct(*each))).cast(RESULT).alias("result"))  # a row a field
+    put = led.where(F.col("request_id") == F.col("leader")).join(state.where("_state = 'ready'"), "leader").join(results_of, "leader", "left")
+    put = put.select("cache_key", F.col("_cost").alias("estimated_cost_usd"), F.coalesce("result", F.array().cast(RESULT)).alias("result"), F.col("request_id").alias("seq"))
+    uses = told.where(F.col("hit") | (follows & good)).select("cache_key", F.col("request_id").alias("seq"))
+    out = {"fields": fresh.unionByName(hits), "rejected": rejected, "records": records, "cache": cache_put(cache, put, uses, run, most_cached)}
+    if "job_id" in looked.columns:
+        details = records.select(F.col("request_id").alias("detail_id"), "job_id", "outcome", "cache_hit", F.col("cost").alias("estimated_cost_usd"), F.col("avoided_cost").alias("estimated_avoided_cost_usd"), *COUNTERS)
+        payloads = looked.groupBy("job_id").agg(*[F.min(c).alias(c) for c in ("provider", "model", "preset", "search_mode", "batch_size") if c in looked.columns])
+        out["lookups"] = build_lookup_records(details, payloads)
+    return out
 
 
 def top_results(results: DataFrame, n: int, *, by: str = "query", order: str = "pos") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, safe_href
+from ..sources.staging import staged
 
 # Names, markup and words that tell the kinds of pages.
 TITLE_PATH = r"(?:^|[/_. -])(?:title[-_ ]?page|titlepage|covertitle|title)(?:[/_. -]|$)"
@@ -58,10 +59,25 @@ def bounded_evidence(pages: DataFrame, limit: int, *, book: str = "book_id", ord
     return joined.select(book, F.substring(F.array_join(F.col("p._c"), "\n\n"), 1, limit).alias("evidence"))
 
 
+def running_sum(rows: DataFrame, value: str, *, group: str, order: str) -> DataFrame:
+    """rows with `running`, the sum of value up to each row of its group in order, as a prefix sum on two levels.
+
+    Rows are dealt into ranges of (group, order) and written, so one group may span all of them. Sums of
+    the ranges, a row for each range and group, give what stands before a range; inside
+    a range a window adds the rest. Rows of one group that are equal in order share a range.
+    """
+    cut = staged(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = cut.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = cut.where(F.col(group).isNotNull()).join(before, [group, "_range"])
+    return joined.withColumn("running", F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).select(*rows.columns, "running")
+
+
 def running_byte_budget(members: DataFrame, budget: int, *, group: str, order: str, size: str) -> DataFrame:
-    """members with running bytes in order, and whether the budget is passed there."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return members.withColumn("running", F.sum(size).over(w)).withColumn("over_budget", F.col("running") > budget)
+    """members with running bytes in order, and whether the budget is passed there; members of no group are left out."""
+    return running_sum(members, size, group=group, order=order).withColumn("over_budget", F.col("running") > budget)
 
 
 def reading_order(manifest: DataFrame, spine: DataFrame, guide: DataFrame, *, book: str = "book_id", most: int = 24) -> DataFrame:

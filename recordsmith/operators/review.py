@@ -27,13 +27,18 @@ def select_requested_fields(proposals: DataFrame, fields: list[str]) -> DataFram
     return proposals.drop("pos").join(F.broadcast(wanted), "field")
 
 
-def all_proposed(proposals: DataFrame, series_index: DataFrame | None = None) -> DataFrame:
-    """(book_id, field) of every non-null proposal, and series_index where a proposed series has one."""
-    some = proposals.where("value_text is not null").select("book_id", "field")
+def proposed_values(proposals: DataFrame, series_index: DataFrame | None = None) -> DataFrame:
+    """(book_id, field, value_text) of every non-null proposal, and series_index where a proposed series has one (book_id, series_index)."""
+    some = proposals.where("value_text is not null").select("book_id", "field", "value_text")
     if series_index is None:
         return some
-    index = some.where("field = 'series'").join(series_index.where("series_index is not null").select("book_id"), "book_id", "left_semi")
-    return some.unionByName(index.select("book_id", F.lit("series_index").alias("field")))
+    numbered = series_index.where("series_index is not null").select("book_id", F.lit("series_index").alias("field"), F.col("series_index").cast("string").alias("value_text"))
+    return some.unionByName(numbered.join(some.where("field = 'series'").select("book_id"), "book_id", "left_semi"))
+
+
+def all_proposed(proposals: DataFrame, series_index: DataFrame | None = None) -> DataFrame:
+    """(book_id, field) of what proposed_values() has."""
+    return proposed_values(proposals, series_index).select("book_id", "field")
 
 
 def recommended(proposals: DataFrame) -> DataFrame:
@@ -171,13 +176,18 @@ def key_set_check(records: DataFrame, expected: list[str]) -> DataFrame:
     return out.where((F.size("missing") > 0) | (F.size("unexpected") > 0))
 
 
-def accept_all(books: DataFrame, proposals: DataFrame, library: DataFrame, batch_seq: int) -> dict[str, DataFrame]:
-    """Every non-null proposal of every record that is not stale: updated, undo and outcomes."""
-    jobs = stale_guard(books.withColumn("fingerprint", F.lit("")), library.withColumn("fingerprint", F.lit("")))
+def accept_all(books: DataFrame, proposals: DataFrame, library: DataFrame, batch_seq: int, *, series_index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything proposed for every record that is not stale: updated, undo and outcomes.
+
+    books has the uuid and the file's fingerprint that the research saw, library
+    those of now; a record is left alone when either differs or it is gone. The
+    index of a proposed series (series_index: book_id, series_index) is a field of its own.
+    """
+    jobs = stale_guard(books, library)
     ready = jobs.where("status = 'ready'").select("book_id")
-    chosen = proposals.where("value_text is not null").join(ready, "book_id", "left_semi")
+    chosen = proposed_values(proposals, series_index).join(ready, "book_id", "left_semi")
     touched = chosen.select("book_id").distinct()
-    updated = apply_merge(books, chosen.select("book_id", "field", "value_text"))
+    updated = apply_merge(books, chosen)
     undo = books.join(touched, "book_id", "left_semi").withColumn("batch_seq", F.lit(batch_seq))
     outcome = F.when(F.col("status") != "ready", F.col("status")).when(F.col("_t").isNotNull(), "applied").otherwise("skipped")
     outcomes = jobs.join(touched.withColumn("_t", F.lit(1)), "book_id", "left").select("book_id", outcome.alias("outcome"))

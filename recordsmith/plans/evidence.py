@@ -51,6 +51,11 @@ add(
     lambda v: evidence.running_byte_budget(v.documents.select("doc_id", F.floor(F.col("doc_id") / 50).alias("archive"), "n_chars"), 100_000, group="archive", order="doc_id", size="n_chars").select("doc_id", "archive", "running", "over_budget"),
     "SELECT doc_id, archive, CAST(r AS BIGINT) AS running, r > 100000 AS over_budget FROM (SELECT doc_id, doc_id // 50 AS archive, sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS r FROM documents)",
 )
+add(
+    "w6_one_archive",  # all documents as the members of one archive
+    lambda v: evidence.running_byte_budget(v.documents.select("doc_id", F.lit(0).alias("archive"), "n_chars"), 1_000_000, group="archive", order="doc_id", size="n_chars").select("doc_id", "running", "over_budget"),
+    "SELECT doc_id, CAST(r AS BIGINT) AS running, r > 1000000 AS over_budget FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS r FROM documents)",
+)
 _VALID = "regexp_matches(url, '^https?://[^/@]+')"
 add(
     "w8_top_results",

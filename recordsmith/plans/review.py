@@ -153,16 +153,28 @@ add(
     """SELECT book_id, field, CASE WHEN book_id % 6 = 0 AND book_id % 5 > 0 THEN 'low' ELSE confidence END AS confidence, CASE WHEN book_id % 6 = 0 AND
     book_id % 5 > 0 THEN 'Suspicious instructions were found in the evidence.' END AS warning FROM proposals""",
 )
-_accept = lambda v: review.accept_all(v.books_current, v.proposals, v.library_now, 1)
+
+
+def _accept(v):
+    """Files of every fourth record were changed since, and uuids of every ninth; every fifth proposed series has a new index."""
+    seen = v.books_current.withColumn("fingerprint", F.md5("title"))
+    now = v.library_now.withColumn("fingerprint", F.when(F.col("book_id") % 4 == 0, "changed").otherwise(F.md5("title")))
+    index = v.books_current.where("book_id % 5 = 1").select("book_id", (F.col("book_id") % 50 + 0.5).alias("series_index"))
+    return review.accept_all(seen, v.proposals, now, 1, series_index=index)
+
+
+_FRESH = "book_id % 10 <> 0 AND book_id % 9 <> 0 AND book_id % 4 <> 0"
+_PROPOSED = f"""SELECT book_id, field, value_text FROM proposals WHERE value_text IS NOT NULL AND {_FRESH} UNION ALL
+    SELECT book_id, 'series_index', CAST(book_id % 50 + 0.5 AS VARCHAR) FROM proposals WHERE field = 'series' AND value_text IS NOT NULL AND book_id % 5 = 1 AND {_FRESH}"""
 add(
     "e5_accept_all_updated",
     lambda v: _merged(_accept(v)["updated"]),
-    _merged_sql("SELECT book_id, field, value_text FROM proposals WHERE value_text IS NOT NULL AND book_id % 10 <> 0 AND book_id % 9 <> 0"),
+    _merged_sql(_PROPOSED),
 )
 add(
     "e5_accept_all_outcomes",
     lambda v: _accept(v)["outcomes"],
-    """SELECT book_id, CASE WHEN book_id % 10 = 0 THEN 'library_missing' WHEN book_id % 9 = 0 THEN 'library_changed' WHEN EXISTS (SELECT 1 FROM proposals p
+    """SELECT book_id, CASE WHEN book_id % 10 = 0 THEN 'library_missing' WHEN book_id % 9 = 0 OR book_id % 4 = 0 THEN 'library_changed' WHEN EXISTS (SELECT 1 FROM proposals p
     WHERE p.book_id = b.book_id AND value_text IS NOT NULL) THEN 'applied' ELSE 'skipped' END AS outcome FROM books_current b""",
 )
 #: Bodies with one fault or two, by book_id % 40, and the errors they give; others are good.
@@ -226,41 +238,63 @@ add(
 
 
 def _answers(parts):
-    """The user's function: a good body for most records, from the payload alone; some say nothing or too much."""
+    """The user's function: a good body for most requests, from the payload alone; some say nothing or too much."""
     for part in parts:
         made = []
-        for book, payload in zip(part["book_id"], part["payload"], strict=True):
+        for request, payload in zip(part["request_id"], part["payload"], strict=True):
             field = {"value": json.loads(payload)["title"], "confidence": "high", "evidence_urls": ["https://a.example/1", "https://a.example/2"], "inferred": False}
-            body = {"match": {"candidate_identity": str(book), "edition_confidence": "high", "rationale": ""}, "fields": {"title": field}}
-            made.append("" if book % 4 == 1 else json.dumps(body | ({"more": 1} if book % 4 == 2 else {})))
-        yield pd.DataFrame({"book_id": part["book_id"], "body": made})
+            body = {"match": {"candidate_identity": str(request), "edition_confidence": "high", "rationale": ""}, "fields": {"title": field}}
+            made.append("" if request // 10 % 4 == 1 else json.dumps(body | ({"more": 1} if request // 10 % 4 == 2 else {})))
+        yield pd.DataFrame({"request_id": part["request_id"], "body": made, "estimated_cost_usd": part["request_id"] / 1e6})
 
 
 def _enriched(v):
-    """Every fifth record is cached, every third of these is asked again; the search found one of two citations, for even records only."""
-    asks = _asking(v).withColumns({"request_id": F.col("book_id") * 10, "provider": F.lit("openai"), "model": F.concat(F.lit("m"), F.col("book_id").cast("string")), "force_refresh": F.col("book_id") % 15 == 0})
-    cache = enrich.research_keys(asks).where("book_id % 5 = 0").select("cache_key", (F.col("book_id") / 1000).alias("estimated_cost_usd"))
+    """One or two requests a book; two have one key where book_id % 3 = 0, else two keys.
+
+    Every fifth record is cached, every third of these is asked again; the search found one of two citations, for even records only.
+    """
+    asks = _asking(v).withColumns({"n": F.explode(F.when(F.col("book_id") % 3 < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))), "provider": F.lit("openai"), "force_refresh": F.col("book_id") % 15 == 0, "job_id": F.floor(F.col("book_id") / 50)})
+    other = F.when((F.col("book_id") % 3 == 1) & (F.col("n") == 1), "-b").otherwise("")
+    asks = asks.withColumns({"request_id": F.col("book_id") * 10 + F.col("n"), "model": F.concat(F.lit("m"), F.col("book_id").cast("string"), other)})
+    result = F.array(F.struct(F.lit("title").alias("field"), F.lit('"cached"').alias("value"), F.lit("medium").alias("confidence"), F.array(F.lit("https://c.example/")).alias("evidence_urls"), F.lit(False).alias("inferred"), F.lit(None).cast("string").alias("warning")))
+    used = F.struct(F.lit(0).alias("run"), F.col("book_id").alias("seq"))
+    cache = enrich.research_keys(asks).where("book_id % 5 = 0 and n = 0").select("cache_key", (F.col("book_id") / 1000).alias("estimated_cost_usd"), result.alias("result"), used.alias("last_used"))
     found = asks.where("book_id % 2 = 0").select("request_id", F.lit("https://a.example/1").alias("url"))
-    return enrich.enrich(asks, cache, _answers, ["title"], results=found, urls=3)
+    return enrich.enrich(asks, cache, _answers, ["title"], results=found, urls=3, most_cached=50)
 
 
-_HIT = "(book_id % 5 = 0 AND book_id % 15 <> 0)"
+_REQUESTS = """requests AS (SELECT *, book_id * 10 + n AS request_id, concat('m', CAST(book_id AS VARCHAR), CASE WHEN book_id % 3 = 1 AND n = 1 THEN '-b' ELSE '' END) AS model, book_id % 5 = 0 AND book_id % 15 <> 0 AND n = 0 AS hit,
+    book_id % 3 = 0 AND book_id % 15 <> 0 AND n = 1 AS follows, book_id % 4 IN (0, 3) AS good FROM (SELECT *, unnest(CASE WHEN book_id % 3 < 2 THEN [0, 1] ELSE [0] END) AS n FROM books_current))"""
+_COST = "CASE WHEN hit OR follows THEN 0.0 ELSE request_id / 1e6 END"
+_AVOIDED = "round(CASE WHEN hit THEN book_id / 1000 WHEN follows AND good THEN book_id * 10 / 1e6 END, 6)"
 add(
     "e4_enrich_records",
-    lambda v: _enriched(v)["records"].select("request_id", "book_id", "provider", "model", "cache_hit", "cost", F.round("avoided_cost", 6).alias("avoided_cost"), "outcome"),
-    f"""SELECT book_id * 10 AS request_id, book_id, 'openai' AS provider, concat('m', CAST(book_id AS VARCHAR)) AS model, {_HIT} AS cache_hit, CASE WHEN {_HIT} THEN 0.0 END AS cost, CASE WHEN {_HIT} THEN round(book_id / 1000, 6) END AS avoided_cost,
-    CASE WHEN {_HIT} OR book_id % 4 IN (0, 3) THEN 'ready' ELSE 'failed' END AS outcome FROM books_current""",
+    lambda v: _enriched(v)["records"].select("request_id", "book_id", "provider", "model", "cache_hit", F.round("cost", 6).alias("cost"), F.round("avoided_cost", 6).alias("avoided_cost"), "outcome", "input_tokens"),
+    f"""WITH {_REQUESTS} SELECT request_id, book_id, 'openai' AS provider, model, hit OR (follows AND good) AS cache_hit, round({_COST}, 6) AS cost, {_AVOIDED} AS avoided_cost,
+    CASE WHEN hit OR good THEN 'ready' ELSE 'failed' END AS outcome, CAST(CASE WHEN hit OR follows THEN 0 END AS BIGINT) AS input_tokens FROM requests""",
 )
 add(
     "e4_enrich_fields",
     lambda v: _enriched(v)["fields"].select("book_id", "request_id", "field", "value", "confidence", F.array_join("evidence_urls", " ").alias("urls"), "inferred", (F.col("warning").isNotNull()).alias("warned")),
-    f"""SELECT book_id, book_id * 10 AS request_id, 'title' AS field, concat('"', title, '"') AS value, CASE WHEN book_id % 7 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN book_id % 2 = 0 THEN 'https://a.example/1' ELSE '' END AS urls, false AS inferred, book_id % 7 = 0 AS warned
-    FROM books_current WHERE NOT {_HIT} AND book_id % 4 IN (0, 3)""",
+    f"""WITH {_REQUESTS} SELECT book_id, request_id, 'title' AS field, concat('"', CASE WHEN hit THEN 'cached' ELSE title END, '"') AS value, CASE WHEN hit THEN 'medium' WHEN book_id % 7 = 0 THEN 'low' ELSE 'high' END AS confidence,
+    CASE WHEN hit THEN 'https://c.example/' WHEN book_id % 2 = 0 THEN 'https://a.example/1' ELSE '' END AS urls, false AS inferred, NOT hit AND book_id % 7 = 0 AS warned FROM requests WHERE hit OR good""",
 )
 add(
     "e4_enrich_rejected",
-    lambda v: _enriched(v)["rejected"].select("book_id", F.array_join("errors", "|").alias("errors")),
-    f"SELECT book_id, CASE WHEN book_id % 4 = 1 THEN 'response object' ELSE 'response keys' END AS errors FROM books_current WHERE NOT {_HIT} AND book_id % 4 IN (1, 2)",
+    lambda v: _enriched(v)["rejected"].select("request_id", F.array_join("errors", "|").alias("errors")),
+    f"WITH {_REQUESTS} SELECT request_id, CASE WHEN book_id % 4 = 1 THEN 'response object' ELSE 'response keys' END AS errors FROM requests WHERE NOT hit AND NOT follows AND NOT good",
+)
+add(
+    "e4_enrich_cache",
+    lambda v: _enriched(v)["cache"].select(F.col("last_used.seq").alias("last_request"), F.round("estimated_cost_usd", 6).alias("cost"), F.get("result", F.lit(0))["value"].alias("value")),
+    f"""WITH {_REQUESTS}, used AS (SELECT book_id, model, title, max(request_id) AS last_request, bool_or(hit) AS hit, max(CASE WHEN NOT follows THEN request_id END) AS asked FROM requests WHERE hit OR good GROUP BY ALL ORDER BY last_request DESC LIMIT 50)
+    SELECT last_request, round(CASE WHEN hit THEN book_id / 1000 ELSE asked / 1e6 END, 6) AS cost, concat('"', CASE WHEN hit THEN 'cached' ELSE title END, '"') AS value FROM used""",
+)
+add(
+    "e4_enrich_lookups",
+    lambda v: _enriched(v)["lookups"].select("detail_id", "job_id", "provider", "search_provider", "preset", "cache_hit", "outcome", "batch_size", F.round("estimated_cost_usd", 6).alias("cost")),
+    f"""WITH {_REQUESTS} SELECT request_id AS detail_id, book_id // 50 AS job_id, 'openai' AS provider, 'hosted' AS search_provider, 'unknown' AS preset, hit OR (follows AND good) AS cache_hit, CASE WHEN hit OR good THEN 'ready' ELSE 'failed' END AS outcome,
+    count(*) OVER (PARTITION BY book_id // 50) AS batch_size, round({_COST}, 6) AS cost FROM requests""",
 )
 _review = lambda v: review.review_apply(v.books_current, v.proposals, v.decisions)
 _SELECTED = """SELECT p.book_id, p.field, CASE WHEN d.override_field = p.field THEN d.override_value ELSE p.value_text END AS value_text FROM proposals p
@@ -281,7 +315,7 @@ add(
 add(
     "e5_accept_all_undo",
     lambda v: _accept(v)["undo"].select("book_id", "title", "batch_seq"),
-    """SELECT book_id, title, CAST(1 AS INT) AS batch_seq FROM books_current b WHERE book_id % 10 <> 0 AND book_id % 9 <> 0 AND EXISTS (SELECT 1
+    f"""SELECT book_id, title, CAST(1 AS INT) AS batch_seq FROM books_current b WHERE {_FRESH} AND EXISTS (SELECT 1
     FROM proposals p WHERE p.book_id = b.book_id AND value_text IS NOT NULL)""",
 )
 add(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,22 +11,30 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, strip
 from ..functions.urls import valid_result_url
 from ..operators.catalog import parse_version, safe_model_id
+from ..operators.metrics import retain
+from .staging import staged
 
 HISTORY = "lookup_id long, timestamp string, timestamp_epoch double, model string, provider string, openai_seconds double, provider_seconds double, outcome string, total_tokens long"
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+#: Bytes of a history file up to which it is read whole, as one document or lines; a larger one is read by its lines.
+WHOLE = 64 << 20
+
+
+def read_history(spark: SparkSession, path: str, *, whole: int = WHOLE) -> DataFrame:
     """Records of history files: JSON lines, or documents with a list `records`.
 
     Rows that are no objects are dropped, and files that are no JSON or not there
-    are empty. The legacy timing moves where the new one is null.
+    are empty. The legacy timing moves where the new one is null. A file of at most `whole` bytes is
+    read whole, by one task, and its document may span lines. A larger file is read in splits by many tasks:
+    each of its lines is a record or a document of its own.
     """
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile")
     try:
-        found = files.load(path)
+        small = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).where(F.col("length") <= whole)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("_metadata.file_size") > whole)
     except AnalysisException:  # no such path
-        found = spark.createDataFrame([], "path string, content binary")
-    return history_records(found.select(F.col("content").cast("string").alias("body")))
+        return history_records(spark.createDataFrame([], "body string"))
+    return history_records(small.select(F.col("content").cast("string").alias("body")).unionByName(lines.select(F.col("value").alias("body"))))
 
 
 def history_records(bodies: DataFrame) -> DataFrame:
@@ -126,9 +136,31 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None)
     df.select(*(columns or df.columns)).write.mode("overwrite").option("header", "true").option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
-def write_history(df: DataFrame, path: str, date: Column) -> None:
-    """The whole pruned table into a new folder, by date."""
-    df.withColumn("date", date).write.mode("errorifexists").partitionBy("date").parquet(path)
+def write_history(df: DataFrame, path: str, date: Column, *, append: bool = False) -> None:
+    """The table by date into a new folder, or new rows appended to it."""
+    df.withColumn("date", date).write.mode("append" if append else "errorifexists").partitionBy("date").parquet(path)
+
+
+def prune_history(spark: SparkSession, path: str, cutoff: datetime, most: int, *, time: str = "ts", seq: str = "seq") -> list[str]:
+    """Drop rows older than the cutoff, then all but the last `most` in insertion order; returns the dates that changed.
+
+    Only the folders of those dates are rewritten; the others keep their files. What is kept of them
+    is written aside before it replaces them. seq is unique.
+    """
+    history = spark.read.parquet(path)
+    oldest = retain(history, cutoff, most, time=time, seq=seq).agg(F.min(seq)).first()[0]
+    good = (F.col(time) >= F.lit(cutoff).cast(history.schema[time].dataType)) & (F.col(seq) >= F.lit(oldest))
+    good = F.coalesce(good, F.lit(False))
+    counts = history.groupBy("date").agg(F.count("*").alias("n"), F.count_if(good).alias("kept")).where("n <> kept").collect()  # a row a date
+    cut = [r["date"] for r in counts if r["kept"]]
+    if cut:
+        kept = staged(history.where(good & F.col("date").isin(cut)), "pruned")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    for r in counts:
+        if not r["kept"]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={r['date']}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(str(r["date"]) for r in counts)
 
 
 def parse_api_errors(df: DataFrame, secrets: tuple[str, ...] = ()) -> Column:

@@ -50,10 +50,63 @@ def test_daily_rollup_leaves_late_days_out(spark, source):
     assert got == {"2024-01-01": (1, 0, 1.0), "2024-01-12": (1, 1, 1.0), "2024-01-20": (3, 0, 4.0), "2024-01-21": (1, 1, 3.0), "2024-01-22": (1, 0, 1.0)}
 
 
-def test_live_keys_and_hits(spark, source):
+def test_a_repeat_after_the_horizon_is_live_again(spark, source):
     make, folder = source
-    live = jobs.run_available(spark, jobs.live_keys(make()), folder)
-    assert {r["user_id"] for r in live.collect()} == {7, 8, 9}
-    every = spark.createDataFrame([r for b in BATCHES for r in b], EVENTS)
-    hits = jobs.cache_hits(every, live)
-    assert hits.count() == sum(map(len, BATCHES)) - 3
+    from datetime import timedelta
+
+    every = spark.createDataFrame([r for b in BATCHES for r in b], EVENTS).dropDuplicates(["event_id"])
+    horizon = timedelta(days=10)
+    batch = {r["event_id"]: r["live"] for r in jobs.cache_uses(every, horizon).collect()}
+    assert batch == {1: True, 2: True, 5: False, 3: True, 4: True, 6: False, 7: False}
+    batch = {r["event_id"]: r["live"] for r in jobs.cache_uses(every.where("event_id <> 6"), horizon).collect()}  # 6 comes late
+    got = {r["event_id"]: r["live"] for r in jobs.run_available(spark, jobs.cache_uses(make().where("event_id <> 6"), horizon, "30 days"), folder).where("event_id <> 2").collect()}
+    assert batch[7] and got == {k: v for k, v in batch.items() if k != 2}
+
+
+def test_timers_forget_keys(spark, source):
+    make, folder = source
+    from datetime import timedelta
+
+    uses = jobs.cache_uses(make(), timedelta(hours=6), "1 hour")
+    got = {r["event_id"]: r["live"] for r in jobs.run_available(spark, uses, folder).collect()}
+    assert got[1] and got[5] and got[7]  # days after each key's last request
+
+
+def test_upsert_table_stays_in_proportion_to_its_keys(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "table")
+    table = jobs.UpsertTable(spark, path, "k", buckets=4)
+    want = {}
+    for epoch in range(12):
+        rows = [(k, epoch * 100 + k) for k in range(epoch % 3, 40, 3)]
+        want |= dict(rows)
+        batch = spark.createDataFrame(rows, "k long, v long")
+        table.merge(batch, epoch)
+        if epoch % 4 == 3:  # the batch is run again
+            table.merge(batch, epoch)
+    assert {r["k"]: r["v"] for r in table.read(batch.schema).collect()} == want
+    files = [f for top, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * 4  # two versions of each bucket at most
+    assert spark.read.parquet(path).count() <= 2 * len(want)
+
+
+def test_late_rows_are_kept_apart(spark, source):
+    make, folder = source
+    from datetime import timedelta
+
+    kept, late = jobs.run_with_late(spark, make(), folder, delay=timedelta(days=1))
+    assert sorted(r["event_id"] for r in late.collect()) == [4, 6]
+    assert sorted(r["event_id"] for r in kept.collect()) == [1, 2, 2, 3, 5, 7]
+
+
+def test_monthly_percentiles_from_daily_sketches(spark):
+    import numpy as np
+
+    rows = [(k, datetime(2024, 1 + k % 2, 1 + k % 28), 7, "view", float((k * 7919) % 10007)) for k in range(20_000)]
+    days = jobs.daily_sketches(spark.createDataFrame(rows, EVENTS))
+    for r in jobs.monthly_percentiles(days, {"p50": 0.5, "p90": 0.9}).collect():
+        values = np.sort([x[4] for x in rows if x[1].month == int(r["month"][5:])])
+        assert r["records"] == len(values)
+        for name, p in (("p50", 0.5), ("p90", 0.9)):
+            assert abs(np.searchsorted(values, r[name]) / len(values) - p) <= 0.01
