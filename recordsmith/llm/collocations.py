@@ -21,7 +21,9 @@ CHUNK = 4 << 20
 #: Bits of the fixed-size bitmap that tells tasks which phrases can be frequent (8 MB, whatever the corpus).
 BITS = 1 << 26
 #: Counters that pairs, and longer phrases, share by their hash before they are counted exactly (a byte each for counts to 255).
-COUNTERS = 1 << 22
+COUNTERS = 1 << 24
+#: Elements of stripes that a task adds up before it sends them on.
+HELD = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,26 +100,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
 Counts = tuple[list[np.ndarray], np.ndarray, np.ndarray]
 
 
-def _stripes(w: Words, counts: Counts) -> pa.RecordBatch:
-    """The stripes of phrases that are sorted by prefix."""
+def _elements(w: Words, counts: Counts) -> pa.Table:
+    """Counted phrases as rows (lang, words, prefix, next, n)."""
     prefix, following, n = counts
-    lang = w.lang[following]
-    new = np.zeros(len(following), bool)
-    new[:1] = True
-    for x in [lang, *prefix]:
-        new[1:] |= x[1:] != x[:-1]
+    lang = pa.array(w.langs, pa.string()).take(pa.array(w.lang[following]))
+    names = [w.words.take(pa.array(x)) for x in prefix]
+    name = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())).cast(pa.string()) if names else pa.array([""] * len(following), pa.string())
+    return pa.table([lang, pa.array(np.full(len(following), len(prefix) + 1, np.int32)), name, w.words.take(pa.array(following)).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "prefix", "next", "n"])
+
+
+def _stripes(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The elements of some parts added up, as one stripe for each prefix."""
+    if not parts:
+        return
+    by = ["lang", "words", "prefix"]
+    rows = pa.concat_tables(parts).group_by([*by, "next"]).aggregate([("n", "sum")]).sort_by([(c, "ascending") for c in by]).combine_chunks()
+    columns = [rows.column(c).combine_chunks() for c in by]
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
     first = np.flatnonzero(new)
-    ends = np.concatenate([first, [len(following)]]).astype(np.int32)
-    names = [w.words.take(pa.array(x[first])) for x in prefix]
-    name = pc.binary_join_element_wise(*names, pa.scalar(" ", pa.large_string())) if names else pa.array([""] * len(first))
-    columns = [
-        pa.array([w.langs[k] for k in lang[first]], pa.string()),
-        pa.array(np.full(len(first), len(prefix) + 1, np.int32)),
-        name.cast(pa.string()),
-        pa.ListArray.from_arrays(pa.array(ends), w.words.take(pa.array(following)).cast(pa.string())),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(n.astype(np.int64))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+    ends = pa.array(np.concatenate([first, [rows.num_rows]]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, rows.column(c).combine_chunks()) for c in ("next", "n_sum")]
+    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in columns], *lists], schema=_SCHEMA)
 
 
 def _in(bitmap: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
@@ -127,8 +131,7 @@ def _in(bitmap: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
 
 def count_words(w: Words) -> Iterator[Counts]:
     """The stripe of the empty prefix, one for each language."""
-    order = np.argsort(w.lang, kind="stable")
-    yield [], order, np.bincount(w.ids, minlength=len(w.lang))[order]
+    yield [], np.arange(len(w.lang)), np.bincount(w.ids, minlength=len(w.lang))
 
 
 def count_pairs(w: Words, frequent: np.ndarray, sketch: np.ndarray | None) -> Iterator[Counts]:
@@ -153,10 +156,8 @@ def count_longer(w: Words, frequent: np.ndarray, sketch: np.ndarray | None, long
         codes, grams = pd.factorize(code[at] * size + w.ids[np.minimum(at + k, len(w.ids) - 1)])
         words = [*(x[grams // size] for x in words), grams % size]
         may = np.ones(len(grams), bool) if sketch is None else _in(sketch, [h[x] for x in words])
-        n, order = np.bincount(codes, minlength=len(grams)), np.argsort(grams)
-        order = order[may[order]]
-        if len(order):
-            yield [x[order] for x in words[:-1]], words[-1][order], n[order]
+        if may.any():
+            yield [x[may] for x in words[:-1]], words[-1][may], np.bincount(codes, minlength=len(grams))[may]
         code = np.full(len(w.ids) + 1, -1)
         code[at[may[codes]]] = codes[may[codes]]
 
@@ -171,13 +172,17 @@ def _sketched(w: Words, counts: Counts, sketch: np.ndarray | None) -> Iterator[C
 
 
 def stripes(docs: DataFrame, count: Callable[[Words], Iterator[Counts]]) -> DataFrame:
-    """Rows (lang, words, prefix, next, n): partial stripes of docs (lang, text), added up within CHUNK bytes of text."""
+    """Rows (lang, words, prefix, next, n): the stripes of docs (lang, text), added up within a task as far as HELD elements go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for w in _chunks(batches):
             if len(w.lang):
-                for counts in count(w):
-                    yield _stripes(w, counts)
+                held += [_elements(w, counts) for counts in count(w)]
+            if sum(t.num_rows for t in held) > HELD:
+                yield from _stripes(held)
+                held = []
+        yield from _stripes(held)
 
     return docs.mapInArrow(run, _STRIPE)
 
