@@ -22,6 +22,8 @@ BLOCK_BYTES = 8_000_000
 #: Share of an item's words that may differ.
 EDITS = 0.2
 EMBEDDINGS, SAMPLES, BITS = 6, 8, 3
+#: Words of the windows that are embedded at once (about 100 bytes each), but one window at least.
+WINDOW_WORDS = 1 << 19
 
 #: ASCII letters and digits and everything outside ASCII make words.
 _TABLE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -168,8 +170,9 @@ def leaks(words: list[bytes], block: Block) -> list[tuple[int, int, int, int]]:
         k, order = edits_allowed(n), np.array(sorted(at))
         padded = np.concatenate([ids, np.full(n, -1)])
         hits: dict[int, list[int]] = defaultdict(list)
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
+        step = max(1, min(4096, WINDOW_WORDS // n))
+        for lo in range(0, len(order), step):
+            part = order[lo : lo + step]
             for s, row in zip(part.tolist(), keys(padded[part[:, None] + np.arange(n)]).tolist(), strict=True):
                 for key in row:
                     for item in block.lsh.get(key, ()):

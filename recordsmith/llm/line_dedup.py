@@ -21,7 +21,7 @@ def _digest(*parts: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
-def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
+def fingerprints(docs: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """Rows (id, h, m, pos, fp, matches), one for each selected line of a document of m lines.
 
     A line is selected when its hash is the least of some window of `run`
@@ -29,7 +29,8 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     matches are the windows that selected it, from the lines
     before it to those after: (j, their line numbers, digest of their lines). Any
     two equal windows select the same line. A document of fewer lines is one
-    window, which only matches whole documents of as many lines.
+    window, which only matches whole documents of as many lines. With long_words a line of so
+    many words is selected as a window of its own, too.
     """
     id_, h = identity()
     numbered = F.transform(F.split(text_or_empty(), "\n"), lambda x, i: F.struct(_trimmed(x).alias("t"), i.alias("at")))
@@ -52,10 +53,15 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     whole = F.struct(F.lit(0).alias("pos"), F.array_min("hs").alias("fp"), F.array(F.struct(F.lit(0).alias("j"), F.col("at"), _digest(F.col("t"), F.col("m")).alias("lines"))).alias("matches"))
     kept = F.when(F.col("m") >= run, F.transform(F.array_distinct("p"), line)).when(F.col("m") > 0, F.array(whole))
+    if long_words:
+        words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+        alone = lambda x, p: F.struct(p.alias("j"), F.array(F.get("at", p)).alias("at"), _digest(x, F.lit(-1)).alias("lines"))
+        long = F.filter(F.transform("t", lambda x, p: F.when(words(x) >= long_words, F.struct(p.alias("pos"), F.get("hs", p).alias("fp"), F.array(alone(x, p)).alias("matches")))), lambda f: f.isNotNull())
+        kept = F.concat(F.coalesce(kept, F.array().cast(lines.select(kept.alias("k")).schema["k"].dataType)), long)
     return lines.select("id", "h", "m", F.explode(kept).alias("f")).select("id", "h", "m", "f.*")
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """Rows (id, h, whole, gone): for each document the numbers of the lines that repeat an earlier run.
 
     whole documents repeat with every line, and their numbers are left out.
@@ -69,7 +75,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     lines and thousands of copies, can be split and stays linear.
     """
     with scratch(docs.sparkSession):
-        places = materialize(fingerprints(docs, run), "fingerprints")
+        places = materialize(fingerprints(docs, run, long_words), "fingerprints")
         place = F.struct("id", "h", "pos")
         shared = materialize(places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp"), "shared")
         candidates = places.join(shared, "fp", "left_semi").select("id", "h", "m", F.explode("matches").alias("w")).select("id", "h", "m", "w.*")
@@ -78,24 +84,25 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
         first = candidates.groupBy("lines").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
         first = materialize(first.select("lines", "a"), "first")
         same = (F.col("id") == F.col("a.id")) & (F.col("h") == F.col("a.h"))
-        later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + run))
+        later = candidates.join(first, "lines").where(~same | (F.col("j") >= F.col("a.j") + F.size("at")))
         gone = later.groupBy("id", "h").agg(F.first("m").alias("m"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
         whole = F.size("gone") == F.col("m")
         return materialize(gone.select("id", "h", whole.alias("whole"), F.when(~whole, F.col("gone")).alias("gone")), "repeated", lasting=True)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, counts: tuple[str, str] | None = None, long_words: int | None = None) -> DataFrame:
     """docs with later repeats of runs of lines deleted; counts names two columns for the lines and the deleted ones.
 
     Lines are compared without white space around them; blank lines are no part
     of a run and stay. A document of which every non-blank line is deleted goes.
     A document without deletions keeps its text exactly (null stays null). Rows
     that agree in doc_id and text are one document and share its fate. No rows
-    give no rows; other columns are kept, whatever their names.
+    give no rows; other columns are kept, whatever their names. With long_words later repeats of
+    single lines of so many words are deleted, too.
     """
     a, b, whole, gone, cut = fresh(docs, "id", "h", "whole", "gone", "cut")
     id_, h = identity()
-    found = repeated_runs(docs, run).withColumnsRenamed({"id": a, "h": b, "whole": whole, "gone": gone})
+    found = repeated_runs(docs, run, long_words).withColumnsRenamed({"id": a, "h": b, "whole": whole, "gone": gone})
     # A merge join at every size, so that disk grows in proportion to the documents.
     left = docs.withColumns({a: id_, b: h}).join(found.hint("merge"), [a, b], "left").where(~F.coalesce(whole, F.lit(False))).withColumn(cut, F.split(text_or_empty(), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))

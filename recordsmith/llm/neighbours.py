@@ -15,8 +15,11 @@ from .common import materialize, scratch
 SHARD = 8192
 #: Queries that search a shard in one task on average.
 QUERIES = 50_000
-#: Edges that leave a node, nodes of a beam, and how much farther than direct a way round may be for an edge to go.
-DEGREE, BEAM, RELAXED = 32, 64, 1.2
+#: Edges that leave a node, nodes of a beam when a graph is built and when it is searched, and how much farther than
+#: direct a way round may be for an edge to go.
+DEGREE, BUILD_BEAM, BEAM, RELAXED = 32, 64, 128, 1.2
+#: A shard's longest vectors, where every search begins, too.
+LONGEST = 32
 #: Beam nodes that are expanded at once.
 _AT_ONCE = 4
 
@@ -25,8 +28,8 @@ _FOUND = "query_id long, query_hash long, vec_id array<long>, score array<double
 
 
 def _distances(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances of unit vectors x[ids] to q, row by row; infinite for the padding node."""
-    d = 2 - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0]
+    """Negative inner products of vectors x[ids] and q, row by row; infinite for the padding node."""
+    d = -np.matmul(x[ids], q[:, :, None])[:, :, 0]
     d[ids == len(x) - 1] = np.inf
     return d
 
@@ -40,9 +43,9 @@ def _alone(ids: np.ndarray, nothing: int) -> np.ndarray:
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the width nearest nodes of each query, nearest first; all nodes it expanded), padded with the node after the last.
+    """(the width best nodes of each query, best first; all nodes it expanded), padded with the node after the last.
 
-    Greedy search: the nearest nodes of the beam that are not expanded yet bring
+    Greedy search by inner products: the best nodes of the beam that are not expanded yet bring
     in their neighbours, until the beam holds expanded nodes only. x and near end with a row of padding.
     """
     nothing, rows = len(x) - 1, np.arange(len(q))[:, None]
@@ -79,7 +82,7 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
         me, ids = of[at : at + 256], candidates[at : at + 256].copy()
         ids[ids == me[:, None]] = nothing
         ids = _alone(ids, nothing)
-        d = _distances(x, ids, x[me])
+        d = 2 + 2 * _distances(x, ids, x[me])  # squared distances of unit vectors
         order = np.argsort(d, axis=1)
         ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
         between = (2 - 2 * np.matmul(v := x[ids], v.transpose(0, 2, 1))) * relaxed**2
@@ -94,7 +97,7 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     return np.concatenate(out) if out else np.zeros((0, degree), int)
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(edges, entries) over unit vectors x, of which the last row is padding.
 
     Nodes come in random order, in batches that grow with the graph. Each batch
@@ -139,15 +142,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int
         entries = np.append(entries, np.argmin(reached))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Vectors of one length as float32, with a coordinate that brings all to the norm of the longest, and a row of padding.
+def _padded(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
 
-    Distances then order these as inner products with the vectors themselves do.
-    """
-    x = vectors / np.abs(vectors).max()
-    x = x / np.sqrt((x * x).sum(axis=1)).max()
-    rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-    return np.concatenate([np.column_stack([x, rest]), np.zeros((1, x.shape[1] + 1))]).astype(np.float32)
+
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as unit vectors; components of any size are brought down first."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -171,7 +173,9 @@ def build_index(rows: DataFrame, k: int = 20, shard: int = SHARD) -> DataFrame:
 
     Copies of a vector are one node, with their k+1 least ids: no query's k nearest can need more,
     whatever id is its own. Nodes are dealt to shards by their hash, among
-    vectors of their length; a shard is one graph and one task.
+    vectors of their length; a shard is one graph and one task. The graph is that of their directions, so
+    long vectors don't stand apart in it; a search orders what it meets by inner products,
+    and begins at the longest vectors and at the middle.
     """
     distinct = _usable(rows).groupBy("dim", "hash", "vec", "vec_id").agg(F.lit(1).alias("one"))
     least = distinct.withColumn("place", F.row_number().over(Window.partitionBy("dim", "hash", "vec").orderBy("vec_id"))).where(F.col("place") <= k + 1)
@@ -182,9 +186,12 @@ def build_index(rows: DataFrame, k: int = 20, shard: int = SHARD) -> DataFrame:
     def build(part: pa.Table) -> pa.Table:
         dim = part.column("dim")[0].as_py()
         part = part.take(pa.array(np.argsort([i[0].as_py() for i in part.column("ids")], kind="stable")))
-        near, entries = build_graph(_unit(_matrix(part.column("vec"), dim)))
+        vectors = _matrix(part.column("vec"), dim)
+        near, entries = build_graph(_padded(_directions(vectors)))
+        scaled = vectors / np.abs(vectors).max()
         entry = np.zeros(part.num_rows, bool)
         entry[entries] = True
+        entry[np.argsort(-(scaled * scaled).sum(axis=1), kind="stable")[:LONGEST]] = True
         made = [part.column("dim"), part.column("shard"), pa.array(np.arange(part.num_rows, dtype=np.int32)), pa.array(entry), part.column("vec"), part.column("ids"), _edges(near[:-1])]
         return pa.table(made, names=["dim", "shard", "node", "entry", "vec", "ids", "near"])
 
@@ -195,7 +202,8 @@ def _found(index: pa.Table, queries: pa.Table, k: int, beam: int) -> Iterator[pa
     """The k+1 best ids that a shard has for each query, with their exact scores."""
     index = index.sort_by("node")
     dim, n = index.column("dim")[0].as_py(), index.num_rows
-    vectors, x = (v := _matrix(index.column("vec"), dim)), _unit(v)
+    vectors = _matrix(index.column("vec"), dim)
+    x = _padded(vectors / np.abs(vectors).max())
     lists = index.column("near").combine_chunks()
     counts, near = np.diff(lists.offsets.to_numpy()), np.full((n + 1, max(1, DEGREE)), n)
     near[np.repeat(np.arange(n), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = lists.flatten().to_numpy()
@@ -204,9 +212,7 @@ def _found(index: pa.Table, queries: pa.Table, k: int, beam: int) -> Iterator[pa
     for at in range(0, queries.num_rows, size):
         part = queries.slice(at, size)
         q = _matrix(part.column("vec"), dim)
-        scaled = q / np.abs(q).max(axis=1, keepdims=True)
-        scaled /= np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
-        nearest, _ = beam_search(x, near, entries, np.column_stack([scaled, np.zeros(len(q))]).astype(np.float32), max(beam, 2 * k))
+        nearest, _ = beam_search(x, near, entries, _directions(q).astype(np.float32), max(beam, 2 * k))
         vec_id, score = [], []
         for row, v in zip(nearest, q, strict=True):
             row = row[row < n]

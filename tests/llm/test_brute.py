@@ -123,8 +123,8 @@ def test_license_edits(spark):
     assert [r["labels"] for r in got] == ["isc", "", ""]
 
 
-def deduped(rows, run=3):
-    """Plain form of the line dedup: rows sorted by id, text; later windows of `run` lines go."""
+def deduped(rows, run=3, long=None):
+    """Plain form of the line dedup: rows sorted by id, text; later windows of `run` lines go, and later lines of `long` words."""
     lines = {k: [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((k[1] or "").split("\n"))] for k in rows}
     lines = {k: [(i, x) for i, x in v if x] for k, v in lines.items()}
     seen, gone = {}, {k: set() for k in rows}
@@ -134,9 +134,10 @@ def deduped(rows, run=3):
             windows = [(0, (len(v), *[x for _, x in v]))] if v else []
         else:
             windows = [(j, tuple(x for _, x in v[j : j + run])) for j in range(len(v) - run + 1)]
-        for j, w in windows:
-            if w in seen and (seen[w][0] != k or j >= seen[w][1] + run):
-                gone[k] |= {i for i, _ in v[j : j + run]}
+        windows = [(j, w, run) for j, w in windows] + [(j, ("long", x), 1) for j, (_, x) in enumerate(v) if long and len(x.split()) >= long]
+        for j, w, n in windows:
+            if w in seen and (seen[w][0] != k or j >= seen[w][1] + n):
+                gone[k] |= {i for i, _ in v[j : j + n]}
             seen.setdefault(w, (k, j))
     out = []
     for k, n in rows.items():
@@ -154,6 +155,10 @@ def test_line_dedup_everywhere(spark, docs):
     rows += [(2000, "p\nq\nr\np\nq\nr\np\nq"), (2001, "  p\n\nq \n\tr"), (2002, "h\n" * 500), (2003, "h\n" * 400)]
     got = Counter(repr((r["doc_id"], r["text"])) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
     assert got == deduped(Counter(rows))
+    line = lambda k: " ".join(f"{c}{k}" for c in "abcdefgh")
+    rows += [(3000 + k, "\n".join([line(k % 7), f"only {k}", line(k % 5), line(k % 7)][: k % 4 + 1])) for k in range(60)]
+    got = Counter(repr((r["doc_id"], r["text"])) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), long_words=8).collect())
+    assert got == deduped(Counter(rows), long=8)
 
 
 def test_winnowing_finds_what_it_keeps(spark):
@@ -301,6 +306,42 @@ def test_passages_with_null_and_repeated_ids(spark):
     assert (within[7]["start_word"], within[7]["n_words"], within[7]["other_start"]) == (110, 80, 0)
 
 
+def test_repeats_within_a_text_against_all_runs():
+    """Every word of a run of `least` words that stands earlier, apart, is reported, and no other word."""
+    rng = random.Random(16)
+    for case in range(300):
+        least = rng.choice([3, 5, 8])
+        words = [rng.choice([b"a", b"b", b"c", b"d", b"e", b"f"][: rng.choice([1, 2, 4, 6])]) for _ in range(rng.randrange(0, 70))]
+        if case % 3 == 0:
+            words += words[5:40] + [b"x"] + words[12:30]
+        runs = [tuple(words[p : p + least]) for p in range(len(words) - least + 1)]
+        want = {p + i for p, w in enumerate(runs) if any(runs[q] == w for q in range(p - least + 1)) for i in range(least)}
+        got = substring_dedup.own_repeats(words, least)
+        assert {p + i for p, n, _ in got for i in range(n)} == want
+        assert all(words[p : p + n] == words[q : q + n] and n >= least and q + least <= p for p, n, q in got)
+
+
+def test_repeats_within_a_text_survive_edits(spark):
+    rng = random.Random(17)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    p = some(60)
+    rows = [(1, p + some(20) + p[27:33] + some(20) + p), (2, p[:30] + some(1) + p[30:] + some(20) + p), (3, p + some(9) + p + some(9) + p)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)
+    got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["other_start"]) for r in substring_dedup.repeated_within(df).collect())
+    assert got == [(1, 106, 60, 0), (3, 69, 60, 0), (3, 138, 60, 0)]
+
+
+def test_long_items_are_embedded_few_at_a_time():
+    rng = random.Random(18)
+    item = [f"i{rng.randrange(10**5)}".encode() for _ in range(3000)]
+    copy = list(item)
+    for at in rng.sample(range(3000), 200):
+        copy[at] = b"x"
+    block = decontamination.Block.of([(1, b" ".join(item).decode())])
+    found = decontamination.leaks([b"w"] * 50 + copy + [b"w"] * 50, block)
+    assert len(found) == 1 and found[0][3] <= 600
+
+
 def test_passages_recall_at_the_threshold(spark):
     rng = random.Random(15)
     common = [f"c{k}" for k in range(3000)]
@@ -329,7 +370,7 @@ def test_pipeline_stages_one_by_one(spark, docs, labels):
     first = corpus_pipeline.quality(spark, docs, SF)
     assert sorted(r["doc_id"] for r in first.collect()) == sorted(good)
     second = corpus_pipeline.line_dedup(spark, first, SF)
-    assert Counter(repr((r["doc_id"], r["text"])) for r in second.collect()) == deduped(Counter((r["doc_id"], r["text"]) for r in first.collect()))
+    assert Counter(repr((r["doc_id"], r["text"])) for r in second.collect()) == deduped(Counter((r["doc_id"], r["text"]) for r in first.collect()), long=50)
     third = corpus_pipeline.near_dedup(spark, second, SF)
     fourth = corpus_pipeline.decontamination(spark, third, SF)
     assert {r["doc_id"] for r in third.collect()} - {r["doc_id"] for r in fourth.collect()} == {r["doc_id"] for r in decontamination.find_leaks(third, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}

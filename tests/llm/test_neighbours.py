@@ -91,7 +91,7 @@ def test_odd_rows(spark):
 
 def test_graph_reaches_every_node():
     rng = np.random.default_rng(1)
-    x = N._unit(np.concatenate([rng.normal(size=(200, 8)) * 0.01 + 9, rng.normal(size=(200, 8)) * 0.01 - 9, np.eye(8)]))
+    x = N._padded(N._directions(np.concatenate([rng.normal(size=(200, 8)) * 0.01 + 9, rng.normal(size=(200, 8)) * 0.01 - 9, np.eye(8)])))
     near, entries = N.build_graph(x, degree=6, beam=12)
     reached, edge = set(entries.tolist()), list(entries.tolist())
     while edge:
