@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, safe_href
+from ..functions.html import html_to_text
+from ..functions.text import fold, instruction_risk, safe_href
+from ..sources.archives import explode_members, package_documents, package_fields, package_order
 from ..sources.staging import staged
 
 # Names, markup and words that tell the kinds of pages.
@@ -98,6 +100,45 @@ def reading_order(manifest: DataFrame, spine: DataFrame, guide: DataFrame, *, bo
     return both.groupBy(book, "href").agg(F.min("position").alias("position"))
 
 
+# Bytes of all candidate pages of an archive, and what is read of a page at least.
+SCAN_BYTES, SCAN_CHARS, PAGE_BYTES = 4 * 1024 * 1024, 20_000, 256 * 1024
+
+
+def archive_evidence(archives: DataFrame, limit: int = 12_000) -> DataFrame:
+    """(path, status, titles, authors, identifiers, publisher, date, language, evidence, suspicious) of (path, content) archives.
+
+    From members and package documents over the reading order to classified pages: the first title
+    and copyright page of each archive, within the limit. status is ok, no package, or scan limit
+    where an archive's candidate pages are too large together; only ok archives have evidence.
+    Members are unpacked once and written.
+    """
+    members = staged(explode_members(archives), "members")
+    packages = staged(package_documents(members), "packages")
+    fields = package_fields(members)
+    manifest, spine, guide = package_order(packages)
+    order = reading_order(manifest, spine, guide.select("book_id", "href", "base"))
+    said = guide.select("book_id", safe_href(F.col("base"), F.col("href")).alias("href"), "pos", "kind").where("href is not null")
+    said = said.groupBy("book_id", "href").agg(F.min("pos").alias("first"), F.max_by("kind", "pos").alias("kind"))
+    scan = max(SCAN_CHARS, 2 * limit)
+    small = members.where((F.col("status") == "ok") & (F.col("size") <= max(PAGE_BYTES, 4 * scan))).select(F.col("path").alias("book_id"), F.col("name").alias("href"), "size", "content")
+    found = staged(order.join(small, ["book_id", "href"]).join(said, ["book_id", "href"], "left"), "candidates")
+    large = found.groupBy("book_id").agg(F.sum("size").alias("scanned")).where(F.col("scanned") > SCAN_BYTES).select("book_id")
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    names = fields.select(F.col("path").alias("book_id"), "titles", "authors")
+    pages = found.join(large, "book_id", "left_anti").join(names, "book_id").select(
+        "book_id", F.struct(F.coalesce("first", F.lit(0)).alias("first"), "href").alias("page_id"), F.col("href").alias("name"), raw.alias("raw"),
+        F.substring(html_to_text(raw), 1, scan).alias("text"), "position", F.array_compact(F.array("kind")).alias("guide_kinds"), "titles", "authors",
+    )
+    judged = staged(classify_pages(pages.where("text <> ''")).where(F.size("kinds") > 0).select("book_id", "page_id", "text", "position", "kinds"), "pages")
+    first = first_page_per_kind(judged).withColumnRenamed("position", "_at").join(judged.drop("kinds", "position"), ["book_id", "page_id"])
+    chosen = first.withColumn("position", F.struct("_at", "page_id"))
+    texts = bounded_evidence(chosen, limit).withColumnRenamed("book_id", "path")
+    out = archives.select("path").join(fields, "path", "left").join(texts, "path", "left").join(large.select(F.col("book_id").alias("path"), F.lit(True).alias("_large")), "path", "left")
+    status = F.when(F.col("titles").isNull(), "no package").when(F.col("_large"), "scan limit").otherwise("ok")
+    evidence = F.when(status == "ok", F.coalesce("evidence", F.lit("")))
+    return out.select("path", status.alias("status"), "titles", "authors", "identifiers", "publisher", "date", "language", evidence.alias("evidence"), (F.coalesce(instruction_risk(evidence), F.lit(0)) >= 2).alias("suspicious"))
+
+
 # The limits of a container that is read.
 CONTAINER, CONTAINER_BYTES, RATIO, RATIO_FROM = "META-INF/container.xml", 256 * 1024, 200, 128 * 1024
 

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 # The timings and the usage measures of a lookup record.
 TIMINGS = ("queue_wait_seconds", "fingerprint_seconds", "cache_lookup_seconds", "epub_extraction_seconds", "provider_seconds", "search_seconds", "validation_seconds", "retrieval_seconds", "review_wait_seconds", "apply_seconds")
 COUNTERS = ("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "web_search_calls", "hosted_web_search_calls", "searxng_search_calls")
@@ -182,9 +184,9 @@ def summarize_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def summarize_grouping_sets(df: DataFrame) -> DataFrame:
-    """All eight comparisons in one pass: (comparison, key, measures...)."""
+    """All eight comparisons: (comparison, key, measures...); the rows and their keys are made once and written."""
     keys = group_keys()
-    wide = df.withColumns({f"_k_{k}": c for k, c in keys.items()})
+    wide = staged(df.withColumns({f"_k_{k}": c for k, c in keys.items()}), "keyed")  # read by the sums, the sketch, the sizes and the ranks
     names = [f"_k_{k}" for k in keys]
     grouped = wide.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(F.grouping_id().alias("_g"), *measures(df))
     which, key = F.lit(None).cast("string"), F.coalesce(*[F.col(n) for n in names])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from html import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_text
@@ -46,6 +51,50 @@ add(
     // count(*) OVER (PARTITION BY k.book_id)) AS BIGINT)) AS c FROM fk k JOIN kd ON kd.page_id = k.page_id) SELECT book_id, substr(string_agg(c,
     concat(chr(10), chr(10)) ORDER BY position), 1, 600) AS evidence FROM n GROUP BY 1""",
 )
+_NAMES = ("titlepage", "copyright", "chapter", "p", "p")
+
+
+def _page_archives(v):
+    """An archive of each ten pages, packed in the tasks: container, package with titles, authors, order and guide, and the pages."""
+    said = _pages(v).select("page_id", "raw", F.get("titles", F.lit(0)).alias("title"), F.get("authors", F.lit(0)).alias("author"))
+    more = F.when(F.col("page_id") % 3 == 0, "<p>Copyright 2024. All rights reserved. ISBN 1</p>").otherwise("")
+
+    def pack(book: pd.DataFrame) -> pd.DataFrame:
+        book = book.sort_values("page_id")
+        names = [f"text/{_NAMES[k % 5]}-{k}.xhtml" for k in book["page_id"]]
+        named = "".join(f"<dc:title>{escape(t or '')}</dc:title><dc:creator>{escape(a or '')}</dc:creator>" for t, a in zip(book["title"], book["author"], strict=True))
+        items = "".join(f'<item href="{n}#x" media-type="application/xhtml+xml" id="i{k}"/>' for k, n in zip(book["page_id"], names, strict=True))
+        refs = "".join(f"<itemref idref='i{k}'/>" for k in book["page_id"])
+        guide = "".join(f'<reference type="Copyright-Page" href="{n}"/>' for k, n in zip(book["page_id"], names, strict=True) if k % 11 == 0)
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", "<container><rootfile full-path='OEBPS/content.opf'/></container>")
+            z.writestr("OEBPS/content.opf", f"<package xmlns:dc='d'><!-- <itemref idref='none'/> -->{named}<manifest>{items}</manifest><spine>{refs}</spine><guide>{guide}</guide></package>")
+            for n, html in zip(names, book["raw"], strict=True):
+                z.writestr(f"OEBPS/{n}", html)
+        return pd.DataFrame({"path": [str(book["page_id"].iloc[0] // 10)], "content": [raw.getvalue()]})
+
+    return said.withColumn("raw", F.concat("raw", more)).groupBy(F.floor(F.col("page_id") / 10)).applyInPandas(pack, "path string, content binary")
+
+
+_CLEAN = f"trim(regexp_replace(title, '{_WS}', ' ', 'g'))"
+add(
+    "e4_archive_evidence",
+    lambda v: evidence.archive_evidence(_page_archives(v), 600).select("path", "status", F.size("titles").cast("long").alias("titles"), "evidence", "suspicious"),
+    rf"""WITH pg AS (SELECT page_id, page_id // 10 AS book_id, CAST(CASE WHEN page_id % 11 = 0 THEN -1 ELSE page_id % 10 END AS INT) AS position, trim(regexp_replace(concat({_PLAIN}, CASE WHEN page_id % 3 = 0 THEN ' Copyright 2024. All rights reserved. ISBN 1' ELSE '' END), '{_WS}', ' ', 'g')) AS text,
+    substr(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), 1, 12) AS title FROM pages),
+    ot AS (SELECT book_id, list(replace(lower({_CLEAN}), 'ß', 'ss')) AS ts, list(CASE WHEN page_id % 2 = 0 THEN 'zzzz' ELSE replace(lower(trim(substr({_CLEAN}, 1, 5))), 'ß', 'ss') END) AS aus, count(*) FILTER (WHERE {_CLEAN} <> '') AS titles FROM pg GROUP BY 1),
+    fl AS (SELECT pg.*, ot.titles, replace(lower(text), 'ß', 'ss') AS low, ts, aus, regexp_matches(text, '(?i)copyright|©|&#169;') AS marked, regexp_matches(text, '(?i)ISBN(-1[03])?|all rights reserved|published by|(first|revised|updated) edition|imprint') AS supported FROM pg JOIN ot ON ot.book_id = pg.book_id WHERE text <> ''),
+    hs AS (SELECT *, len(list_filter(ts, lambda t: length(t) >= 3 AND contains(low, t))) > 0 AS has_title, len(list_filter(aus, lambda a: length(a) >= 3 AND contains(low, a))) > 0 AS has_author FROM fl),
+    kd AS (SELECT *, ((page_id % 11 = 0 OR page_id % 5 = 1) AND (marked OR supported)) OR (page_id % 5 <> 2 AND marked AND supported) AS is_copyright,
+     (page_id % 5 = 0 AND position < 8 AND length(text) <= 5000 AND has_title) OR (page_id % 5 <> 2 AND position < 8 AND length(text) <= 3000 AND has_title AND has_author) AS is_title FROM hs),
+    each_ AS (SELECT page_id, book_id, position, text, 'copyright' AS kind FROM kd WHERE is_copyright UNION ALL SELECT page_id, book_id, position, text, 'title' FROM kd WHERE is_title),
+    fp AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY book_id, kind ORDER BY position) = 1),
+    fk AS (SELECT book_id, page_id, position, any_value(text) AS text, string_agg(kind, ' and ' ORDER BY kind) AS kinds FROM fp GROUP BY 1, 2, 3),
+    n AS (SELECT book_id, position, substr(concat('[', kinds, ' page]', chr(10), text), 1, CAST(greatest(1, 600 // count(*) OVER (PARTITION BY book_id)) AS BIGINT)) AS c FROM fk),
+    ev AS (SELECT book_id, substr(string_agg(c, concat(chr(10), chr(10)) ORDER BY position), 1, 600) AS evidence FROM n GROUP BY 1)
+    SELECT CAST(ot.book_id AS VARCHAR) AS path, 'ok' AS status, titles, coalesce(evidence, '') AS evidence, false AS suspicious FROM ot LEFT JOIN ev ON ev.book_id = ot.book_id""",
+)
 add(
     "w6_running_byte_budget",  # fifty documents as the members of one archive
     lambda v: evidence.running_byte_budget(v.documents.select("doc_id", F.floor(F.col("doc_id") / 50).alias("archive"), "n_chars"), 100_000, group="archive", order="doc_id", size="n_chars").select("doc_id", "archive", "running", "over_budget"),

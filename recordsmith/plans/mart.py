@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ..operators import catalog, enrich, journal, metrics, pricing, review
+from ..sources import tables
+from ..sources.staging import shared_folder
 from .registry import add
 
 NOW = datetime(2024, 1, 31)
@@ -338,7 +341,7 @@ def _cached(v):
     p = priced(v)
     keyed = p.withColumn("cache_key", F.concat_ws("|", F.col("book_id").cast("string"), "model", "preset"))
     first = keyed.groupBy("cache_key").agg(F.min("lookup_id").alias("first_id"), F.min_by("estimated_cost_usd", "lookup_id").alias("estimated_cost_usd"))
-    asks = keyed.select("lookup_id", "cache_key", (F.col("k") % 9 == 0).alias("force_refresh"))
+    asks = keyed.select("lookup_id", "cache_key", "input_tokens", "total_tokens", (F.col("k") % 9 == 0).alias("force_refresh"))
     return enrich.cache_lookup(asks, first.where("first_id % 3 > 0"))
 
 
@@ -399,3 +402,34 @@ add(
     k.lookup_id = c.f), x AS (SELECT cc.cache_key IS NOT NULL AND a.k % 9 <> 0 AS hit, CASE WHEN a.k % 9 <> 0 THEN cc.e END AS e FROM keyed a LEFT JOIN cc
     ON cc.cache_key = a.cache_key) SELECT hit, count(*) AS requests, round(coalesce(sum(e), 0), 6) AS avoided_cost FROM x GROUP BY 1""",
 )
+
+
+#: Timings, counters and costs that the lookups lack, as SQL over lookup_id and k; the same text runs in Spark and DuckDB.
+_TIMES = {t: f"CASE WHEN k % {i + 4} = 0 THEN NULL ELSE (lookup_id % {50 + i}) * CAST(0.25 AS DOUBLE) END" for i, t in enumerate(metrics.TIMINGS)}
+_WHOLE = _TIMES | {"reasoning_tokens": "lookup_id % 70", "web_search_calls": "lookup_id % 5", "hosted_web_search_calls": "lookup_id % 2", "searxng_search_calls": "lookup_id % 5 - lookup_id % 2", "estimated_cost_usd": "CASE WHEN k % 6 > 0 THEN (lookup_id % 9) * CAST(0.5 AS DOUBLE) END", "estimated_avoided_cost_usd": "CASE WHEN cache_hit THEN CAST(0.25 AS DOUBLE) END"}
+_KEPT = ("lookup_id", "book_id", "session_id", "provider", "search_provider", "model", "preset", "cache_hit", "outcome", "batch_size", "input_tokens", "cached_tokens", "output_tokens", "total_tokens")
+
+
+def _whole(v):
+    """Lookups with all columns of an export, the time as text."""
+    return v.lookups.select(*_KEPT, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), *[F.expr(x).alias(c) for c, x in _WHOLE.items()])
+
+
+def _all_columns(v):
+    out = f"{shared_folder(v.spark)}/queries/csv-{uuid.uuid4().hex}"
+    df = metrics.export_columns(_whole(v))
+    assert tuple(df.columns) == metrics.EXPORT
+    tables.write_csv(df, out, metrics.EXPORT)
+    return v.spark.read.option("header", "true").schema(df.schema).csv(out)
+
+
+_ALL = f"SELECT {', '.join(_KEPT)}, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, {', '.join(f'{x} AS {c}' for c, x in _WHOLE.items())} FROM lookups"
+add("s11_csv_all_columns", _all_columns, _ALL)
+add("a5_all_timings", lambda v: metrics.timing_breakdown(_whole(v)), " UNION ALL ".join(f"SELECT '{t}' AS timing, round(avg({t}), 4) AS average FROM ({_ALL})" for t in metrics.TIMINGS))
+add(
+    "j1_cached_usage",
+    lambda v: _cached(v).select("lookup_id", "hit", "input_tokens", "total_tokens", "reasoning_tokens"),
+    f"""{_PRICED.rstrip()}, keyed AS (SELECT *, concat_ws('|', CAST(book_id AS VARCHAR), model, preset) AS cache_key FROM priced), c AS (SELECT cache_key FROM keyed GROUP BY 1 HAVING min(lookup_id) % 3 > 0),
+    h AS (SELECT a.*, c.cache_key IS NOT NULL AND a.k % 9 <> 0 AS hit FROM keyed a LEFT JOIN c ON c.cache_key = a.cache_key)
+    SELECT lookup_id, hit, CASE WHEN hit THEN 0 ELSE input_tokens END AS input_tokens, CASE WHEN hit THEN 0 ELSE total_tokens END AS total_tokens, CAST(CASE WHEN hit THEN 0 END AS BIGINT) AS reasoning_tokens FROM h""",
+)

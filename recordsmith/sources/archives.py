@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.html import decode_entities
 from ..functions.text import safe_path
 
 # The limits of a member scan.
@@ -79,19 +80,54 @@ def _members(path: str, content: bytes | None) -> Iterator[tuple]:
         yield path, i.filename, i.file_size, i.compress_size, locked, status, body
 
 
-def package_fields(members: DataFrame) -> DataFrame:
-    """(path, titles, authors, identifiers, publisher, date, language) from the package document that the container names.
+def package_documents(members: DataFrame) -> DataFrame:
+    """(path, name, xml): the package document that each archive's container names, with a simple document type taken out.
 
-    White space is collapsed and empty values dropped. A simple external document type is
-    taken out and never resolved; an internal subset, a second declaration or an entity is refused,
-    so nothing is left to expand. A refused or malformed document gives no row.
+    It is never resolved; a document with an internal subset, a second declaration or an entity is
+    refused, so nothing is left to expand.
     """
     named = members.where((F.col("name") == "META-INF/container.xml") & F.col("content").isNotNull()).select("path", _without_doctype(F.col("content").cast("string")).alias("xml"))
     root = F.regexp_extract("xml", r"""<(?:[\w.-]+:)?rootfile\b[^>]*?\bfull-path\s*=\s*["']([^"']*)["']""", 1)
     wanted = named.select("path", safe_path(root).alias("name")).where("name is not null")
     opf = members.where(F.col("content").isNotNull()).join(wanted, ["path", "name"], "left_semi")
-    bare = opf.select("path", _without_doctype(F.col("content").cast("string")).alias("xml")).where("xml is not null")
-    return bare.select("path", _package("xml").alias("p")).select("path", "p.*").where("titles is not null")
+    return opf.select("path", "name", _without_doctype(F.col("content").cast("string")).alias("xml")).where("xml is not null")
+
+
+def package_fields(members: DataFrame) -> DataFrame:
+    """(path, titles, authors, identifiers, publisher, date, language) from the package documents.
+
+    White space is collapsed and empty values dropped. A refused or malformed document gives no row.
+    """
+    return package_documents(members).select("path", _package("xml").alias("p")).select("path", "p.*").where("titles is not null")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of a start tag; '' where it is missing."""
+    quoted = lambda q: F.regexp_extract(tag, rf"(?<![\w:.-]){name}\s*=\s*{q}([^{q}]*){q}", 1)
+    return F.coalesce(F.nullif(quoted('"'), F.lit("")), quoted("'"))
+
+
+def package_order(packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, spine, guide) of package documents, as reading_order() takes them; all on the JVM.
+
+    manifest: (book_id, idref, href, media_type, base), the last of an id; spine: (book_id, pos, idref);
+    guide: (book_id, pos, href, kind, base) of title and copyright pages. Comments are left out.
+    """
+    bare = packages.select(F.col("path").alias("book_id"), F.when(F.instr("name", "/") > 0, F.regexp_replace("name", "/[^/]*$", "")).otherwise("").alias("base"), F.regexp_replace("xml", r"(?s)<!--.*?-->", "").alias("xml"))
+
+    def tags(name: str, **attributes: str) -> DataFrame:
+        found = F.regexp_extract_all("xml", F.lit(rf"<(?:[\w.-]+:)?{name}\b[^>]*>"), F.lit(0))
+        each = bare.select("book_id", "base", F.posexplode(found).alias("pos", "tag"))
+        return each.select("book_id", "base", "pos", *[decode_entities(_attribute(F.col("tag"), a)).alias(c) for c, a in attributes.items()])
+
+    items = tags("item", idref="id", href="href", media_type="media-type").where("idref <> '' and href <> ''")
+    manifest = items.groupBy("book_id", "base", "idref").agg(F.max_by(F.struct("href", "media_type"), "pos").alias("i")).select("book_id", "base", "idref", "i.*")
+    spine = tags("itemref", idref="idref").where("idref <> ''").drop("base")
+    kind = F.lower("type")
+    # The types of references that name a kind of page.
+    named = F.when(kind.isin("title-page", "titlepage", "covertitle"), "title").when(kind.isin("copyright-page", "copyright"), "copyright")
+    guide = tags("reference", href="href", type="type").withColumn("kind", named).where("href <> '' and kind is not null").drop("type")
+    return manifest, spine, guide
 
 
 @F.pandas_udf(_FIELDS)
