@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeats of runs of lines; documents that lose every line go."""
-    return dedup_lines(docs)
+    """Delete later repeats of runs of three lines, and of lines of 50 words; documents that lose every line go."""
+    return dedup_lines(docs, long_words=50)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
