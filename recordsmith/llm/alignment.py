@@ -16,11 +16,13 @@ from .common import materialize, scratch, text_or_empty
 from .token_counts import load
 
 #: Bytes of text that are aligned at once and share one look-up of their irregular pairs; a longer text is a part of its own.
-CHUNK = 4 << 20
-#: Distinct segments that a worker remembers; then it starts anew.
-MEMO = 300_000
-#: Longer segments are aligned but not remembered.
+CHUNK = 2 << 20
+#: Distinct parts of texts that a worker remembers; then it starts anew.
+MEMO = 150_000
+#: Longer parts are aligned but not remembered.
 LONG = 64
+#: Characters of parts that are encoded as one text.
+SLAB = 1 << 15
 #: A pair of ids is one number: the A id above, the B id below.
 LOW = (1 << 32) - 1
 
@@ -75,6 +77,7 @@ class Aligner:
         #: The B id of the same bytes for each A id, -1 where there is none; of two such pieces the one that is no byte.
         of_bytes = {x: k for k, x in sorted(enumerate(self.bytes_b), key=lambda e: not self.b.is_byte(e[0])) if not (self.b.is_control(k) or self.b.is_unknown(k))}
         self.same = np.array([of_bytes.get(x, -1) for x in self.bytes_a], np.int64)
+        self.said = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -83,39 +86,64 @@ class Aligner:
         self.groups: list[str] = []
         self.numbers = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links' first place and number; -1 groups: other bytes
         self.links = np.zeros(0, np.int64)
+        self.held, self.new_numbers, self.new_links = 0, [], []
 
     def _learn(self, parts: list[str]) -> None:
-        """Align parts and append them to the tables."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode(parts, num_threads=1)
-        rows, links, at = [], [], len(self.links)
-        for p, x, y in zip(parts, ids_a, ids_b, strict=True):
-            raw = (" " + p).encode()
-            if b"".join([self.bytes_a[k] for k in x]) != raw or b"".join([self.bytes_b[k] for k in y]) != raw:
-                self.groups.append("")
-                rows.append((0, 0, -1, at, 0))
-                continue
-            if len(x) == 1 == len(y):
-                said, found = f"{x[0]}|{y[0]}", [x[0] << 32 | y[0]]
+        """Align parts and append them to the tables, many in one text where both tokenizers cut between them."""
+        slab, size = [], 0
+        for p in parts:
+            alone = not p or p[0].isspace() or p[-1].isspace()
+            if slab and (alone or size > SLAB):
+                self._append(slab)
+                slab, size = [], 0
+            slab.append(p)
+            size += len(p)
+            if alone:
+                self._append(slab)
+                slab, size = [], 0
+        if slab:
+            self._append(slab)
+
+    def _append(self, parts: list[str]) -> None:
+        """Tables of parts that are encoded as one text; where its bytes are not kept, those of each half."""
+        text = " ".join(parts)
+        x, y, raw = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
+        if b"".join([self.bytes_a[k] for k in x]) != raw or b"".join([self.bytes_b[k] for k in y]) != raw:
+            if len(parts) > 1:
+                self._append(parts[: len(parts) // 2])
+                self._append(parts[len(parts) // 2 :])
             else:
-                said, found = self._cut(x, y)
-            self.groups.append(said)
-            rows.append((len(x), len(y), said.count("|"), at, len(found)))
-            links += found
-            at += len(found)
-        self.numbers = np.concatenate([self.numbers, np.array(rows, np.int64).reshape(-1, 5)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
-
-    def _cut(self, x: list[int], y: list[int]) -> tuple[str, list[int]]:
-        """The groups as text, and the pairs of tokens that end together: the last two of each group."""
-        ends_a, ends_b = np.cumsum(self.size_a[x]), np.cumsum(self.size_b[y])
-        _, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        said, found, a, b = [], [], 0, 0
-        for m, n in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            said.append(",".join(map(str, x[a:m])) + "|" + ",".join(map(str, y[b:n])))
-            found.append(x[m - 1] << 32 | y[n - 1])
-            a, b = m, n
-        return ";".join(said), found
+                self._table([""], np.array([[0, 0, -1, 0]]), np.zeros(0, np.int64))
+            return
+        ids_a, ids_b = np.array(x, np.int64), np.array(y, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        both, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        begin_a, begin_b = np.concatenate([[0], i[:-1] + 1]), np.concatenate([[0], j[:-1] + 1])
+        said_a, said_b = [self.said[k] for k in x], [self.said[k] for k in y]
+        single = ((begin_a == i) & (begin_b == j)).tolist()
+        said = [
+            said_a[m] + "|" + said_b[n] if one else ",".join(said_a[a : m + 1]) + "|" + ",".join(said_b[b : n + 1])
+            for one, a, m, b, n in zip(single, begin_a.tolist(), i.tolist(), begin_b.tolist(), j.tolist(), strict=True)
+        ]
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        upto = [np.searchsorted(e, ends, side="right") for e in (ends_a, ends_b, both)]
+        numbers = np.stack([np.diff(u, prepend=0) for u in (*upto, upto[2])], axis=1)
+        groups = upto[2].tolist()
+        self._table([";".join(said[a:b]) for a, b in zip([0, *groups], groups, strict=False)], numbers, ids_a[i] << 32 | ids_b[j])
+
+    def _table(self, groups: list[str], numbers: np.ndarray, links: np.ndarray) -> None:
+        """numbers: tokens of A, of B, groups and links of each part."""
+        first = self.held + np.cumsum(numbers[:, 3]) - numbers[:, 3]
+        self.groups += groups
+        self.new_numbers.append(np.column_stack([numbers[:, :3], first, numbers[:, 3]]))
+        self.new_links.append(links)
+        self.held += len(links)
+
+    def _settle(self) -> None:
+        """What _learn() has appended becomes part of the tables."""
+        self.numbers = np.concatenate([self.numbers, *self.new_numbers])
+        self.links = np.concatenate([self.links, *self.new_links])
+        self.new_numbers, self.new_links = [], []
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(numbers of each text: n_a, n_b, n_groups, n_links; its pairs one after the other; its groups' digest)."""
@@ -127,6 +155,7 @@ class Aligner:
         first = len(self.groups)
         if new:
             self._learn(new)
+            self._settle()
             known.update(zip(new, range(first, first + len(new)), strict=True))
         n = np.array([len(parts) for parts in cut], np.int64)
         at = np.fromiter((get(p) for parts in cut for p in parts), np.int64, int(n.sum()))
