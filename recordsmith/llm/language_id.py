@@ -106,8 +106,14 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
 
     Very long texts count like others of EVIDENCE trigrams; repeated rows are rows of
     their own; no rows give no rows. Null texts, hosts and declarations are no evidence; a row without any gets
-    the corpus prior. Ties go to the first language in alphabetical order.
+    the corpus prior. Ties go to the first language in alphabetical order. Kept columns may have any names.
     """
+    kept = {f"_rs_keep{i}": c for i, c in enumerate(keep)}
+    rows = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], "text", "declared", "host")
+    return _identified(rows, model, tuple(kept), strength).withColumnsRenamed(kept)
+
+
+def _identified(rows: DataFrame, model: TextModel, keep: tuple[str, ...], strength: float) -> DataFrame:
     n, schema = len(model.languages), T.ArrayType(T.DoubleType())
 
     @F.pandas_udf(schema)
@@ -128,6 +134,7 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
     levels = (by_suffix, "_rs_x", ["_rs_suffix"]), (by_domain, "_rs_y", ["_rs_suffix", "_rs_domain"]), (by_host, "_rs_h", ["_rs_suffix", "_rs_domain", "_rs_host"])
     named = [level.select(*key, *[F.col(f"s{i}").alias(f"{tag}{i}") for i in range(n)]) for level, tag, key in levels]
     host = named[2].join(named[1], ["_rs_suffix", "_rs_domain"]).join(named[0], "_rs_suffix").drop("_rs_suffix", "_rs_domain")
+    host = materialize(host, "hosts")  # a row a host, of known size: a host that many rows share can be split
 
     def smoothed() -> list[Column]:
         own = [F.col(f"_rs_p{i}") for i in range(n)]
@@ -157,7 +164,11 @@ def identify(rows: DataFrame, model: TextModel, *, keep: tuple[str, ...], streng
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, text, declared, host) of raw web pages: text without markup, the html element's lang, the address's host."""
+    """(page_id, text, declared, host) of raw web pages: text without markup, the html element's lang, the address's host.
+
+    Null markup is an empty text without a language, an address that is null or none has no host; rows stay as often
+    as they stand, very long pages whole, and no pages give no rows. Other columns are not read.
+    """
     body = F.regexp_replace(text_or_empty("html"), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
     declared = F.regexp_extract(text_or_empty("html"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
     return pages.select("page_id", body.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.expr("try_parse_url(url, 'HOST')").alias("host"))

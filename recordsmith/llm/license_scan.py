@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Opening words of well-known licences and notices, and their labels.
+# Passages of well-known licences and notices, openings first, and their labels.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "released under the mit license"),
@@ -31,7 +34,35 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache-2", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("bsd-conditions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl-2.1", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("agpl-3", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
 )
+#: Licences that what is missing tells apart: label, labels that stand, labels that don't.
+TOLD_APART = (("bsd-2", ("bsd", "bsd-conditions"), ("bsd-3",)),)
+#: Labels of families whose passages differ in a word or a number: these stand exactly or not at all.
+EXACT = ("gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")
 K = 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,8 +90,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     k-gram. For other templates, diagonals at most `drift` apart are merged, and
     a span is verified on its words: the template's words that no matched k-gram
     covers, and words that the span has too many, are edits, of which one is
-    allowed for every `edit_every` words of the template. Short templates, which differ
-    in a version or a clause alone, must stand exactly.
+    allowed for every `edit_every` words of the template. Short templates, and families that differ
+    in a version or a word alone (EXACT), must stand exactly. A licence that only the lack of a clause
+    tells apart (TOLD_APART) is added to the labels found.
     The templates are part of the library, so their table has a fixed size; it is
     the only table that is broadcast. Hashes that no template has are dropped in
     the scan, before anything is exploded, and a match is confirmed on the words.
@@ -91,16 +123,21 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     edits = length - covered + F.greatest(F.lit(0), F.col("hi") - F.col("lo") + 1 - F.col("n_grams"))
     spans = spans.withColumn("edits", edits).withColumn("covered", 1 - F.least(F.col("edits"), length) / length)
     place = F.col("base") & (F.size("ats") == F.col("n_grams"))
-    verified = place | (~F.col("base") & (F.col("edits") * edit_every <= length))
-    joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return spans.groupBy("row", "doc_id", "n_words").agg(
+    near = (F.col("edits") * edit_every <= length) & (~F.col("label").isin(*EXACT) | (F.col("edits") == 0))
+    verified = place | (~F.col("base") & near)
+    labels = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("label"))))
+    out = spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(F.when(place, 1)).alias("n_base"),
         F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
-        joined(place).alias("base_labels"),
-        joined(verified).alias("labels"),
+        F.array_join(labels(place), ",").alias("base_labels"),
+        labels(verified).alias("labels"),
         F.coalesce(F.max(F.when(verified, F.col("covered"))), F.lit(0.0)).cast("double").alias("score"),
-    ).drop("row")
+    )
+    has = lambda name: F.array_contains("labels", name)
+    told = [F.when(reduce(and_, [*map(has, there), *[~has(x) for x in missing]]), F.lit(label)) for label, there, missing in TOLD_APART]
+    every = F.array_sort(F.concat("labels", F.array_compact(F.array(*told))))
+    return out.withColumn("labels", F.array_join(every, ",")).drop("row")
 
 
 def _template_table(spark: SparkSession, grams: list[tuple]) -> DataFrame:
