@@ -23,7 +23,7 @@ BITS = 1 << 26
 #: Counters that pairs, and longer phrases, share by their hash before they are counted exactly (a byte each for counts to 255).
 COUNTERS = 1 << 24
 #: Elements of stripes that a task adds up before it sends them on.
-HELD = 2_000_000
+HELD = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
