@@ -320,4 +320,4 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share:
         best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
         order = Window.partitionBy("lang").orderBy(F.col("c.score").desc(), F.col("a").desc(), "phrase")
         ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        return materialize(ranked.select("lang", "rank", "phrase", "a", "c.l", "c.r", "n", "c.score"), "collocations", lasting=True)
+        return materialize(ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score"), "collocations", lasting=True)
