@@ -61,3 +61,8 @@ def test_an_address_is_taken_apart_once(spark):
     got = df.select(F.transform("urls", lambda u: valid_evidence_url(u)).alias("v"))
     assert got.first()["v"] == [True, False, True, False, False, False, False]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parse_url") <= 3
+
+
+def test_manifests_are_judged_once(spark):
+    for name in ("s10_manifest_accepted", "s10_manifest_rejected"):
+        assert "json" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower().replace("manifests", "")
