@@ -66,3 +66,28 @@ def test_an_address_is_taken_apart_once(spark):
 def test_manifests_are_judged_once(spark):
     for name in ("s10_manifest_accepted", "s10_manifest_rejected"):
         assert "json" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower().replace("manifests", "")
+
+
+def test_members_are_handed_on_many_at_a_time(spark):
+    from recordsmith.sources import archives
+
+    made = archives.explode_members(spark.createDataFrame([(f"/a/{i}", bytearray(b"none")) for i in range(50)], "path string, content binary").repartition(1))
+    assert made.where("status = 'unreadable'").count() == 50
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_packages_unpack_their_members_once(spark):
+    plan = QUERIES["s4_package_fields"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan
+
+
+def test_only_package_documents_are_read_for_a_document_type(spark):
+    from recordsmith.sources import archives
+
+    rows = [("/a", "META-INF/container.xml", bytearray(b"<rootfile full-path='p.opf'/>")), ("/a", "p.opf", bytearray(b"<p/>")), ("/a", "x", bytearray(b"text"))]
+    found = archives.package_documents(spark.createDataFrame(rows, "path string, name string, content binary"))
+    assert [tuple(r) for r in found.collect()] == [("/a", "p.opf", "<p/>")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    own = plan[plan.index(":- ") :]
+    assert "<!ENTITY" not in own[: own.index("LogicalRDD")]
