@@ -91,3 +91,13 @@ def test_only_package_documents_are_read_for_a_document_type(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     own = plan[plan.index(":- ") :]
     assert "<!ENTITY" not in own[: own.index("LogicalRDD")]
+
+
+def test_chunks_of_a_request_are_gathered_once(spark):
+    from recordsmith.operators.enrich import combine_partials
+
+    rows = [(1, 0, "m0", "a", "x"), (1, 1, "m1", "a", None), (1, 1, "m2", "b", "y"), (2, None, "m", "a", "z"), (2, 0, "n", "a", "w"), (3, 7, "q", "a", "v")]
+    expected = spark.createDataFrame([(0, ["a"]), (1, ["b", "c"])], "chunk int, fields array<string>")
+    got = combine_partials(spark.createDataFrame(rows, "request_id int, chunk int, match string, field string, value string"), expected)
+    assert sorted(map(tuple, got.collect())) == [(1, "m0", {"a": None, "b": "y"}, 1), (2, "n", {"a": "w"}, 1), (3, "q", {"a": "v"}, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [request_id") == 1
