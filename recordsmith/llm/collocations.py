@@ -20,8 +20,9 @@ from .common import materialize, scratch, text_or_empty
 CHUNK = 4 << 20
 #: Bits of the fixed-size bitmap that tells tasks which phrases can be frequent (8 MB, whatever the corpus).
 BITS = 1 << 26
-#: Counters that pairs, and longer phrases, share by their hash before they are counted exactly (a byte each for counts to 255).
-COUNTERS = 1 << 24
+#: Counters that pairs, and longer phrases, share by their hash before they are counted exactly (a byte each for counts to 255),
+#: and the rows that they are dealt into: a phrase has a counter in each, by hashes of their own.
+COUNTERS, ROWS = 1 << 24, 2
 #: Elements of stripes that a task adds up before it sends them on.
 HELD = 500_000
 
@@ -67,12 +68,15 @@ def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
     return np.fromiter((digest(f"{x} {w}") for x, w in zip(langs, words, strict=True)), np.uint64, len(words))
 
 
-def phrase_hashes(parts: list[np.ndarray], bits: int) -> np.ndarray:
-    """The places of phrases in a bitmap of so many bits (a power of two), from the hashes of their words."""
+def phrase_hashes(parts: list[np.ndarray], bits: int, row: int = 0) -> np.ndarray:
+    """The places of phrases in a bitmap of so many bits (a power of two), from the hashes of their words; each row has a hash of its own."""
     out = parts[0].copy()
     for h in parts[1:]:
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h
     out ^= out >> np.uint64(32)
+    for _ in range(row):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(29)
     return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(65 - bits.bit_length())
 
 
@@ -125,8 +129,12 @@ def _stripes(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
 
 
 def _in(bitmap: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-    at = phrase_hashes(hashes, 64 * len(bitmap))
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    """Whether the bits of phrases are set: in a bitmap, or in every row of a sketch."""
+    out = np.ones(len(hashes[0]), bool)
+    for row, bits in enumerate(np.atleast_2d(bitmap)):
+        at = phrase_hashes(hashes, 64 * len(bits), row)
+        out &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def count_words(w: Words) -> Iterator[Counts]:
@@ -188,12 +196,15 @@ def stripes(docs: DataFrame, count: Callable[[Words], Iterator[Counts]]) -> Data
 
 
 def sketched(docs: DataFrame, count: Callable[[Words], Iterator[Counts]], min_count: int, counters: int) -> np.ndarray:
-    """A bitmap of so many bits (a power of two): which counters, that phrases share by their hash, reach min_count.
+    """A bitmap for each of ROWS rows of counters (a power of two in all): which of them, that phrases share by their hash, reach min_count.
 
     Each task fills one vector of counters that stop at min_count; blocks of these
-    are shuffled and added up as they come. The bitmap is what comes to the driver.
+    are shuffled and added up as they come. The bitmaps are what comes to the driver. A phrase
+    must reach min_count in every row: one row alone lets through what shares a counter with a
+    frequent phrase, whose number grows with both the phrases and the frequent ones.
     """
-    block = min(counters, 1 << 16)
+    each = max(64, counters // ROWS)
+    counters, block = each * ROWS, min(each, 1 << 16)
     kind = np.min_scalar_type(min_count)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +212,13 @@ def sketched(docs: DataFrame, count: Callable[[Words], Iterator[Counts]], min_co
         for w in _chunks(batches):
             if len(w.lang):
                 for prefix, last, n in count(w):
-                    at = phrase_hashes([w.hashes[x] for x in [*prefix, last]], counters).astype(np.int64)
-                    order = np.argsort(at)
-                    at, first = np.unique(at[order], return_index=True)
-                    sums = np.add.reduceat(n[order], first) + total[at]
-                    total[at] = np.minimum(sums, min_count)
+                    parts = [w.hashes[x] for x in [*prefix, last]]
+                    for row in range(ROWS if len(last) else 0):
+                        at = phrase_hashes(parts, each, row).astype(np.int64) + row * each
+                        order = np.argsort(at)
+                        at, first = np.unique(at[order], return_index=True)
+                        sums = np.add.reduceat(n[order], first) + total[at]
+                        total[at] = np.minimum(sums, min_count)
         for k in np.flatnonzero(total.reshape(-1, block).any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * block : (k + 1) * block].tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -219,11 +232,11 @@ def sketched(docs: DataFrame, count: Callable[[Words], Iterator[Counts]], min_co
             bits = np.packbits(counts >= min_count, bitorder="little")
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros(max(1, counters // 64), np.uint64)
+    out = np.zeros(counters // 64, np.uint64)
     rows = docs.mapInArrow(fill, "block int, counts binary").repartition("block").mapInArrow(add_up, "block int, bits binary")
     for k, bits in rows.collect():
         out.view(np.uint8)[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(bits, np.uint8)
-    return out
+    return out.reshape(ROWS, -1)
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -262,7 +275,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, bi
     prefix is '' for single words; totals: (lang, n). Stripes are made of words, then of pairs,
     then of longer phrases. A phrase cannot be frequent where a part is not: which parts are, tasks
     read from a bitmap of fixed size. Of the rest, a pass before the stripes counts by hash in a
-    vector of fixed size, and only phrases whose counter reaches min_count get into stripes, which count
+    vector of fixed size, and only phrases whose counters all reach min_count get into stripes, which count
     exactly. A bit or counter that several phrases share lets more through and loses none. On a corpus
     for which they are too small, more is shuffled and the result is the same.
     """

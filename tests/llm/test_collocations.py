@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 
 from recordsmith.llm import collocations as C
 from recordsmith.llm.queries import ORACLE_SQL, QUERIES
@@ -76,6 +77,21 @@ def test_bits_that_stand_for_several_phrases_lose_nothing(spark):
     assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=6, bits=64, counters=64)) == plain(rows, 6)
 
 
+def test_few_rare_phrases_pass_the_counters(spark):
+    """Pairs that share a counter with others are let through; two rows of counters keep them few, and lose none."""
+    rng = random.Random(4)
+    rows = [("en", f"a{k % 40} b{k % 50}") for k in range(2000)] + [("en", f"x{rng.randrange(300)} y{rng.randrange(300)}") for _ in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    every = np.full(1, (1 << 64) - 1, np.uint64)
+    sketch = C.sketched(df, lambda w: C.count_pairs(w, every, None), 10, 4096)
+    w = next(C._chunks(iter(df.selectExpr("text", "lang").toArrow().to_batches())))
+    pairs = Counter(text for _, text in rows)
+    passed = {" ".join((r["prefix"], r["next"])) for counts in C.count_pairs(w, every, sketch) for r in C._elements(w, counts).to_pylist()}
+    frequent = {p for p, n in pairs.items() if n >= 10}
+    assert frequent == {p for p in passed if p in frequent} and len(frequent) == 200
+    assert len(passed - frequent) < 0.03 * (len(pairs) - len(frequent))
+
+
 def test_odd_rows(spark):
     rows = [(1, "en", None, 0), (None, None, "", 0), (2, "en", " \t ", 0), (3, "en", "...", 0), (4, "", "x y", 0), (4, "", "x y", 0), (5, "en", "q " * 60_000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string, prefix int")
