@@ -408,6 +408,37 @@ def test_long_items_are_embedded_few_at_a_time():
     assert len(found) == 1 and found[0][3] <= 600
 
 
+def test_passages_lose_no_link(spark):
+    """Documents are in one component of the rows exactly where passages() of all pairs join them: edits, copies, and 30 words that many share."""
+    rng = random.Random(19)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    common, texts = some(30), []
+    texts += [some(40) + common + some(40) for _ in range(40)]
+    for k in range(12):  # the common words go on, over an edited word, in two documents
+        more = some(30)
+        texts += [some(20) + common + some(1) + more + some(20), some(20) + common + some(1) + more + some(20)] if k % 2 else [some(20) + more + some(1) + common + some(20) for _ in range(2)]
+    for _ in range(60):  # one or two edits of 50 to 110 words
+        p = some(rng.randrange(50, 110))
+        q = list(p)
+        for at in rng.sample(range(len(q)), 1 + len(q) // 80):
+            q[at : at + rng.randrange(2)] = some(1)
+        texts += [some(30) + p + some(30), some(30) + q + some(30)]
+    texts += [texts[0]] * 3 + [texts[-1] + some(60)] * 2
+    made = [substring_dedup.shingles([w.encode() for w in t]) for t in texts]
+
+    def components(pairs):
+        root = list(range(len(texts)))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for x, y in pairs:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return [find(x) for x in range(len(texts))]
+
+    want = components((x, y) for x in range(len(texts)) for y in range(x) if substring_dedup.passages(made[x], made[y]))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)).collect()
+    assert components((r["doc_id"], r["other_id"]) for r in rows) == want
+    assert len(set(want)) < len(texts) - 40
+
+
 def test_passages_recall_at_the_threshold(spark):
     rng = random.Random(15)
     common = [f"c{k}" for k in range(3000)]
