@@ -101,3 +101,29 @@ def test_chunks_of_a_request_are_gathered_once(spark):
     got = combine_partials(spark.createDataFrame(rows, "request_id int, chunk int, match string, field string, value string"), expected)
     assert sorted(map(tuple, got.collect())) == [(1, "m0", {"a": None, "b": "y"}, 1), (2, "n", {"a": "w"}, 1), (3, "q", {"a": "v"}, 1)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [request_id") == 1
+
+
+def test_requests_of_one_file_are_asked_in_many_tasks(spark, tmp_path):
+    import pandas as pd
+
+    from recordsmith.operators import enrich
+    from recordsmith.sources import staging
+
+    def ask(parts):
+        from pyspark import TaskContext
+
+        for part in parts:
+            yield pd.DataFrame({"request_id": part["request_id"], "body": "", "estimated_cost_usd": float(TaskContext.get().partitionId())})
+
+    spark.range(400).selectExpr("id AS request_id", "id AS book_id", "false AS force_refresh", "concat('m', id) AS model", "id % 7 AS job_id", "'t' AS title", "'a' AS authors_text", "'i' AS isbn_raw", "'p' AS publisher").coalesce(1).write.parquet(f"{tmp_path}/requests")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    written, stage = [], staging.staged
+    enrich.staged = lambda df, name: written.append(name) or stage(df, name)
+    try:
+        out = enrich.enrich(spark.read.parquet(f"{tmp_path}/requests"), spark.createDataFrame([], enrich.CACHE), ask, ["title"])
+        records = out["records"].select("request_id", "cost").collect()
+    finally:
+        enrich.staged = stage
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r[0] for r in records) == list(range(400)) and out["lookups"].count() == 400
+    assert len({r["cost"] for r in records}) > 1 and "fields" not in written
