@@ -439,6 +439,20 @@ def test_passages_lose_no_link(spark):
     assert len(set(want)) < len(texts) - 40
 
 
+def test_words_repeated_many_times_are_few_open_rows(spark, monkeypatch):
+    """A run of one word over and over has equal shingles all around at most of its places: these are one row of a document, and the rows stay the same."""
+    rng = random.Random(20)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [some(30) + ["the"] * 36 + some(1) + ["the"] * 10 + some(30) for _ in range(30)]  # too short to be a passage
+    more, put = some(30), some(25)
+    texts += [some(20) + ["the"] * 30 + put + some(1) + more + some(20) for _ in range(2)]  # a passage over an edited word
+    written, write = {}, substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name, lasting=False: written.setdefault(name, write(df, name, lasting)))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(31, 30)}
+    assert 0 < written["ends"].count() <= 3 * len(texts)
+
+
 def test_passages_recall_at_the_threshold(spark):
     rng = random.Random(15)
     common = [f"c{k}" for k in range(3000)]
