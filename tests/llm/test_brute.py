@@ -492,3 +492,28 @@ def test_pipeline_stages_one_by_one(spark, docs, labels):
     for r in corpus_pipeline.packing(spark, fourth, SF).collect():
         lengths[r["doc_id"]] += r["length"]
     assert lengths == Counter({r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in fourth.collect()})
+
+
+def test_passages_read_documents_twice(spark, tmp_path, monkeypatch):
+    """Windows are made of all texts, words of those that are linked; open pairs and all verification take these words."""
+    rng = random.Random(21)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    common, more = some(30), some(30)
+    texts = [some(30) + common + some(30) for _ in range(12)]
+    texts += [some(20) + common + some(1) + more + some(20) for _ in range(2)]  # a link that only open_pairs() finds
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "docs"))
+    read, write = [], substring_dedup.materialize
+    reads = lambda df: any(f"{tmp_path}/docs" in f for f in df.inputFiles())
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name, lasting=False: (reads(df) and read.append(name), write(df, name, lasting))[1])
+    rows = substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "docs")))
+    assert len(read) == 2 and not reads(rows)
+    assert {(r["doc_id"], r["other_id"]) for r in rows.collect()} == {(13, 12)}
+
+
+def test_passages_count_words_with_spaces_beyond_ascii(spark):
+    """U+00A0 and U+3000 are parts of words, when passages are found and when they are verified."""
+    rng = random.Random(22)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    p = [f"{w}\u00a0x\u3000y" for w in some(60)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(1, " ".join(some(7) + p + some(9))), (2, " ".join(some(5) + p))], DOCS)).collect()
+    assert [(r["doc_id"], r["other_id"], r["start_word"], r["n_words"], r["other_start"], r["other_words"]) for r in rows] == [(2, 1, 5, 60, 7, 60)]
