@@ -517,3 +517,18 @@ def test_passages_count_words_with_spaces_beyond_ascii(spark):
     p = [f"{w}\u00a0x\u3000y" for w in some(60)]
     rows = substring_dedup.repeated_passages(spark.createDataFrame([(1, " ".join(some(7) + p + some(9))), (2, " ".join(some(5) + p))], DOCS)).collect()
     assert [(r["doc_id"], r["other_id"], r["start_word"], r["n_words"], r["other_start"], r["other_words"]) for r in rows] == [(2, 1, 5, 60, 7, 60)]
+
+
+def test_passages_pair_kinds_of_a_crowd(spark, monkeypatch):
+    """Documents of a crowd that go on alike beside a run are one kind when ends are paired; all pairs of them and the others are still verified."""
+    rng = random.Random(23)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    base = some(60)
+    texts = [some(30) + base + some(30) for _ in range(40)]
+    texts += [some(20) + base[:27] + some(1) + base[28:40] + some(50) for _ in range(3)]  # 31 shingles of them: no passage
+    written, write = {}, substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name, lasting=False: written.setdefault(name, write(df, name, lasting)))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)).collect()
+    assert {x for r in rows for x in (r["doc_id"], r["other_id"])} == set(range(40))
+    assert {(r["doc_id"], r["o_doc_id"]) for r in written["rest"].collect()} >= {(y, x) for y in (40, 41, 42) for x in range(40)}
+    assert 0 < written["kinds"].count() <= 2 * 6 * substring_dedup.GAP
