@@ -532,3 +532,29 @@ def test_passages_pair_kinds_of_a_crowd(spark, monkeypatch):
     assert {x for r in rows for x in (r["doc_id"], r["other_id"])} == set(range(40))
     assert {(r["doc_id"], r["o_doc_id"]) for r in written["rest"].collect()} >= {(y, x) for y in (40, 41, 42) for x in range(40)}
     assert 0 < written["kinds"].count() <= 2 * 6 * substring_dedup.GAP
+
+
+def test_passages_are_found_beside_another_link_of_their_documents(spark):
+    """Two documents with a passage of theirs share a second one, over an edited word, whose keys stand in so many other documents that they are not paired; both are found."""
+    rng = random.Random(24)
+    some = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    left, right, other = some(27), some(27), some(60)
+    texts = [some(40) + left + some(60) + right + some(40) for _ in range(12)]  # 27 words of them: no passage
+    texts += [other + some(250) + left + some(1) + right + some(40) for _ in range(2)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)).collect()
+    assert sorted((r["doc_id"], r["other_id"], r["start_word"], r["n_words"], r["other_start"], r["other_words"]) for r in rows) == [(13, 12, 0, 60, 0, 60), (13, 12, 310, 55, 310, 55)]
+
+
+def test_passages_hold_equal_words_of_texts_that_repeat_themselves():
+    """Every word of 50 that stand in the other text too is in a passage, on both sides, also where single shingles repeat."""
+    rng = random.Random(25)
+    for _ in range(300):
+        a, b = ([w for _ in range(rng.randrange(2, 7)) for w in [rng.choice("uvw")] * rng.randrange(5, 60)] for _ in range(2))
+        at = rng.randrange(max(1, len(a) - 55))
+        b[rng.randrange(len(b)) : 0] = a[at : at + 55]
+        found = substring_dedup.passages(*(substring_dedup.shingles([w.encode() for w in t]) for t in (a, b)))
+        runs = [{tuple(t[k : k + 50]) for k in range(len(t) - 49)} for t in (a, b)]
+        for t, other, side in ((a, runs[1], 0), (b, runs[0], 2)):
+            held = {w for f in found for w in range(f[side], f[side + 1] + 5)}
+            assert all(w in held for k in range(len(t) - 49) if tuple(t[k : k + 50]) in other for w in range(k, k + 50))
+        assert all(s == 1 or s >= substring_dedup.SIMILARITY for *_, s in found)
